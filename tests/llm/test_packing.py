@@ -1,7 +1,6 @@
 import zlib
 
 import numpy as np
-import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -11,24 +10,31 @@ from gossamer.llm import packing
 TEXTS = ["", None, "the", "a  b", " a", "a ", "a \n b", "a\n\n b c", "it's <|endoftext|> x", "déjà vu\x85 x", "word " * 5000, "x" * 9000, "same text", "same text", "　 z", "a\x1c b \x1cc"]
 
 
+T = Tokenizer.from_file(packing.tokenizer_path())
+T.encode_special_tokens = True
+
+
 def direct(text):
-    t = Tokenizer.from_file(packing.tokenizer_path())
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return T.encode(text or "", add_special_tokens=False).ids
 
 
-def test_chunks_encode_as_the_tokenizer_does():
-    ids, offsets = packing.ChunkEncoder(packing.tokenizer_path())(pa.array(TEXTS))
-    for i, text in enumerate(TEXTS):
-        assert ids[offsets[i] : offsets[i + 1]].tolist() == direct(text), text
+def test_ids_are_the_tokenizers():
+    encode = packing.encoder(packing.tokenizer_path())
+    for text in filter(None, TEXTS):
+        assert encode(text).tolist() == direct(text), text
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet="ab '\n\t  .1é\x0b\x1f", max_size=12), min_size=1, max_size=6))
-def test_chunks_encode_any_white_space(texts):
-    ids, offsets = packing.ChunkEncoder(packing.tokenizer_path())(pa.array(texts))
-    for i, text in enumerate(texts):
-        assert ids[offsets[i] : offsets[i + 1]].tolist() == direct(text)
+def test_ids_of_the_fixture(spark, sf_dir):
+    t, encode = Tokenizer.from_file(packing.tokenizer_path()), packing.encoder(packing.tokenizer_path())
+    t.encode_special_tokens = True
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        assert encode(r.text).tolist() == t.encode(r.text, add_special_tokens=False).ids
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab '\n\t  .1é\x0b\x1f\x00\u2028😀", max_size=14))
+def test_ids_of_any_text(text):
+    assert packing.encoder(packing.tokenizer_path())(text).tolist() == T.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=80, deadline=None)
