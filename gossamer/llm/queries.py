@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, packing
+from . import language_id, license_scan, mixing, packing, pii
 
-QUERIES = {f.__name__: f for f in (packing.op7_best_fit_packing, mixing.op10_entropy_balanced_mix)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        pii.op1_semi_markov_pii,
+        language_id.op2_ppm_language_id,
+        packing.op7_best_fit_packing,
+        license_scan.op8_suffix_automaton_license_scan,
+        mixing.op10_entropy_balanced_mix,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
