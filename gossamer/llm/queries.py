@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import language_id, license_scan, mixing, packing, pii
+from . import ann, hash_search, html_extract, language_id, license_scan, mixing, packing, pii
 
 QUERIES = {
     f.__name__: f
     for f in (
         pii.op1_semi_markov_pii,
         language_id.op2_ppm_language_id,
+        ann.op3_hilbert_neighbours,
+        html_extract.op6_crf_html_extraction,
         packing.op7_best_fit_packing,
         license_scan.op8_suffix_automaton_license_scan,
+        hash_search.op9_multi_index_hashing,
         mixing.op10_entropy_balanced_mix,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_multi_index_hashing": hash_search.ORACLE}
