@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, hash_search, html_extract, language_id, license_scan, mixing, packing, pii
+from . import ann, hash_search, html_extract, language_id, license_scan, lm_score, mixing, packing, pii
 
 QUERIES = {
     f.__name__: f
@@ -10,6 +10,7 @@ QUERIES = {
         pii.op1_semi_markov_pii,
         language_id.op2_ppm_language_id,
         ann.op3_hilbert_neighbours,
+        lm_score.op4_log_bilinear_scores,
         html_extract.op6_crf_html_extraction,
         packing.op7_best_fit_packing,
         license_scan.op8_suffix_automaton_license_scan,
