@@ -31,6 +31,7 @@ from .common import fold, read, slices
 ORDER = 3
 SAMPLE_BYTES = 2 << 20
 MAX_CELLS = 1 << 23
+MOST_BITS = 7.0  # a byte, beyond which keep_known() rejects a text
 CHUNK = 1 << 20  # bytes of text that are scored at once
 
 
@@ -155,31 +156,51 @@ def learn(docs: DataFrame, train: F.Column, sample_bytes: int = SAMPLE_BYTES, or
     return fit({k: v for k, v in samples.items() if v}, order)
 
 
+def judge(trees: ContextTrees | None, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text the place of its language (-1: und), the language's share of the probability, and its bits a byte."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    letter = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
+    n = len(texts)
+    if trees is None or not letter.any():
+        return np.full(n, -1), np.zeros(n), np.zeros(n)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    bits = code_lengths(trees, data, offsets - offsets[0])
+    least = bits.min(1)
+    share = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1)
+    return np.where(letter, bits.argmin(1), -1), np.where(letter, share, 0.0), np.where(letter, least / np.maximum(1, np.diff(offsets)), 0.0)
+
+
 def predict(docs: DataFrame, model: ContextTrees | None) -> DataFrame:
     """doc_id, lang_pred, score, bits_per_byte of all docs (doc_id, text)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = sent.value
+        names = [*(sent.value.languages if sent.value is not None else []), "und"]
         for batch in slices(batches):
-            texts = pc.fill_null(batch.column("text").cast(pa.large_string()), "")
-            letter = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
-            n = len(texts)
-            best, score, rate = np.full(n, -1), np.zeros(n), np.zeros(n)
-            if trees is not None and letter.any():
-                offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
-                data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-                bits = code_lengths(trees, data, offsets - offsets[0])
-                least = bits.min(1)
-                best = np.where(letter, bits.argmin(1), -1)
-                score = np.where(letter, 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1), 0.0)
-                rate = np.where(letter, least / np.maximum(1, np.diff(offsets)), 0.0)
-            names = [*(trees.languages if trees is not None else []), "und"]
+            best, score, rate = judge(sent.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([names[i] for i in best.tolist()], pa.string()), pa.array(score), pa.array(rate)], names=["doc_id", "lang_pred", "score", "bits_per_byte"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, bits_per_byte double")
 
 
+def keep_known(docs: DataFrame, model: ContextTrees | None, most_bits: float = MOST_BITS) -> DataFrame:
+    """docs without the texts that no language explains: those that are `und`, and those that even their best language
+    codes with more than `most_bits` a byte. Missing lang values are filled in; all columns stay."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            best, _, rate = judge(sent.value, batch.column("text"))
+            at, lang = batch.schema.get_field_index("lang"), batch.column("lang")
+            if lang.null_count and sent.value is not None:
+                told = pa.array([sent.value.languages[i] if i >= 0 else None for i in best.tolist()], lang.type)
+                batch = batch.set_column(at, batch.schema.field(at), pc.coalesce(lang, told))
+            yield batch.filter(pa.array((best >= 0) & (rate <= most_bits)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = predict(docs, learn(docs, ~fold(0)))
