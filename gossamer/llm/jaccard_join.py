@@ -2,8 +2,8 @@
 
 A document's set holds the hashes of its distinct 5-word shingles; sets link when
 100 * |intersection| >= 80 * |union|. Equal sets are one class. Any two sets that link share
-one of the first n - ceil(0.8 n) + 1 elements of each in a common order, in which shingles
-found to be frequent come last, so passages that many documents share hardly list anything.
+one of the first n - ceil(0.8 n) + 1 elements of each in a common order, in which frequent
+shingles come last, so passages that many documents share hardly list anything.
 
 1. Lists: these prefixes are packed by hash bucket and meet in reduce tasks; each list
    ties its classes to its first (apart where sizes leave a gap that no link can span).
@@ -25,7 +25,7 @@ extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,10 +39,10 @@ from .components import connected_components
 
 WORDS = 5
 PERCENT = 80
-BLOCK = 2_000_000  # elements of the sets that one task joins
+BLOCK = 1_000_000  # elements of the sets that one task joins
 FREQUENT = 1 << 20  # frequent shingles at most that are sent to every task
-GATHER = 3_000_000  # elements among which a task looks for frequent ones
-BUCKET = 1_000_000  # postings of a bucket
+GATHER = 2_000_000  # elements that a task packs at once
+BUCKET = 500_000  # postings of a bucket
 SPLIT = 200_000  # a list of more classes is dealt to several tasks
 SMALL = 500_000  # classes up to which the table of clusters is broadcast
 
@@ -192,71 +192,91 @@ def join_sets(sets: list[np.ndarray], percent: int = PERCENT, across: int | None
     return out
 
 
-def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each document its class and size; and elements that a part of the corpus has more than once."""
-    names = ["doc_id", "cls", "n", "element", "times"]
-    types = [pa.int64()] * 5
-    seen: list[np.ndarray] = []
-    held = 0
-
-    def frequent() -> pa.RecordBatch:
-        e, times = np.unique(np.concatenate(seen), return_counts=True)
-        e, times = e[times > 1].view(np.int64), times[times > 1]
-        empty = pa.nulls(len(e), pa.int64())
-        return pa.RecordBatch.from_arrays([empty, empty, empty, pa.array(e), pa.array(times)], names=names)
-
-    for batch in slices(batches):
-        sets = shingle_sets(batch.column("text"))
-        classes = [class_of(s) for s in sets]
-        empty = pa.nulls(len(sets), pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(classes, types[1]), pa.array([len(s) for s in sets], types[2]), empty, empty], names=names)
-        own = {c: s for c, s in zip(classes, sets)}  # copies count once
-        seen += own.values()
-        held += sum(map(len, own.values()))
-        if held > GATHER:
-            yield frequent()
-            seen.clear()
-            held = 0
-    if seen:
-        yield frequent()
-
-
-def frequent_elements(scanned: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Elements (rising) with their counts, from the highest counts down while they are at most `most`."""
-    counts = durable(scanned.where("element is not null").groupBy("element").agg(F.sum("times").alias("times")).where("times >= 8"), "frequent")
+def order_key(elements: np.ndarray, bits: int) -> np.ndarray:
+    """The leading bits of an element by which it is counted; two elements that share them only share a place in the order."""
+    return elements >> np.uint64(32 - bits)
+
+
+def scan(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For each document its class and size; and the order keys of all sets (copies in a task once), packed by their first `bits` bits."""
+    names = ["doc_id", "cls", "n", "bucket", "keys"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        held = 0
+
+        def packed() -> pa.RecordBatch:
+            keys = np.sort(order_key(np.concatenate(list(own.values())), bits))
+            edges = np.searchsorted(keys, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32))
+            low, full = keys.astype(np.uint32), np.flatnonzero(np.diff(edges))
+            blobs = pa.array([low[edges[i] : edges[i + 1]].tobytes() for i in full.tolist()], pa.binary())
+            return pa.RecordBatch.from_arrays([*(pa.nulls(len(full), t) for t in types[:3]), pa.array(full), blobs], names=names)
+
+        for batch in slices(batches):
+            sets = shingle_sets(batch.column("text"))
+            classes = [class_of(x) for x in sets]
+            rows = [batch.column("doc_id").cast(pa.int64()), pa.array(classes, types[1]), pa.array([len(x) for x in sets], types[2])]
+            yield pa.RecordBatch.from_arrays([*rows, *(pa.nulls(len(sets), t) for t in types[3:])], names=names)
+            for c, x in zip(classes, sets):
+                if c not in own:
+                    own[c] = x
+                    held += len(x)
+            if held > GATHER:
+                yield packed()
+                own.clear()
+                held = 0
+        if held:
+            yield packed()
+
+    return run
+
+
+def count_keys(group: pd.DataFrame) -> pd.DataFrame:
+    """Order keys of one bucket that occur three times or more."""
+    low = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in group["keys"]]))
+    first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+    times = np.diff(np.append(first, len(low)))
+    often = times > 2
+    return pd.DataFrame({"key": (int(group["bucket"].iloc[0]) << 32) + low[first[often]].astype(np.int64), "times": times[often].astype(np.int64)})
+
+
+def frequent_keys(scanned: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order keys (rising) with their counts, from the highest counts down while they are at most `most`."""
+    counts = durable(scanned.where("bucket is not null").select("bucket", "keys").groupBy("bucket").applyInPandas(count_keys, "key long, times long"), "frequent")
     level, least, total = F.floor(F.log2("times") * 8).cast("int"), None, 0
     for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():
         total += r.n
         if total > most:
             break
         least = r.level
-    if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    got = counts.where(level >= least).toArrow()
+    got = None if least is None else counts.where(level >= least).toArrow()
     discard(counts)
-    e = got.column("element").to_numpy().view(np.uint64)
-    order = np.argsort(e)
-    return e[order], got.column("times").to_numpy()[order]
+    if got is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    keys = got.column("key").to_numpy().astype(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], got.column("times").to_numpy()[order]
 
 
-def prefix_of(s: np.ndarray, often: np.ndarray, times: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def prefix_of(s: np.ndarray, often: np.ndarray, times: np.ndarray, bits: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """The first elements of a set in the common order (frequent ones last, by count), and their counts where frequent."""
     size = len(s) - least_size(len(s), percent) + 1
     if not len(often):
         return s[:size], np.zeros(size, np.int64)
-    at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-    count = np.where(often[at] == s, times[at], 0)
+    keys = order_key(s, bits)
+    at = np.minimum(np.searchsorted(often, keys), len(often) - 1)
+    count = np.where(often[at] == keys, times[at], 0)
     if np.count_nonzero(count == 0) >= size:
         return s[count == 0][:size], np.zeros(size, np.int64)
     first = np.lexsort((s, count))[:size]
     return s[first], count[first]
 
 
-def clusters(docs: DataFrame, scanned: DataFrame, percent: int, split: int, bucket: int) -> DataFrame:
+def clusters(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], elements: int, bits: int, percent: int, split: int, bucket: int) -> DataFrame:
     """(cls, cluster) of the classes that share an element of their prefixes with another class."""
     spark = docs.sparkSession
-    elements = scanned.agg(F.sum("n")).first()[0] or 0
-    often = spark.sparkContext.broadcast(frequent_elements(scanned, FREQUENT))
+    often = spark.sparkContext.broadcast(frequent)
     buckets = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), elements * (100 - percent) // 100 // bucket + 1))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +303,7 @@ def clusters(docs: DataFrame, scanned: DataFrame, percent: int, split: int, buck
             for s in shingle_sets(batch.column("text")):
                 if len(s) and (k := class_of(s)) not in held:
                     held.add(k)
-                    prefix, count = prefix_of(s, *often.value, percent)
+                    prefix, count = prefix_of(s, *often.value, bits, percent)
                     e.append(prefix)
                     c.append(np.full(len(prefix), k, np.int64))
                     n.append(np.full(len(prefix), len(s), np.int64))
@@ -326,9 +346,13 @@ def _unpack(frame: pd.DataFrame) -> list[np.ndarray]:
 def join(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, split: int = SPLIT, bucket: int = BUCKET) -> DataFrame:
     """doc_id, n_shingles, component_id of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scanned = durable(docs.mapInArrow(scan, "doc_id long, cls long, n long, element long, times long"), "classes")
-    rows = scanned.where("cls is not null").select("doc_id", "cls", "n")
-    found = durable(clusters(docs, scanned, percent, split, bucket), "clusters")
+    bits = min(20, max(6, (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length()))
+    scanned = durable(docs.mapInArrow(scan(bits), "doc_id long, cls long, n long, bucket long, keys binary"), "classes")
+    rows = durable(scanned.where("cls is not null").select("doc_id", "cls", "n"), "rows")
+    often = frequent_keys(scanned, FREQUENT)
+    discard(scanned)
+    elements = rows.agg(F.sum("n")).first()[0] or 0
+    found = durable(clusters(docs, often, elements, bits, percent, split, bucket), "clusters")
     first = rows.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     members = found.join(first, "cls")
     weight = members.groupBy("cluster").agg(F.sum("n").alias("total"), F.min("cls").alias("pivot"))
