@@ -77,7 +77,7 @@ def normal_form(url: Column, compat_port_bug: bool = True) -> Column:
 def needs_python(url: Column) -> Column:
     """Escapes that are broken or no UTF-8 have their own meaning in Python's quoting rules."""
     odd = F.exists(_pairs(part(url, 4)), lambda p: p.key.isNull() | p.value.isNull() | p.key.contains("�") | p.value.contains("�"))
-    return part(url, 4).contains("%") & odd
+    return part(url, 4).contains("%") & (odd | part(url, 4).rlike("%(?![0-9A-Fa-f]{2})"))
 
 
 def python_normal_form(url: str, compat_port_bug: bool = True) -> str:
