@@ -30,7 +30,7 @@ from .common import fold, read, slices
 
 ORDER = 3
 SAMPLE_BYTES = 2 << 20
-MAX_CELLS = 1 << 23
+MAX_CELLS = 1 << 22
 MOST_BITS = 7.0  # a byte, beyond which keep_known() rejects a text
 CHUNK = 1 << 20  # bytes of text that are scored at once
 
@@ -80,34 +80,37 @@ def fit(samples: dict[str, list[bytes]], order: int = ORDER, max_cells: int = MA
     uniform = np.full(base, 1 / 256)
     uniform[-1] = max(1, 257 - base) / 256
     uniform /= uniform.sum()
-    prob = [np.tile(uniform[:, None], (1, 1, len(languages)))]
     rows, begin, room = [], 0, max(1, max_cells // (base * len(languages)))
-    levels = []
+    levels = np.tile(uniform.astype(np.float32)[:, None], (1, 1, len(languages)))  # before the first context: no context at all
     for k in range(order + 1):
         found, weight = np.unique(np.concatenate([keys // base for keys, _ in (c[k] for c in counted)]), return_inverse=True)
         total = np.bincount(weight, np.concatenate([c[k][1] for c in counted]), len(found))
         keep = np.sort(np.argsort(-total, kind="stable")[: max(0, room - begin)]) if k else np.arange(len(found))
         contexts = found[keep]
         parent = rows[-1][contexts % base ** (k - 1)] if k > 1 else np.zeros(len(contexts), np.int32)
-        shorter = (np.concatenate(levels)[parent] if levels else prob[0]) if len(contexts) else np.zeros((0, base, len(languages)))
-        count = np.zeros((len(contexts), base, len(languages)))
+        p = levels[parent]  # the shorter contexts' probabilities, replaced language by language
+        count = np.zeros((base, len(contexts)), np.float32).T
         for i, c in enumerate(counted):
             keys, n = c[k]
             at = np.searchsorted(contexts, keys // base)
             ok = (at < len(contexts)) & (contexts[np.minimum(at, len(contexts) - 1)] == keys // base) if len(contexts) else np.zeros(len(keys), bool)
-            count[at[ok], keys[ok] % base, i] = n[ok]
-        whole, novel = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
-        rest = np.where(count > 0, 0, shorter).sum(1, keepdims=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            p = np.where(count > 0, count / (whole + np.where(rest > 0, novel, 0)), novel / (whole + novel) * shorter / rest)
-        levels.append(np.where(whole > 0, p, shorter))
+            count[:] = 0
+            count[at[ok], keys[ok] % base] = n[ok]
+            shorter = p[:, :, i]
+            whole, novel = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
+            rest = np.where(count > 0, 0, shorter).sum(1, keepdims=True, dtype=np.float64)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                q = np.where(count > 0, count / (whole + np.where(rest > 0, novel, 0)), novel / (whole + novel) * (shorter / rest))
+            p[:, :, i] = np.where(whole > 0, q, shorter)
+        levels = np.concatenate([levels, p]) if k else p
         table = np.zeros(base**k, np.int32) if k < 2 else np.tile(rows[-1], base)  # by default the row of the shorter suffix
         table[contexts] = begin + np.arange(len(contexts))
         rows.append(table)
         begin += len(contexts)
-    bits = -np.log2(np.concatenate(levels))
-    bits[:, -1] += np.log2(max(1, 257 - base))
-    return ContextTrees(languages, lut, rows, np.ascontiguousarray(bits.reshape(-1, len(languages)), np.float32))
+    np.log2(levels, out=levels)
+    np.negative(levels, out=levels)
+    levels[:, -1] += np.log2(max(1, 257 - base))
+    return ContextTrees(languages, lut, rows, levels.reshape(-1, len(languages)))
 
 
 def code_lengths(model: ContextTrees, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
