@@ -59,7 +59,7 @@ def store(pages: DataFrame, folder: str, rules: StorageRules | None = None, at:
     if rules.storage_type == "postgresql":
         raise NotImplementedError("no PostgreSQL store; write the tables by df.write.jdbc")
     spark = pages.sparkSession
-    fs, path = spark._jvm.org.apache.hadoop.fs, lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")  # noqa: F841
+    path = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
     disk = path("pages").getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     rows = page_rows(pages, rules, at)
     if disk.exists(path("pages")):

@@ -12,7 +12,7 @@ import logging
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CrawlConfig, FollowRules
@@ -115,15 +115,13 @@ class Crawl:
     def run(self, seed_urls: list[str] | DataFrame, timeout: float | None = None) -> DataFrame:
         """All crawled pages: url, depth, parent_url, page_order, and what was fetched and extracted."""
         c, self.began = self.config, time.monotonic()
-        frontier = seed_rows(self.spark, seed_urls) if isinstance(seed_urls, list) else seed_urls
-        if "parent_order" not in frontier.columns:
-            order = F.row_number().over(Window.orderBy("depth", "url")) - 1 if not isinstance(seed_urls, list) else None
-            place = {u: i for i, u in reversed(list(enumerate(seed_urls)))} if isinstance(seed_urls, list) else {}
-            if place:
-                at = self.spark.createDataFrame(list(place.items()), "url string, link_pos int")
-                frontier = frontier.distinct().join(F.broadcast(at), "url").withColumn("parent_order", F.lit(-1).cast("long"))
-            else:
-                frontier = frontier.withColumns({"parent_order": F.lit(-1).cast("long"), "link_pos": order.cast("int") if order is not None else F.lit(0)})
+        if isinstance(seed_urls, list):
+            place = {u: i for i, u in reversed(list(enumerate(seed_urls)))}  # of each seed's first mention
+            at = self.spark.createDataFrame(list(place.items()), "url string, link_pos int")
+            frontier = seed_rows(self.spark, list(place)).join(F.broadcast(at), "url")
+        else:
+            frontier = seed_urls.select("url", "depth", "parent_url", F.lit(0).alias("link_pos"))
+        frontier = frontier.withColumn("parent_order", F.lit(-1).cast("long"))
         seen = materialized(self.seen.table().select("url"), "seen") if self.seen is not None else None
         while not self.stopped:
             if timeout is not None and time.monotonic() - self.began > timeout:
