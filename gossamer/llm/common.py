@@ -6,6 +6,7 @@ have exactly these rules, so whole batches are split without a Python loop.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker handles at once.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,18 +61,29 @@ def fold(remainder: int) -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == remainder
 
 
+def trim() -> None:
+    """Give memory that this worker no longer uses back to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut by rows so that a piece has about `limit` bytes of text; a longer text is a piece of its own."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
+        trim()
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         cut = np.cumsum(size) // limit
         edges = [0, *(np.flatnonzero(np.diff(cut)) + 1).tolist(), n]
         for a, b in zip(edges, edges[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+    trim()
 
 
 def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

@@ -34,14 +34,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, durable, encoded, read, slices
+from .common import discard, durable, encoded, read, slices, trim
 from .components import connected_components
 
 WORDS = 5
 PERCENT = 80
 BLOCK = 1_000_000  # elements of the sets that one task joins
 FREQUENT = 1 << 20  # frequent shingles at most that are sent to every task
-GATHER = 2_000_000  # elements that a task packs at once
+GATHER = 1_000_000  # elements that a task packs at once
 BUCKET = 500_000  # postings of a bucket
 SPLIT = 200_000  # a list of more classes is dealt to several tasks
 SMALL = 500_000  # classes up to which the table of clusters is broadcast
@@ -234,6 +234,7 @@ def scan(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
 
 def count_keys(group: pd.DataFrame) -> pd.DataFrame:
     """Order keys of one bucket that occur three times or more."""
+    trim()
     low = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in group["keys"]]))
     first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
     times = np.diff(np.append(first, len(low)))
@@ -319,6 +320,7 @@ def clusters(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], elements:
 
     def lists(group: pd.DataFrame) -> pd.DataFrame:
         """Ties of each list: its classes to the first, anew where sizes leave a gap; dealt lists also name their element."""
+        trim()
         element, cls = np.frombuffer(b"".join(group["element"]), np.uint64), np.frombuffer(b"".join(group["cls"]), np.int64)
         n, dealt = np.frombuffer(b"".join(group["n"]), np.int32).astype(np.int64), np.frombuffer(b"".join(group["dealt"]), bool)
         order = np.lexsort((cls, n, element))
@@ -410,7 +412,8 @@ def join(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, split: int
     roots = connected_components(linked)
     whole = roots.withColumnRenamed("node", "cls").join(first.select("cls", "doc_id"), "cls").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = roots.withColumnRenamed("node", "cls").join(whole, "root").select("cls", F.col("component_id").alias("shared"))
-    alone = first.join(named, "cls", "left").select("cls", F.coalesce("shared", "doc_id").alias("component_id"))
+    # written, so that Spark can split the part of a class that very many documents share
+    alone = durable(first.join(named, "cls", "left").select("cls", F.coalesce("shared", "doc_id").alias("component_id")), "components")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.join(alone, "cls").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 

@@ -31,7 +31,7 @@ from .common import fold, read, slices
 ORDER = 3
 SAMPLE_BYTES = 2 << 20
 MAX_CELLS = 1 << 22
-MOST_BITS = 7.0  # a byte, beyond which keep_known() rejects a text
+MOST_BITS, FREE_BITS = 7.0, 64  # a byte, and besides: keep_known() rejects a text whose code is longer
 CHUNK = 1 << 20  # bytes of text that are scored at once
 
 
@@ -189,7 +189,7 @@ def predict(docs: DataFrame, model: ContextTrees | None) -> DataFrame:
 
 def keep_known(docs: DataFrame, model: ContextTrees | None, most_bits: float = MOST_BITS) -> DataFrame:
     """docs without the texts that no language explains: those that are `und`, and those that even their best language
-    codes with more than `most_bits` a byte. Missing lang values are filled in; all columns stay."""
+    codes with more than `most_bits` a byte (and FREE_BITS, so that short texts stay). Missing lang values are filled in; all columns stay."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +199,8 @@ def keep_known(docs: DataFrame, model: ContextTrees | None, most_bits: float = M
             if lang.null_count and sent.value is not None:
                 told = pa.array([sent.value.languages[i] if i >= 0 else None for i in best.tolist()], lang.type)
                 batch = batch.set_column(at, batch.schema.field(at), pc.coalesce(lang, told))
-            yield batch.filter(pa.array((best >= 0) & (rate <= most_bits)))
+            size = np.maximum(1, pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+            yield batch.filter(pa.array((best >= 0) & (rate * size <= most_bits * size + FREE_BITS)))
 
     return docs.mapInArrow(run, docs.schema)
 

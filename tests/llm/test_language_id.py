@@ -69,3 +69,14 @@ def test_edges(spark):
     assert L.learn(docs.limit(0), L.F.lit(True)) is None
     assert {r.lang_pred for r in L.predict(docs, None).collect()} == {"und"}
     assert L.predict(docs.limit(0), model).count() == 0
+
+
+def test_short_texts_stay_and_noise_goes(spark):
+    import random
+
+    rng = random.Random(1)
+    noise = "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(300))
+    rows = [(1, "hello there you all", "en"), (2, "A.", "en"), (3, noise, None), (4, "7a", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.learn(docs.where("doc_id < 3"), L.F.lit(True))
+    assert sorted(r.doc_id for r in L.keep_known(docs, model).collect()) == [1, 2, 4]
