@@ -61,3 +61,11 @@ def with_robots(df: DataFrame, robots: DataFrame, rules: RobotsRules | None = No
 
 def robots_stats(judged: DataFrame) -> DataFrame:
     return judged.agg(F.count_if("allowed").alias("allowed"), F.count_if(~F.col("allowed")).alias("disallowed"), F.count_if("fetch_error").alias("fetch_errors"), F.count_distinct(urls.host(F.col("url"))).alias("domains"))
+
+
+def stale_hosts(df: DataFrame, robots: DataFrame, rules: RobotsRules | None = None, now: Column | None = None) -> DataFrame:
+    """(domain) of the hosts of df (url) without an answer that is still good: what a crawl has to ask."""
+    rules = rules or RobotsRules()
+    now = F.current_timestamp() if now is None else now
+    fresh = robots.where(F.col("fetched_at") >= now - F.expr(f"interval {int(rules.cache_ttl_hours)} hours")).select("domain")
+    return df.select(urls.host(F.col("url")).alias("domain")).distinct().join(fresh, "domain", "left_anti")

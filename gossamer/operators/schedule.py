@@ -100,3 +100,11 @@ def scheduled(df: DataFrame, rules: RateRules | None = None, bucket_us: int | No
 def rate_stats(df: DataFrame) -> DataFrame:
     late = F.col("wait_us") > 10_000
     return df.agg(F.count("*").alias("requests"), F.count_if(late).alias("delayed"), F.sum("wait_us").alias("total_wait_us"), F.avg("wait_us").alias("mean_wait_us"), F.count_distinct("host").alias("hosts"))
+
+
+def host_stats(df: DataFrame) -> DataFrame:
+    """Each host's requests, waits, last release, and releases in the second before it (its current rate)."""
+    late = F.col("wait_us") > 10_000
+    last = df.groupBy("host").agg(F.count("*").alias("requests"), F.count_if(late).alias("delayed"), F.sum("wait_us").alias("total_wait_us"), F.max("release_us").alias("last_release_us"))
+    recent = df.join(last.select("host", "last_release_us"), "host").where(F.col("release_us") > F.col("last_release_us") - 1_000_000)
+    return last.join(recent.groupBy("host").agg(F.count("*").alias("current_rate")), "host")

@@ -5,9 +5,10 @@ from __future__ import annotations
 import gzip
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import schema
 from ..config import StorageRules
 from ..functions import urls
 from .extract import image_table, link_table
@@ -90,6 +91,21 @@ def store_by_host(pages: DataFrame, folder: str, compat: bool = True) -> None:
     kept.withColumn("domain", F.substring_index("path", "/", 1)).write.mode("overwrite").partitionBy("domain").parquet(folder)
 
 
+def write(pages: DataFrame, rules: StorageRules | None = None, folder: str | None = None, at: Column | None = None) -> None:
+    """Store by the configured kind: `filesystem` by host, all others but PostgreSQL as tables."""
+    rules = rules or StorageRules()
+    if rules.storage_type == "filesystem":
+        store_by_host(page_rows(pages, rules, at), folder or rules.output_directory)
+    else:
+        store(pages, folder or rules.output_directory, rules, at)
+
+
+def create_tables(spark: SparkSession, database: str = "default") -> None:
+    """Empty Parquet tables of the stored model in the catalog."""
+    for name, columns in (("pages", schema.PAGES), ("links", schema.LINK_ROWS), ("images", schema.IMAGE_ROWS), ("crawl_stats", schema.CRAWL_STATS), ("seen_urls", schema.SEEN_URLS)):
+        spark.sql(f"create table if not exists {database}.{name} ({columns.replace('timestamp timestamp', '`timestamp` timestamp')}) using parquet")
+
+
 def storage_stats(stored: DataFrame) -> DataFrame:
     """stored (ok, links): stored, failed, links, success rate."""
     return stored.agg(F.count_if("ok").alias("stored"), F.count_if(~F.col("ok")).alias("failed"), F.sum(F.size("links")).alias("links_stored"), (100 * F.count_if("ok") / F.nullif(F.count("*"), F.lit(0))).alias("success_rate"))

@@ -115,6 +115,16 @@ def u5c_dedup_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.dedup_stats(table(spark, sf_dir, "pages").select(urls.normalized(F.col("url")).alias("url")))
 
 
+@query()
+def u5d_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As u5b by a Bloom filter, which may drop a new key with the configured probability (see tests)."""
+    from ..config import DedupRules
+
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("page_id").alias("link_pos"), urls.normalized(F.col("url")).alias("url"))
+    rules = DedupRules(method="bloom", bloom_capacity=100_000, bloom_error_rate=0.001)
+    return dedup.new_urls(pages.where("page_id % 2 = 1"), pages.where("page_id % 2 = 0").select("url"), rules).select("page_id")
+
+
 @query(f"""
 select host, reason as drop_reason, count(*)::bigint as pages from (
     select {SQL_HOST} as host, case when page_id % 5 > 3 then 'depth' when lower({SQL_PATH}) like '%.html' then 'extension' end as reason from pages)
@@ -198,6 +208,29 @@ def p4_page_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "text_content", F.to_json("content").alias("content"), F.to_json("page_metadata").alias("page_metadata"))
 
 
+SQL_ARTICLE = r"""
+select page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(
+    regexp_replace(regexp_extract(html, '(?s)<article>(.*?)(</article>|$)', 1), '\s*<[^>]*>\s*', ' ', 'g'),
+    '&amp;', '&'), '&quot;', '"'), '&#x27;', chr(39)), '[ \t]+', ' ', 'g'), '\n{3,}', e'\n\n', 'g'), e' \n\t\r') as t from pages
+"""
+
+
+@query(rf"""
+select page_id, case when length(t) >= 100 then length(t)::int end as char_count,
+    case when length(t) >= 100 then len(list_filter(regexp_split_to_array(t, '\s+'), lambda w: w <> ''))::int end as word_count from ({SQL_ARTICLE})
+""")
+def p4b_text_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(spark, sf_dir).select("page_id", "content.char_count", "content.word_count")
+
+
+@query(rf"""
+select count(*)::bigint as processed, count(*) filter (length(t) >= 100)::bigint as successful, count(*) filter (length(t) < 100)::bigint as too_short,
+    sum(case when length(t) >= 100 then length(t) end)::bigint as chars from ({SQL_ARTICLE})
+""")
+def p7_content_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.content_stats(_parsed(spark, sf_dir)).select("processed", "successful", "too_short", "chars")
+
+
 @query("select count(*)::bigint as total, count(*)::bigint as successful, 0::bigint as failed, 0::bigint as skipped_non_html, 100.0::double as success_rate from pages")
 def p5_parse_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.parse_stats(_parsed(spark, sf_dir))
@@ -276,9 +309,13 @@ from ({SQL_RULES})
 """)
 def r6_robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return robots.with_robots(pages, _answers(pages), RobotsRules()).select("page_id", "allowed", "crawl_delay")
+
+
+def _answers(pages: DataFrame) -> DataFrame:
     hosts = pages.select(urls.host(F.col("url")).alias("domain")).distinct().withColumn("k", F.length("domain") % 3)
-    answers = hosts.where("k < 2").select("domain", F.when(F.col("k") == 0, 200).otherwise(403).alias("status"), F.lit("User-agent: *\nDisallow: /de\nCrawl-delay: 2\n").alias("body"), F.current_timestamp().alias("fetched_at"))
-    return robots.with_robots(pages, answers, RobotsRules()).select("page_id", "allowed", "crawl_delay")
+    body = F.lit("User-agent: *\nDisallow: /de\nCrawl-delay: 2\n")
+    return hosts.where("k < 2").select("domain", F.when(F.col("k") == 0, 200).otherwise(403).alias("status"), body.alias("body"), F.current_timestamp().alias("fetched_at"))
 
 
 SQL_GRAPH = """
@@ -388,6 +425,45 @@ def h1_fetch_from_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy("fetch_error").agg(F.count("*").alias("pages"), F.sum(F.octet_length("raw_html")).alias("bytes"))
 
 
+@query("""
+select case when page_id % 7 = 1 then 503 else 404 end as status_code, count(*)::bigint as count from pages where page_id % 7 in (1, 2) group by all
+""")
+def h4_errors_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").withColumn("u", F.concat("url", F.lit("#"), F.col("page_id")))
+    status = F.when(F.col("page_id") % 7 == 1, 503).when(F.col("page_id") % 7 == 2, 404).otherwise(200)
+    captures = pages.where("page_id % 7 > 0").select(F.col("u").alias("url"), status.alias("status_code"), F.col("u").alias("final_url"), F.lit("text/html").alias("content_type"), F.col("html").alias("body"))
+    return fetch.errors_by_status(fetch.from_captures(pages.select(F.col("u").alias("url")), captures))
+
+
+@query(f"""
+with l as (select distinct page_id, target_url from ({SQL_LINKS}))
+select count(*)::bigint as found, count(*) filter (page_id % 5 + 1 <= 3)::bigint as reinjected, count(*) filter (page_id % 5 + 1 > 3)::bigint as skipped_depth, 0::bigint as skipped_domain from l
+""")
+def j6_follow_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _parsed(spark, sf_dir).select("url", (F.col("page_id") % 5).cast("int").alias("depth"), "links")
+    return crawl.follow_stats(pages).drop("rate")
+
+
+@query(f"""
+select count(*) filter (k <> 1 and not (k = 0 and starts_with(p, '/de')))::bigint as allowed, count(*) filter (k = 1 or (k = 0 and starts_with(p, '/de')))::bigint as disallowed,
+    count(*) filter (k = 2)::bigint as fetch_errors, count(distinct h)::bigint as domains from ({SQL_RULES})
+""")
+def r7_robots_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return robots.robots_stats(robots.with_robots(pages, _answers(pages)))
+
+
+@query(f"""
+select host, count(*)::bigint as requests, count(*) filter (wait > 10000)::bigint as delayed, sum(wait)::bigint as total_wait_us, max(a + wait)::bigint as last_release_us from (
+    with r as (select *, row_number() over w as i from ({SQL_REQUESTS}) window w as (partition by host order by a, id)),
+    s as (select *, sum(case when i = 1 then 0 else d end) over w as s from r window w as (partition by host order by a, id))
+    select host, a, s + max(a - s) over (partition by host order by a, id) - a as wait from s)
+group by host
+""")
+def r8_host_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schedule.host_stats(schedule.scheduled(_requests(spark, sf_dir))).drop("current_rate")
+
+
 @query("""
 select * from (values ('upper_case', 4::bigint, 0::bigint, 0::bigint, 1.0::double)) as t(name, processed, errors, dropped, success_rate)
 """)

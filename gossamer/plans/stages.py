@@ -93,6 +93,13 @@ class Pipeline:
     def stage_stats(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([s.row() for s in self.stages], STATS)
 
+    def summary(self, spark: SparkSession) -> str:
+        """One line a stage, and the whole."""
+        rows = throughput(self.stage_stats(spark)).collect()
+        total = overall(self.stage_stats(spark)).first()
+        lines = [f"{r.name}: in {r.processed}, out {r.rows_out}, dropped {r.dropped}, errors {r.errors}, {r.throughput:.2f} rows/s" for r in rows]
+        return "\n".join([*lines, f"all: {total.processed} processed, {total.errors} errors, success {100 * total.success_rate:.2f} %"])
+
     def __enter__(self) -> Pipeline:
         return self
 

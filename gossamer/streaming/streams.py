@@ -2,18 +2,39 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import DedupRules, UrlRules
 from ..functions import urls
 from ..operators import dedup, validate
 
+log = logging.getLogger(__name__)
+
+
+class Monitor(StreamingQueryListener):
+    """Logs the figures of each batch, and keeps the last of each query."""
+
+    def __init__(self) -> None:
+        self.last: dict[str, dict[str, float]] = {}
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        log.info("query %s started", event.id)
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        self.last[str(p.id)] = {"batch": p.batchId, "rows": p.numInputRows, "rows_per_second": p.processedRowsPerSecond}
+        log.info("query %s: batch %d, %d rows", p.id, p.batchId, p.numInputRows)
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        log.info("query %s ended: %s", event.id, event.exception or "done")
+
 
 def url_stream(spark: SparkSession, folder: str, schema: str = "url string, depth int, parent_url string", max_files: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).json(folder)

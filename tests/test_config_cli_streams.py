@@ -59,7 +59,10 @@ def test_streams(spark, tmp_path):
     src = tmp_path / "in"
     write(src, "1.json", [{"url": "http://a.com/x/", "depth": 0}, {"url": "HTTP://A.com/X", "depth": 0}, {"url": "bad", "depth": 0}])
     run = lambda: streams.to_folder(streams.first_sightings(streams.url_stream(spark, str(src))), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    monitor = streams.Monitor()
+    spark.streams.addListener(monitor)
     run()
+    spark.streams.removeListener(monitor)
     write(src, "2.json", [{"url": "http://a.com/x", "depth": 0}, {"url": "http://b.com/", "depth": 0}])
     run()
     assert sorted(r.key for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["http://a.com/x", "http://b.com/"]

@@ -138,3 +138,17 @@ def test_stage_pipeline(spark):
     assert pipe.stages[0].processed == 0
     record = stages.to_record(rows).first().record
     assert record.count(":") == 18 and '"url":"a"' in record
+
+
+def test_store_kinds_and_catalog(spark, tmp_path):
+    from gossamer.schema import PAGES
+
+    page = spark.createDataFrame([("http://h.com/a", 0, [])], "url string, depth int, links array<struct<pos:int,kind:string,url:string,text:string>>")
+    sink.write(page, StorageRules(storage_type="filesystem"), str(tmp_path / "f"))
+    sink.write(page, StorageRules(storage_type="json"), str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "f")).first().path == "h.com/a"
+    assert spark.read.parquet(str(tmp_path / "t/pages")).columns == [c.split()[0] for c in PAGES.split(", ")]
+    spark.sql("create database if not exists store")
+    sink.create_tables(spark, "store")
+    assert {r.tableName for r in spark.sql("show tables in store").collect()} == {"pages", "links", "images", "crawl_stats", "seen_urls"}
+    assert "all: 0 processed" in stages.Pipeline().add_stage("upper_case").summary(spark)

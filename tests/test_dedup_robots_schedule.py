@@ -83,6 +83,8 @@ def test_old_answers_do_not_count(spark):
     now = lambda s: F.lit(s).cast("timestamp")
     assert not robots.with_robots(pages, table, RobotsRules(), now("2024-01-01 23:00:00")).first().allowed
     assert robots.with_robots(pages, table, RobotsRules(), now("2024-01-03 00:00:00")).first().allowed
+    assert robots.stale_hosts(pages, table, RobotsRules(), now("2024-01-01 23:00:00")).count() == 0
+    assert [r.domain for r in robots.stale_hosts(pages, table, RobotsRules(), now("2024-01-03 00:00:00")).collect()] == ["h.com"]
 
 
 def simulate(rows, strategy, n, d):
