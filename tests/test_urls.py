@@ -83,3 +83,17 @@ def test_drop_reasons_in_order(spark):
 ])
 def test_resolve(href, base, want):
     assert urls.resolve(href, base, ("mailto:", "javascript:")) == want
+
+
+def test_white_space_is_pythons(spark):
+    import random
+    import re
+
+    from gossamer.functions import text
+
+    assert set(text.SPACES) == {c for c in map(chr, range(0x110000)) if c.isspace()}
+    rng = random.Random(1)
+    made = ["".join(rng.choice(" \t\n\r\x0b\x1c\x85\xa0\u2003\u3000ab\u00e9") for _ in range(rng.randrange(12))) for _ in range(500)]
+    rows = spark.createDataFrame([(t,) for t in made], "t string").select("t", text.clean(F.col("t")).alias("c"), text.word_count(F.col("t")).alias("w"))
+    for r in rows.collect():
+        assert r.c == re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", r.t)).strip() and r.w == len(r.t.split())
