@@ -17,7 +17,6 @@ components take no part. Repeated ids are one row. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
 

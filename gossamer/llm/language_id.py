@@ -41,14 +41,7 @@ class ContextTrees:
     lut: np.ndarray  # byte -> symbol; bytes never seen share the last one
     rows: list[np.ndarray]  # for each order: context -> its longest known suffix
     bits: np.ndarray  # (context, symbol) -> code length in each language
-
-    @property
-    def symbols(self) -> int:
-        return self.bits.shape[0] // self.n_contexts
-
-    @property
-    def n_contexts(self) -> int:
-        return int(self.rows[-1].max()) + 1 if len(self.rows) else 1
+    base: int  # symbols
 
 
 def grams(data: np.ndarray, offsets: np.ndarray, k: int, base: int) -> np.ndarray:
@@ -110,12 +103,12 @@ def fit(samples: dict[str, list[bytes]], order: int = ORDER, max_cells: int = MA
     np.log2(levels, out=levels)
     np.negative(levels, out=levels)
     levels[:, -1] += np.log2(max(1, 257 - base))
-    return ContextTrees(languages, lut, rows, levels.reshape(-1, len(languages)))
+    return ContextTrees(languages, lut, rows, levels.reshape(-1, len(languages)), base)
 
 
 def code_lengths(model: ContextTrees, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Bits of each text (data between successive offsets) in each language."""
-    base, order = len(model.rows[1]) if len(model.rows) > 1 else model.symbols, len(model.rows) - 1
+    base, order = model.base, len(model.rows) - 1
     out = np.zeros((len(offsets) - 1, len(model.languages)))
     doc = 0
     for a in range(0, len(data), CHUNK):
