@@ -246,7 +246,7 @@ def p6_link_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.select(F.col("user_id").alias("host"), F.col("event_id").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("arrival_us"), (F.col("event_id") % 3 * 1800).cast("double").alias("crawl_delay"))
+    return e.select(F.col("user_id").alias("host"), F.col("event_id").alias("id"), F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("arrival_us"), (F.col("event_id") % 3 * 1800).cast("double").alias("crawl_delay"))
 
 
 SQL_REQUESTS = f"select user_id as host, event_id as id, {SQL_MICROS} as a, (event_id % 3 * 1800 * 1000000)::bigint as d from events"
