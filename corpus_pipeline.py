@@ -48,9 +48,9 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents come as many times as the mix takes them; those it does not take go."""
-    copies = durable(mixing.mix(docs).groupBy(F.col("doc_id").alias("id")).agg(F.max("copies").alias("copies")).where("copies > 0"), "copies")
-    taken = docs.join(_sized(copies), F.col("doc_id").eqNullSafe(F.col("id")))
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    copies = durable(mixing.mix(docs).groupBy(F.col("doc_id").alias("_mixed_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0"), "copies")
+    taken = docs.join(_sized(copies), F.col("doc_id").eqNullSafe(F.col("_mixed_id")))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
