@@ -3,8 +3,8 @@
 The most frequent words and the end of a text are classes of their own, all other words
 one class within which a smoothed unigram decides. The model predicts a class from the
 two before it: score(w | a, b) = (c1 * r_b + c2 * r_a) . q_w + bias_w. It is trained in
-numpy by noise-contrastive estimation on class trigrams drawn in proportion from the counts
-of the whole training fold, then normalised exactly: a few matrix products give the
+numpy by noise-contrastive estimation on all class trigrams of the training fold, weighted by
+their counts and streamed to the driver in random order, then normalised exactly: a few matrix products give the
 scores of every class after every pair, and their log-sums the log-probability of any token.
 
 Word counts cover all training texts. The most frequent words (at most `HEAD`, found by a
@@ -17,7 +17,7 @@ training text all counts are 0. Extra columns are ignored, texts of any length s
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,9 @@ from .common import discard, durable, encoded, fold, read, segment_sums, slices
 HEAD = 1 << 17  # words at most whose counts are sent to every task
 CLASSES = 384  # END, REST and the most frequent words
 END, REST = 0, 1
-DRAWS = 600_000  # class trigrams that the model is trained on, as expected
+EPOCHS = 2  # passes over all class trigrams
+GRAINS = 4_000_000  # a sample stands for at most the tokens' share of one in so many
+CHUNK = 1 << 20  # samples that are shuffled at once
 DIMS = 24
 
 
@@ -95,6 +97,35 @@ def count_trigrams(head: Callable[[], Head]) -> Callable[[Iterator[pa.RecordBatc
     return run
 
 
+def shuffled(blocks: Iterable[tuple[np.ndarray, np.ndarray]], grain: int, batch: int, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Batches of keys and weights: counts cut into samples of at most `grain` tokens, shuffled by `CHUNK` samples."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def batches() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        keys, weights = (np.concatenate(x) for x in zip(*held))
+        order = rng.permutation(len(keys))
+        for at in np.array_split(order, max(1, round(len(order) / batch))):
+            yield keys[at], weights[at]
+        held.clear()
+
+    for keys, n in blocks:
+        pieces = -(-n // grain)
+        held.append((np.repeat(keys, pieces), np.repeat((n / pieces).astype(np.float32), pieces)))
+        if sum(len(k) for k, _ in held) >= CHUNK:
+            yield from batches()
+    if sum(len(k) for k, _ in held):
+        yield from batches()
+
+
+def row_sums(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """The sum of the values of each row number below `size`."""
+    order = np.argsort(rows, kind="stable")
+    begin = np.flatnonzero(np.diff(rows[order], prepend=-1))
+    out = np.zeros((size, values.shape[1]), np.float32)
+    out[rows[order[begin]]] = np.add.reduceat(values[order], begin, axis=0)
+    return out
+
+
 class LogBilinear:
     """weights: class vectors r (context) and q (target), position weights c1 and c2, biases."""
 
@@ -102,60 +133,58 @@ class LogBilinear:
         rng = np.random.default_rng(seed)
         self.size = size
         self.w = {"r": rng.normal(0, 0.1, (size, dims)), "q": rng.normal(0, 0.1, (size, dims)), "c1": np.ones(dims), "c2": np.full(dims, 0.5), "b": np.zeros(size)}
+        self.w = {x: v.astype(np.float32) for x, v in self.w.items()}
+
+    def train(self, keys: np.ndarray, counts: np.ndarray, noise: np.ndarray, epochs: int = 3, **how: float) -> LogBilinear:
+        return self.learn(lambda: [(keys, counts)], int(counts.sum()), 1, noise, epochs, **how)
 
-    def train(self, keys: np.ndarray, draws: np.ndarray, noise: np.ndarray, epochs: int = 3, batch: int = 2048, k: int = 100, rate: float = 0.03, seed: int = 8) -> LogBilinear:
-        """Noise-contrastive estimation: tell each drawn token from k tokens of the noise distribution, by Adam.
+    def learn(self, blocks: Callable[[], Iterable[tuple[np.ndarray, np.ndarray]]], samples: int, grain: int, noise: np.ndarray, epochs: int = EPOCHS, batch: int = 2048, k: int = 100, rate: float = 0.03, seed: int = 8) -> LogBilinear:
+        """Noise-contrastive estimation on all trigrams of the blocks (keys and counts, in random order): tell each token from
+        k tokens of the noise distribution, by Adam. A count n comes as ceil(n / grain) samples, `samples` in all, whose weights add up to n.
         Samples of a batch share their noise tokens, so both sides are matrix products."""
-        if not len(keys):
+        if not samples:
             return self
-        rng, w = np.random.default_rng(seed), self.w
+        rng, w, size = np.random.default_rng(seed), self.w, self.size
         noise = noise / noise.sum()
-        shift = np.log(k * noise)
+        shift = np.log(k * noise).astype(np.float32)
+        edges = np.cumsum(noise) / noise.sum()
         w["b"][:] = np.log(noise)
-        keys = np.repeat(keys, draws)
-        mean, square, t = ({x: np.zeros_like(v) for x, v in w.items()} for _ in range(2)), None, 0
-        mean, square = mean
-        steps = epochs * max(1, len(keys) // batch)
-        for _ in range(epochs):
-            rng.shuffle(keys)
-            for at in range(0, max(1, len(keys) - batch + 1), batch):
-                key = keys[at : at + batch]
-                two, one, target = key // self.size**2, key // self.size % self.size, key % self.size
-                other = rng.choice(self.size, k, p=noise)
-                ra, rb = w["r"][two], w["r"][one]
-                h = rb * w["c1"] + ra * w["c2"]
-                s_true = (h * w["q"][target]).sum(1) + w["b"][target] - shift[target]
-                s_other = h @ w["q"][other].T + w["b"][other] - shift[other]
-                e_true = 1 / (1 + np.exp(s_true))  # 1 - P(true is data)
-                e_other = -1 / (1 + np.exp(-s_other))
-                dh = e_true[:, None] * w["q"][target] + e_other @ w["q"][other]
-                g = {x: np.zeros_like(v) for x, v in w.items()}
-                np.add.at(g["q"], target, e_true[:, None] * h)
-                np.add.at(g["q"], other, e_other.T @ h)
-                np.add.at(g["b"], target, e_true)
-                np.add.at(g["b"], other, e_other.sum(0))
-                np.add.at(g["r"], one, dh * w["c1"])
-                np.add.at(g["r"], two, dh * w["c2"])
-                g["c1"], g["c2"] = (dh * rb).sum(0), (dh * ra).sum(0)
-                t += 1
-                slow = rate * (1 - t / (steps + 1))
-                for x in w:
-                    grad = g[x] / len(key)
-                    mean[x] += 0.1 * (grad - mean[x])
-                    square[x] += 0.01 * (grad * grad - square[x])
-                    w[x] += slow * (mean[x] / (1 - 0.9**t)) / (np.sqrt(square[x] / (1 - 0.99**t)) + 1e-6)
+        mean, square = ({x: np.zeros_like(v) for x, v in w.items()} for _ in range(2))
+        t, steps = 0, epochs * max(1, samples // batch)
+        for key, weight in (c for _ in range(epochs) for c in shuffled(blocks(), grain, batch, rng)):
+            two, one, target = key // size**2, key // size % size, key % size
+            other = np.minimum(np.searchsorted(edges, rng.random(k), "right"), size - 1)
+            ra, rb = w["r"][two], w["r"][one]
+            h = rb * w["c1"] + ra * w["c2"]
+            q_true, q_other = w["q"][target], w["q"][other]
+            s_true = (h * q_true).sum(1) + w["b"][target] - shift[target]
+            s_other = h @ q_other.T + (w["b"][other] - shift[other])
+            e_true = weight / (1 + np.exp(s_true))  # 1 - P(true is data)
+            e_other = -weight[:, None] / (1 + np.exp(-s_other))
+            dh = e_true[:, None] * q_true + e_other @ q_other
+            both = np.concatenate([target, other])
+            g = {
+                "r": row_sums(np.concatenate([one, two]), np.concatenate([dh * w["c1"], dh * w["c2"]]), size),
+                "q": row_sums(both, np.concatenate([e_true[:, None] * h, e_other.T @ h]), size),
+                "b": np.bincount(both, np.concatenate([e_true, e_other.sum(0)]), size).astype(np.float32),
+                "c1": (dh * rb).sum(0), "c2": (dh * ra).sum(0),
+            }
+            t += 1
+            slow, whole = rate * max(0.0, 1 - t / (steps + 1)), weight.sum()
+            for x in w:
+                grad = g[x] / whole
+                mean[x] += 0.1 * (grad - mean[x])
+                square[x] += 0.01 * (grad * grad - square[x])
+                w[x] += slow / (1 - 0.9**t) * mean[x] / (np.sqrt(square[x] / (1 - 0.99**t)) + 1e-6)
         return self
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """What the class before, and the one before it, add to each class's score (bias with the first), and the log-sum
         of each pair's scores, all in log10."""
-        w = self.w
+        w = {x: v.astype(np.float64) for x, v in self.w.items()}
         near, far = (w["r"] * w["c1"]) @ w["q"].T + w["b"], (w["r"] * w["c2"]) @ w["q"].T
-        norm = np.empty((self.size, self.size))
-        for a in range(self.size):
-            s = near + far[a]
-            top = s.max(1)
-            norm[a] = top + np.log(np.exp(s - top[:, None]).sum(1))
+        top, most = near.max(1), far.max(1)
+        norm = np.log(np.exp(far - most[:, None]) @ np.exp(near - top[:, None]).T) + top + most[:, None]
         return near / np.log(10), far / np.log(10), norm / np.log(10)
 
 
@@ -163,6 +192,18 @@ def word_counts(train: DataFrame) -> DataFrame:
     return durable(train.select("text").mapInArrow(count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
 
 
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([batch.column(c).to_numpy().tobytes()], pa.binary()) for c in ("key", "n")], names=["key", "n"])
+
+
+def streamed(grams: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All keys and counts in the order of a hash, a partition at a time."""
+    rows = grams.orderBy(F.xxhash64("key", F.lit(4)), "key").select("key", "n").mapInArrow(packed, "key binary, n binary")
+    for r in rows.toLocalIterator():
+        yield np.frombuffer(r.key, np.int64), np.frombuffer(r.n, np.int64)
+
+
 def head_of(counts: DataFrame, most: int = HEAD, classes: int = CLASSES) -> Head:
     """Words from the highest level of count downwards, while there are at most `most` of them."""
     level = F.floor(F.log2("n") * 16).cast("int")
@@ -192,14 +233,13 @@ def score(docs: DataFrame, train: Column, most: int = HEAD, classes: int = CLASS
     size = head.singles + 2
 
     grams = durable(learnt.mapInArrow(count_trigrams(lambda: sent.value), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "trigrams")
-    rate = min(1.0, DRAWS / max(1, tokens))
-    draws = F.floor(F.col("n") * rate + (F.xxhash64("key", F.lit(4)) / F.lit(2.0**64) + 0.5)).cast("long")
-    drawn = grams.select("key", draws.alias("draws")).where("draws > 0").toArrow().sort_by("key")
-    discard(grams)
+    grain = max(1, tokens // GRAINS)
+    samples = grams.agg(F.coalesce(F.sum(F.ceil(F.col("n") / grain)), F.lit(0)).alias("n")).first().n
     single = head.counts[: head.singles]
     rest_tokens, rest_words = tokens - ends - single.sum(), whole.v - head.singles
     noise = np.maximum(np.concatenate([[ends, rest_tokens], single]), 0.5)
-    model = LogBilinear(size).train(drawn.column("key").to_numpy(), drawn.column("draws").to_numpy(), noise)
+    model = LogBilinear(size).learn(lambda: streamed(grams), int(samples), grain, noise)
+    discard(grams)
     tables = spark.sparkContext.broadcast(tuple(t.astype(np.float32) if t.ndim > 2 else t for t in model.tables()))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

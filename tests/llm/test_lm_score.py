@@ -72,3 +72,25 @@ def test_edges(spark):
     none = L.score(docs, L.F.lit(False)).collect()
     assert {r.n_known for r in none} == {0} and {r.train_tokens for r in none} == {0}
     assert len(L.score(docs, L.F.lit(True)).collect()) == 6
+
+
+def test_the_model_learns_from_every_trigram_of_a_corpus_of_any_size(spark, monkeypatch):
+    """The weights of the samples add up to all tokens, however coarse the samples are."""
+    seen = []
+    learn = L.LogBilinear.learn
+
+    def watched(self, blocks, samples, grain, *more, **how):
+        rng = np.random.default_rng(0)
+        batches = list(L.shuffled(blocks(), grain, 64, rng))
+        seen.append((sum(len(k) for k, _ in batches), samples, float(sum(w.sum(dtype=float) for _, w in batches)), len(np.unique(np.concatenate([k for k, _ in batches])))))
+        return learn(self, blocks, samples, grain, *more, **how)
+
+    monkeypatch.setattr(L.LogBilinear, "learn", watched)
+    monkeypatch.setattr(L, "GRAINS", 500)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    total = {r.train_tokens for r in L.score(docs, L.F.lit(True)).collect()}.pop()
+    monkeypatch.setattr(L, "GRAINS", 10**9)
+    L.score(docs, L.F.lit(True)).count()
+    (rows, samples, weight, distinct), (fine_rows, fine, fine_weight, fine_distinct) = seen
+    assert rows == samples < total and fine_rows == fine == total
+    assert math.isclose(weight, total, rel_tol=1e-6) and math.isclose(fine_weight, total, rel_tol=1e-6) and distinct == fine_distinct
