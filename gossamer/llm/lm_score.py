@@ -1,11 +1,13 @@
 """Operator 4: language-model scores from a log-bilinear model trained by noise-contrastive estimation.
 
-The most frequent words and the end of a text are classes of their own, all other words
-one class within which a smoothed unigram decides. The model predicts a class from the
+Every word has a class, and with it a vector as context and as target. The end of a text and the
+most frequent words are classes of their own; the others share classes, bands of equal frequency
+for those of the head and hash classes for the rest, within which a smoothed unigram decides.
+The number of classes grows with the corpus. The model predicts a class from the
 two before it: score(w | a, b) = (c1 * r_b + c2 * r_a) . q_w + bias_w. It is trained in
 numpy by noise-contrastive estimation on all class trigrams of the training fold, weighted by
-their counts and streamed to the driver in random order, then normalised exactly: a few matrix products give the
-scores of every class after every pair, and their log-sums the log-probability of any token.
+their counts and streamed to the driver in random order, then normalised exactly: matrix products give
+the sum over all classes after every pair of them.
 
 Word counts cover all training texts. The most frequent words (at most `HEAD`, found by a
 histogram of counts) are sent to the tasks; the rest meet their counts in a join, by
@@ -17,6 +19,7 @@ training text all counts are 0. Extra columns are ignored, texts of any length s
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -29,22 +32,37 @@ from pyspark.sql import functions as F
 from .common import discard, durable, encoded, fold, read, segment_sums, slices
 
 HEAD = 1 << 17  # words at most whose counts are sent to every task
-CLASSES = 384  # END, REST and the most frequent words
-END, REST = 0, 1
+CLASSES = 384  # at least
+END = 0
 EPOCHS = 2  # passes over all class trigrams
 GRAINS = 4_000_000  # a sample stands for at most the tokens' share of one in so many
 CHUNK = 1 << 20  # samples that are shuffled at once
 DIMS = 24
+PIECE = 1 << 16  # tokens that are scored at once
+
+
+def class_count(tokens: int) -> int:
+    """Classes for a corpus: they grow with the cube root of the tokens, so the exact norms of all pairs take time in proportion to the tokens."""
+    return max(CLASSES, round(3 * tokens ** (1 / 3)))
 
 
 class Head:
-    """The most frequent words: counts, and classes of the first of them."""
+    """The most frequent words: counts, and the classes of all words. Of `size` classes END is the first, then come the most frequent
+    words, one each, bands of the other words here by frequency, and last `hashed` classes of the words beyond, by a hash."""
 
     def __init__(self, words: list[str], counts: np.ndarray, classes: int = CLASSES) -> None:
         order = sorted(range(len(words)), key=lambda i: (-counts[i], words[i]))
         self.words = pa.array([words[i] for i in order], pa.large_string())
         self.counts = np.array([counts[i] for i in order], np.float64)
-        self.singles = min(len(words), classes - 2)
+        self.hashed = max(1, classes // 8)
+        bands = classes // 8
+        self.singles = min(len(words), max(0, classes - 1 - bands - self.hashed))
+        others = self.counts[self.singles :]
+        band = np.floor((np.cumsum(others) - others) / max(1.0, others.sum()) * bands).astype(np.int64)
+        band = np.unique(band, return_inverse=True)[1]
+        self.kinds = np.concatenate([np.arange(self.singles), self.singles + band]).astype(np.int64) + 1
+        self.beyond = int(self.kinds.max(initial=0)) + 1  # the first hashed class
+        self.size = self.beyond + self.hashed
 
     def places(self, distinct: pa.Array) -> np.ndarray:
         """Place of each word in the head, or -1."""
@@ -52,8 +70,25 @@ class Head:
             return np.full(len(distinct), -1, np.int64)
         return pc.fill_null(pc.index_in(distinct, self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
-    def classes(self, places: np.ndarray) -> np.ndarray:
-        return np.where((places >= 0) & (places < self.singles), places + 2, REST)
+    def classes(self, places: np.ndarray, distinct: pa.Array) -> np.ndarray:
+        out = self.kinds[places] if len(self.kinds) else np.zeros(len(places), np.int64)
+        tail = np.flatnonzero(places < 0)
+        out[tail] = [self.beyond + zlib.crc32(w) % self.hashed for w in distinct.take(pa.array(tail)).cast(pa.large_binary()).to_pylist()]
+        return out
+
+    def totals(self, ends: int, beyond: dict[int, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of each class, and the log10 of what the smoothed counts of its words add up to (0 for a word of its own).
+        beyond: tokens and words of the hashed classes; each has one more word for all unknown ones."""
+        tokens, inner = np.zeros(self.size), np.zeros(self.size)
+        tokens[END] = ends
+        tokens[: self.beyond] += np.bincount(self.kinds, self.counts, self.beyond)
+        words = np.bincount(self.kinds, minlength=self.beyond)
+        banded = slice(self.singles + 1, self.beyond)
+        inner[banded] = np.log10(tokens[banded] + 0.5 * words[banded])
+        for i in range(self.hashed):
+            n, v = beyond.get(i, (0, 0))
+            tokens[self.beyond + i], inner[self.beyond + i] = n, np.log10(n + 0.5 * (v + 1))
+        return tokens, inner
 
 
 def with_ends(classes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,10 +121,10 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def count_trigrams(head: Callable[[], Head]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, size = head(), 2 + head().singles
+        h, size = head(), head().size
         for batch in slices(batches):
             indices, distinct, offsets = encoded(batch.column("text"))
-            classes, offsets = with_ends(h.classes(h.places(distinct))[indices], offsets)
+            classes, offsets = with_ends(h.classes(h.places(distinct), distinct)[indices], offsets)
             two, one = trigrams(classes, offsets)
             keys, n = np.unique((two * size + one) * size + classes, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], names=["key", "n"])
@@ -178,14 +213,29 @@ class LogBilinear:
                 w[x] += slow / (1 - 0.9**t) * mean[x] / (np.sqrt(square[x] / (1 - 0.99**t)) + 1e-6)
         return self
 
+    def vectors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Vectors of the class before, of the one before it and of the target, and biases, so that scores come in log10."""
+        w, unit = self.w, np.float32(1 / np.log(10))
+        return w["r"] * w["c1"] * unit, w["r"] * w["c2"] * unit, w["q"], w["b"] * unit
+
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """What the class before, and the one before it, add to each class's score (bias with the first), and the log-sum
-        of each pair's scores, all in log10."""
+        of each pair's scores (a row for the class two before, by a matrix product), all in log10."""
         w = {x: v.astype(np.float64) for x, v in self.w.items()}
         near, far = (w["r"] * w["c1"]) @ w["q"].T + w["b"], (w["r"] * w["c2"]) @ w["q"].T
-        top, most = near.max(1), far.max(1)
-        norm = np.log(np.exp(far - most[:, None]) @ np.exp(near - top[:, None]).T) + top + most[:, None]
-        return near / np.log(10), far / np.log(10), norm / np.log(10)
+        return near / np.log(10), far / np.log(10), self.norms().astype(np.float64)
+
+    def norms(self) -> np.ndarray:
+        w = {x: v.astype(np.float64) for x, v in self.w.items()}
+        near = (w["r"] * w["c1"]) @ w["q"].T + w["b"]
+        top = near.max(1)
+        near = np.exp(near - top[:, None]).T
+        out = np.empty((self.size, self.size), np.float32)
+        for at in range(0, self.size, 256):
+            far = (w["r"][at : at + 256] * w["c2"]) @ w["q"].T
+            most = far.max(1)[:, None]
+            out[at : at + 256] = (np.log(np.exp(far - most) @ near) + top + most) / np.log(10)
+        return out
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -204,8 +254,8 @@ def streamed(grams: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.frombuffer(r.key, np.int64), np.frombuffer(r.n, np.int64)
 
 
-def head_of(counts: DataFrame, most: int = HEAD, classes: int = CLASSES) -> Head:
-    """Words from the highest level of count downwards, while there are at most `most` of them."""
+def head_of(counts: DataFrame, most: int = HEAD, classes: int = CLASSES) -> tuple[Head, dict[int, tuple[int, int]]]:
+    """Words from the highest level of count downwards, while there are at most `most` of them; tokens and words of each hashed class of the others."""
     level = F.floor(F.log2("n") * 16).cast("int")
     least, total = None, 0
     for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():
@@ -214,12 +264,17 @@ def head_of(counts: DataFrame, most: int = HEAD, classes: int = CLASSES) -> Head
             break
         least = r.level
     if least is None:
-        return Head([], np.zeros(0), classes)
-    got = counts.where(level >= least).toArrow()
-    return Head(got.column("word").to_pylist(), got.column("n").to_numpy(), classes)
+        head = Head([], np.zeros(0), classes)
+    else:
+        got = counts.where(level >= least).toArrow()
+        head = Head(got.column("word").to_pylist(), got.column("n").to_numpy(), classes)
+    others = counts if least is None else counts.where(level < least)
+    place = (F.crc32(F.col("word").cast("binary")) % head.hashed).cast("int")
+    beyond = others.groupBy(place.alias("place")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
+    return head, {r.place: (r.n, r.v) for r in beyond}
 
 
-def score(docs: DataFrame, train: Column, most: int = HEAD, classes: int = CLASSES) -> DataFrame:
+def score(docs: DataFrame, train: Column, most: int = HEAD, classes: int | None = None) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of docs (doc_id, text), learning where `train` holds."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
@@ -228,34 +283,34 @@ def score(docs: DataFrame, train: Column, most: int = HEAD, classes: int = CLASS
     ends = learnt.count()
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     tokens, distinct = whole.n + ends, whole.v + (ends > 0)
-    head = head_of(counts, most, classes)
+    head, beyond = head_of(counts, most, classes or class_count(tokens))
     sent = spark.sparkContext.broadcast(head)
-    size = head.singles + 2
 
     grams = durable(learnt.mapInArrow(count_trigrams(lambda: sent.value), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "trigrams")
     grain = max(1, tokens // GRAINS)
     samples = grams.agg(F.coalesce(F.sum(F.ceil(F.col("n") / grain)), F.lit(0)).alias("n")).first().n
-    single = head.counts[: head.singles]
-    rest_tokens, rest_words = tokens - ends - single.sum(), whole.v - head.singles
-    noise = np.maximum(np.concatenate([[ends, rest_tokens], single]), 0.5)
-    model = LogBilinear(size).learn(lambda: streamed(grams), int(samples), grain, noise)
+    noise, inner = head.totals(ends, beyond)
+    model = LogBilinear(head.size).learn(lambda: streamed(grams), int(samples), grain, np.maximum(noise, 0.5))
     discard(grams)
-    tables = spark.sparkContext.broadcast(tuple(t.astype(np.float32) if t.ndim > 2 else t for t in model.tables()))
+    tables = spark.sparkContext.broadcast((*model.vectors(), model.norms(), inner))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, (near, far, norm) = sent.value, tables.value
+        h, (near, far, target, bias, norm, inner) = sent.value, tables.value
         log = np.append(np.log10(h.counts + 0.5), 0.0)  # the last is for words beyond the head
         row = TaskContext.get().partitionId() << 36
         for batch in slices(batches):
             indices, words_, offsets = encoded(batch.column("text"))
             places = h.places(words_)
-            kind, n = h.classes(places), batch.num_rows
+            kind, n = h.classes(places, words_), batch.num_rows
             lengths = np.diff(offsets)
             cls, begin = with_ends(kind[indices], offsets)
             two, one = trigrams(cls, begin)
-            p = near[one, cls] + far[two, cls] - norm[two, one]
+            p = np.empty(len(cls))
+            for at in range(0, len(cls), PIECE):
+                c, a, b = cls[at : at + PIECE], one[at : at + PIECE], two[at : at + PIECE]
+                p[at : at + PIECE] = ((near[a] + far[b]) * target[c]).sum(1) + bias[c] - norm[b, a] - inner[c]
             doc = np.repeat(np.arange(n), lengths)
-            rest = (kind == REST)[indices]
+            rest = (kind > h.singles)[indices]
             head_log = segment_sums(log[places[indices]], offsets)
             rest_log = segment_sums(np.where(rest, log[places[indices]], 0.0), offsets)
             beyond = (places < 0)[indices]
@@ -268,24 +323,22 @@ def score(docs: DataFrame, train: Column, most: int = HEAD, classes: int = CLASS
                 "word": pa.concat_arrays([pa.nulls(n, pa.string()), words_.take(pa.array(tail % max(1, len(words_)))).cast(pa.string())]),
                 "n": np.concatenate([lengths + 1, times]),
                 "in_head": np.concatenate([lengths - segment_sums(beyond.astype(np.int64), offsets), np.zeros(len(tail), np.int64)]),
-                "n_rest": np.concatenate([segment_sums(rest.astype(np.int64), offsets), np.zeros(len(tail), np.int64)]),
                 "head_log": np.concatenate([head_log, np.zeros(len(tail))]),
                 "rest_log": np.concatenate([rest_log, np.zeros(len(tail))]),
                 "class_log": np.concatenate([segment_sums(p, begin), np.zeros(len(tail))]),
             }
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
 
-    rows = durable(docs.mapInArrow(scored, "row long, doc_id long, word string, n long, in_head long, n_rest long, head_log double, rest_log double, class_log double"), "scores")
+    rows = durable(docs.mapInArrow(scored, "row long, doc_id long, word string, n long, in_head long, head_log double, rest_log double, class_log double"), "scores")
     tails = rows.where("word is not null").select("row", "word", "n").join(counts.withColumnRenamed("n", "c"), "word", "left")
     tails = tails.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("tail_log"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("tail_known"))
     out = rows.where("word is null").join(tails, "row", "left").na.fill(0, ["tail_log", "tail_known"])
     end_log = float(np.log10(ends + 0.5))
     all_log = float(np.log10(tokens + 0.5 * (distinct + 1)))
-    rest_norm = float(np.log10(max(0, rest_tokens) + 0.5 * (rest_words + 1)))
     return out.select(
         "doc_id", F.col("n").alias("n_tokens"), (F.col("in_head") + F.col("tail_known") + F.lit(int(ends > 0))).alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"),
         (F.col("head_log") + F.col("tail_log") + F.lit(end_log) - F.col("n") * F.lit(all_log)).alias("base_score"),
-        (F.col("class_log") + F.col("rest_log") + F.col("tail_log") - F.col("n_rest") * F.lit(rest_norm)).alias("score"),
+        (F.col("class_log") + F.col("rest_log") + F.col("tail_log")).alias("score"),
     )
 
 

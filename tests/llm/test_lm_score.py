@@ -94,3 +94,31 @@ def test_the_model_learns_from_every_trigram_of_a_corpus_of_any_size(spark, monk
     (rows, samples, weight, distinct), (fine_rows, fine, fine_weight, fine_distinct) = seen
     assert rows == samples < total and fine_rows == fine == total
     assert math.isclose(weight, total, rel_tol=1e-6) and math.isclose(fine_weight, total, rel_tol=1e-6) and distinct == fine_distinct
+
+
+def test_classes_grow_and_every_word_has_one():
+    assert L.class_count(1000) == L.CLASSES < L.class_count(50_000_000) < L.class_count(4_000_000_000)
+    words, counts = [f"w{i}" for i in range(500)], np.arange(500, 0, -1)
+    head = L.Head(words, counts, 64)
+    asked = L.pa.array([*words, "unseen", "other", "ü"], L.pa.large_string())
+    kinds = head.classes(head.places(asked), asked)
+    assert (kinds > L.END).all() and (kinds < head.size).all() and len(set(kinds[:500].tolist())) == head.beyond - 1 > head.singles
+    assert len(set(kinds[500:].tolist())) > 1 and (kinds[500:] >= head.beyond).all()
+
+
+def test_all_words_and_an_unknown_one_of_each_class_sum_to_one(spark):
+    words = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(words[: 60 - i])) for i in range(55)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    counts = L.word_counts(frame)
+    head, beyond = L.head_of(counts, 40, 24)
+    tokens, inner = head.totals(55, beyond)
+    n = {r.word: r.n for r in counts.collect()}
+    assert tokens.sum() == sum(n.values()) + 55 and 0 < len(head.words) <= 40
+    share = np.zeros(head.size)
+    share[L.END] = 1
+    array = L.pa.array(list(n), L.pa.large_string())
+    for w, c in zip(n, head.classes(head.places(array), array)):
+        share[c] += 1 if 0 < c <= head.singles else (n[w] + 0.5) / 10 ** inner[c]
+    share[head.beyond :] += 0.5 / 10 ** inner[head.beyond :]
+    assert np.allclose(share, 1)
