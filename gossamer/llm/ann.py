@@ -111,7 +111,7 @@ def nearest(rows: DataFrame, every: int = EVERY, k: int = K, window: float = WIN
     lengths = [len(v) for v in sample]
     dims = max(sorted(set(lengths)), key=lengths.count)
     curves = spark.sparkContext.broadcast(Curves(unit(np.stack([v for v in sample if len(v) == dims]))))
-    rows = rows.where(F.size("embedding") == dims)
+    rows = durable(rows.where(F.size("embedding") == dims).distinct(), "rows")
     classes = durable(equal_classes(rows, "embedding", "vec_id", k + 1), "vectors")
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "embedding")
     query_class = durable(asked.join(classes.select("embedding", "first"), "embedding").select(F.col("vec_id").alias("query_id"), "first"), "queries")

@@ -94,3 +94,14 @@ def test_hash_search_against_sql(spark):
     c.execute("create view embeddings as select * from '/root/testdata/sf0.01/embeddings.parquet'")
     want = c.execute(ORACLE_SQL["op9_multi_index_hashing"]).fetchall()
     assert sorted(want) == sorted(map(tuple, hash_search.op9_multi_index_hashing(spark, "/root/testdata/sf0.01").collect()))
+
+
+def test_repeated_rows_take_no_places(spark):
+    rng = np.random.default_rng(6)
+    v = [rng.normal(size=64).astype("float32").tolist() for _ in range(40)]
+    once = [(i, v[i], 1, "x") for i in range(40)]
+    asked = lambda data: sorted(tuple(r) for r in ann.nearest(spark.createDataFrame(data, SCHEMA), every=10).collect())
+    want = asked(once)
+    assert len(want) == 4 * 5
+    near = want[0][2]
+    assert asked(once + once[:1] * 6 + once[10:11] + once[near : near + 1] * 7) == want
