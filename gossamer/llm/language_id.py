@@ -140,16 +140,22 @@ def learn(docs: DataFrame, train: F.Column, sample_bytes: int = SAMPLE_BYTES, or
     if not size:
         return None
     place = (F.xxhash64("doc_id", F.lit(2)) / F.lit(2.0**64)) + 0.5
-    rate = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, 1.5 * sample_bytes / n))) for k, n in sorted(size.items())])
-    samples: dict[str, list[bytes]] = {k: [] for k in size}
-    used = dict.fromkeys(size, 0)
-    rows = labelled.where(place < rate).withColumn("place", place).toPandas().sort_values(["place", "doc_id", "text"])
-    for lang, text in zip(rows["lang"], rows["text"]):
-        raw = text.encode()
-        if used[lang] < sample_bytes and (used[lang] + len(raw) <= 2 * sample_bytes or not samples[lang]):
-            samples[lang].append(raw)
-            used[lang] += len(raw)
-    return fit({k: v for k, v in samples.items() if v}, order)
+    samples: dict[str, list[bytes]] = {}
+    wanted = {k: 1.5 * sample_bytes / n for k, n in size.items()}  # the share of the hash's range that is read
+    while wanted:
+        rate = F.coalesce(*[F.when(F.col("lang") == k, F.lit(w)) for k, w in sorted(wanted.items())])
+        rows = labelled.where((place < rate) | (rate > 1)).withColumn("place", place).toPandas().sort_values(["place", "doc_id", "text"])
+        read_bytes, used = dict.fromkeys(wanted, 0), dict.fromkeys(wanted, 0)
+        samples |= {k: [] for k in wanted}
+        for lang, text in zip(rows["lang"], rows["text"]):
+            raw = text.encode()
+            read_bytes[lang] += len(raw)
+            if used[lang] < sample_bytes and (used[lang] + len(raw) <= 2 * sample_bytes or not samples[lang]):
+                samples[lang].append(raw)
+                used[lang] += len(raw)
+        # few long texts: more of the range, until the bytes are there or all texts were read
+        wanted = {k: 4 * w for k, w in wanted.items() if read_bytes[k] < sample_bytes and w <= 1}
+    return fit(samples, order)
 
 
 def judge(trees: ContextTrees | None, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

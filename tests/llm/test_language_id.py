@@ -80,3 +80,11 @@ def test_short_texts_stay_and_noise_goes(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = L.learn(docs.where("doc_id < 3"), L.F.lit(True))
     assert sorted(r.doc_id for r in L.keep_known(docs, model).collect()) == [1, 2, 4]
+
+
+def test_languages_of_few_long_texts_are_learnt(spark):
+    """Whatever the places of their hashes: twenty languages of one text each, longer than what is read first."""
+    rows = [(i, chr(97 + i) * 3000, f"l{i}") for i in range(20)] + [(100 + i, "xyz " * 10, "short") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.learn(docs, L.F.lit(True), 1000)
+    assert model.languages == sorted({r[2] for r in rows})
