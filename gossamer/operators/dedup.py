@@ -1,13 +1,15 @@
 """Duplicate detection: the first sighting of a key stays, in a run and across runs.
 
 "First" is by (depth, parent_order, link_pos) where those columns are there, then by url. Methods: `set` and
-`database` are exact, `bloom` drops a new key with the configured probability, as its filter is sized for.
+`database` are exact, `bloom` drops a new key with the configured probability, its filter is sized for the
+configured capacity, or for the seen keys where they are more.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -41,7 +43,9 @@ def new_urls(df: DataFrame, seen: DataFrame | None = None, rules: DedupRules | N
         known = seen.select(key(F.col("url"), rules.case_sensitive).alias("_key")).distinct()
         return kept.join(known, "_key", "left_anti").drop("_key")
     if rules.method == "bloom":
-        bits = bloom_filter(seen.select(key(F.col("url"), rules.case_sensitive).alias("key")), rules.bloom_capacity, rules.bloom_error_rate)
+        keys = seen.select(key(F.col("url"), rules.case_sensitive).alias("key")).distinct()
+        rules = replace(rules, bloom_capacity=max(rules.bloom_capacity, keys.count()))
+        bits = bloom_filter(keys, rules.bloom_capacity, rules.bloom_error_rate)
         return kept.where(~might_contain(F.col("_key"), bits, rules)).drop("_key")
     raise ValueError(f"unknown method {rules.method!r}")
 

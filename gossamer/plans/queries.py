@@ -121,7 +121,7 @@ def u5d_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..config import DedupRules
 
     pages = table(spark, sf_dir, "pages").select("page_id", F.col("page_id").alias("link_pos"), urls.normalized(F.col("url")).alias("url"))
-    rules = DedupRules(method="bloom", bloom_capacity=100_000, bloom_error_rate=0.001)
+    rules = DedupRules(method="bloom", bloom_error_rate=0.001)
     return dedup.new_urls(pages.where("page_id % 2 = 1"), pages.where("page_id % 2 = 0").select("url"), rules).select("page_id")
 
 

@@ -145,3 +145,12 @@ def test_limit_over_all_hosts(spark):
     assert [r.release_us for r in got] == out
     with pytest.raises(ValueError):
         schedule.scheduled(spark.createDataFrame([("h", 1, 0)], "host string, id long, arrival_us long"), RateRules(strategy="none"))
+
+
+def test_bloom_is_sized_for_what_was_seen(spark):
+    """Fifty times as many seen keys as the capacity: new ones still are dropped with the configured probability only."""
+    rules = DedupRules(method="bloom", bloom_capacity=100, bloom_error_rate=0.01)
+    seen = spark.range(5000).select(F.concat(F.lit("http://k/"), "id").alias("url"))
+    fresh = spark.range(10_000, 14_000).select(F.concat(F.lit("http://k/"), "id").alias("url"))
+    assert dedup.new_urls(fresh, seen, rules).count() > 0.97 * 4000
+    assert dedup.new_urls(seen, seen.union(seen), rules).count() == 0
