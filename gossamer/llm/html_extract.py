@@ -160,7 +160,7 @@ def blocks(page: str) -> list[Block]:
                 headed |= tag == "h1"
             continue
         if tag in SILENT and not attrs.endswith("/"):
-            end = page.lower().find(f"</{tag}", at) if n < 1 << 16 else _find(page, tag, at)
+            end = _find(page, tag, at)
             if tag == "head" and end < 0:
                 body = re.compile("<body", re.I).search(page, at)
                 end = body.start() if body else -1
@@ -188,7 +188,7 @@ def blocks(page: str) -> list[Block]:
 
 
 def _find(page: str, tag: str, at: int) -> int:
-    m = re.compile(f"</{tag}", re.I).search(page, at)
+    m = re.compile(f"</{tag}", re.I | re.A).search(page, at)
     return m.start() if m else -1
 
 

@@ -71,3 +71,9 @@ def test_long_and_hostile_pages_take_linear_time():
     for page in ("<div>" * 100_000, "<p><b>" * 50_000, "<" * 300_000, "<a href=\"" * 30_000, "<!--" * 100_000, "&amp;" * 200_000, "<article><p>word </p>" * 20_000):
         H.blocks(page)
     assert time.time() - began < 30
+
+
+def test_letters_that_grow_in_lower_case_do_not_move_the_end_of_a_script():
+    for n in (1, 5, 12, 400):
+        page = "<p>" + "İ" * n + "</p><script>x</script>REAL TEXT<style>y</STYLE><p>more</p>"
+        assert [t for t, _ in H.blocks(page)] == ["İ" * n, "REAL TEXT", "more"]
