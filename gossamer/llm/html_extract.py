@@ -62,7 +62,7 @@ def told(attrs: str) -> set[str]:
     out = set()
     if "=" in attrs:
         for m in _ATTR.finditer(attrs):
-            value = (m[2] or m[3] or m[4] or "")[:400]
+            value = m[2] or m[3] or m[4] or ""
             for w in (*_PART.findall(value), *value.lower().split()):
                 if (k := _TOLD.get(w.lower().replace("-", "").replace("_", ""))) is not None:
                     out.add(k)
@@ -90,7 +90,7 @@ def blocks(page: str) -> list[Block]:
         linked = 0
 
     def features(text: str, linked: int) -> list[str]:
-        words, low = text.count(" ") + 1, text[:2000].lower()
+        words, low = text.count(" ") + 1, text.lower()
         f = ["bias", *(f"in-{k}" for k, n in above.items() if n)]
         f.append(f"by-{solid[-1]}" if solid else "by-none")
         f.append("words-" + ("1" if words < 2 else "2" if words < 4 else "4" if words < 10 else "10" if words < 30 else "30" if words < 80 else "80"))

@@ -77,3 +77,9 @@ def test_letters_that_grow_in_lower_case_do_not_move_the_end_of_a_script():
     for n in (1, 5, 12, 400):
         page = "<p>" + "İ" * n + "</p><script>x</script>REAL TEXT<style>y</STYLE><p>more</p>"
         assert [t for t, _ in H.blocks(page)] == ["İ" * n, "REAL TEXT", "more"]
+
+
+def test_cues_are_sought_in_the_whole_block_and_attribute():
+    (_, f), = H.blocks("<p>" + "word " * 1000 + "All rights reserved.</p>")
+    assert "cue-copyright" in f
+    assert H.told(' class="' + "px-2 " * 200 + 'sidebar"') == {"side"}
