@@ -7,8 +7,8 @@ with exclusion), down to 1/256 each. A text's code length in a language is the s
 all its bytes, and the shortest wins, ties to the smaller name.
 
 The trees are fitted on a bounded sample: whole labelled texts in the order of a hash of
-doc_id until `sample_bytes` a language, and the most frequent contexts up to `max_cells`
-table cells. With frozen counts a byte's code length depends on its context alone, so all
+doc_id until `sample_bytes` a language, and each language's most frequent contexts up to `max_cells`
+table cells of its own. With frozen counts a byte's code length depends on its context alone, so all
 of them are tabled once and numpy scores whole batches. Every byte of every text counts.
 
 Null texts, and texts without a letter, are `und` with score 0; so is everything if there
@@ -30,7 +30,7 @@ from .common import fold, read, slices
 
 ORDER = 3
 SAMPLE_BYTES = 2 << 20
-MAX_CELLS = 1 << 22
+MAX_CELLS = 1 << 21  # of each language
 MOST_BITS, FREE_BITS = 7.0, 64  # a byte, and besides: keep_known() rejects a text whose code is longer
 CHUNK = 1 << 20  # bytes of text that are scored at once
 
@@ -39,8 +39,9 @@ CHUNK = 1 << 20  # bytes of text that are scored at once
 class ContextTrees:
     languages: list[str]
     lut: np.ndarray  # byte -> symbol; bytes never seen share the last one
-    rows: list[np.ndarray]  # for each order: context -> its longest known suffix
-    bits: np.ndarray  # (context, symbol) -> code length in each language
+    rows: list[np.ndarray]  # for each order: context -> its longest suffix that any language knows
+    stores: list[np.ndarray]  # for each language: such a suffix -> the row of the longest one that this language knows
+    bits: list[np.ndarray]  # for each language: (row, symbol) -> code length
     base: int  # symbols
 
 
@@ -73,37 +74,48 @@ def fit(samples: dict[str, list[bytes]], order: int = ORDER, max_cells: int = MA
     uniform = np.full(base, 1 / 256)
     uniform[-1] = max(1, 257 - base) / 256
     uniform /= uniform.sum()
-    rows, begin, room = [], 0, max(1, max_cells // (base * len(languages)))
-    levels = np.tile(uniform.astype(np.float32)[:, None], (1, 1, len(languages)))  # before the first context: no context at all
+    # which contexts each language keeps: all it has seen while there is room, by its own counts
+    room, kept = max(1, max_cells // base), [[] for _ in languages]
+    for own, c in zip(kept, counted):
+        for k, (keys, n) in enumerate(c):
+            found, at = np.unique(keys // base, return_inverse=True)
+            total = np.bincount(at, n, len(found))
+            most = max(0, room - sum(map(len, own)))
+            own.append(np.sort(found[np.argsort(-total, kind="stable")[:most]]) if k else np.zeros(1, np.int64))
+    rows, suffixes, begin = [], [], 0
     for k in range(order + 1):
-        found, weight = np.unique(np.concatenate([keys // base for keys, _ in (c[k] for c in counted)]), return_inverse=True)
-        total = np.bincount(weight, np.concatenate([c[k][1] for c in counted]), len(found))
-        keep = np.sort(np.argsort(-total, kind="stable")[: max(0, room - begin)]) if k else np.arange(len(found))
-        contexts = found[keep]
-        parent = rows[-1][contexts % base ** (k - 1)] if k > 1 else np.zeros(len(contexts), np.int32)
-        p = levels[parent]  # the shorter contexts' probabilities, replaced language by language
-        count = np.zeros((base, len(contexts)), np.float32).T
-        for i, c in enumerate(counted):
-            keys, n = c[k]
+        contexts = np.unique(np.concatenate([own[k] for own in kept]))
+        suffixes.append((contexts, rows[-1][contexts % base ** (k - 1)] if k > 1 else np.zeros(len(contexts), np.int32)))
+        table = np.zeros(base**k, np.int32) if k < 2 else np.tile(rows[-1], base)  # by default the row of the shorter suffix
+        table[contexts] = begin + np.arange(len(contexts))
+        rows.append(table)
+        begin += len(contexts)
+    stores, bits = [], []
+    for own, c in zip(kept, counted):
+        store, levels = np.zeros(0, np.int32), uniform.astype(np.float32)[None]
+        for k, (contexts, (keys, n)) in enumerate(zip(own, c)):
+            every, suffix = suffixes[k]
+            shorter = levels[store[suffix[np.searchsorted(every, contexts)]]] if k else levels
+            count = np.zeros((len(contexts), base), np.float32)
             at = np.searchsorted(contexts, keys // base)
             ok = (at < len(contexts)) & (contexts[np.minimum(at, len(contexts) - 1)] == keys // base) if len(contexts) else np.zeros(len(keys), bool)
-            count[:] = 0
             count[at[ok], keys[ok] % base] = n[ok]
-            shorter = p[:, :, i]
             whole, novel = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
             rest = np.where(count > 0, 0, shorter).sum(1, keepdims=True, dtype=np.float64)
             with np.errstate(divide="ignore", invalid="ignore"):
                 q = np.where(count > 0, count / (whole + np.where(rest > 0, novel, 0)), novel / (whole + novel) * (shorter / rest))
-            p[:, :, i] = np.where(whole > 0, q, shorter)
-        levels = np.concatenate([levels, p]) if k else p
-        table = np.zeros(base**k, np.int32) if k < 2 else np.tile(rows[-1], base)  # by default the row of the shorter suffix
-        table[contexts] = begin + np.arange(len(contexts))
-        rows.append(table)
-        begin += len(contexts)
-    np.log2(levels, out=levels)
-    np.negative(levels, out=levels)
-    levels[:, -1] += np.log2(max(1, 257 - base))
-    return ContextTrees(languages, lut, rows, levels.reshape(-1, len(languages)), base)
+            place = store[suffix] if k else np.zeros(1, np.int32)  # a context that this language lacks has its suffix's row
+            if k:
+                place[np.searchsorted(every, contexts)] = len(levels) + np.arange(len(contexts))
+            q = np.where(whole > 0, q, shorter).astype(np.float32)
+            levels = np.concatenate([levels, q]) if k else q
+            store = np.concatenate([store, place])
+        np.log2(levels, out=levels)
+        np.negative(levels, out=levels)
+        levels[:, -1] += np.log2(max(1, 257 - base))
+        stores.append(store)
+        bits.append(levels.reshape(-1))
+    return ContextTrees(languages, lut, rows, stores, bits, base)
 
 
 def code_lengths(model: ContextTrees, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -125,11 +137,11 @@ def code_lengths(model: ContextTrees, data: np.ndarray, offsets: np.ndarray) ->
             at = starts + k
             at = at[(at >= a) & (at < np.minimum(b, offsets[np.searchsorted(offsets, at - k, "right")]))] - a if len(starts) else at
             row[at] = model.rows[k][key[at] % base**k] if k else 0
-        cost = model.bits[row * base + s[back:]]
         inner = offsets[np.searchsorted(offsets, a, "right") : np.searchsorted(offsets, b, "left")] - a
         edges = np.unique(np.concatenate([[0], inner]))
         doc = np.searchsorted(offsets, a + edges, "right") - 1
-        out[doc] += np.add.reduceat(cost, edges, axis=0, dtype=np.float64)
+        for i, (store, bits) in enumerate(zip(model.stores, model.bits)):
+            out[doc, i] += np.add.reduceat(bits[store[row].astype(np.int64) * base + s[back:]], edges, dtype=np.float64)
     return out
 
 

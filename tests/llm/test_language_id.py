@@ -88,3 +88,13 @@ def test_languages_of_few_long_texts_are_learnt(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = L.learn(docs, L.F.lit(True), 1000)
     assert model.languages == sorted({r[2] for r in rows})
+
+
+def test_more_languages_take_no_contexts_from_another():
+    rng = np.random.default_rng(1)
+    samples = {f"l{i:02}": [rng.integers(97, 123, 400, dtype=np.uint8).tobytes()] for i in range(40)}
+    cells = 27 * 450  # room for all contexts of one language
+    few, many = (L.fit({k: samples[k] for k in list(samples)[:n]}, 2, cells) for n in (2, 40))
+    data = np.frombuffer(samples["l00"][0], np.uint8)
+    lengths = [L.code_lengths(m, data, np.array([0, len(data)]))[0, 0] for m in (few, many)]
+    assert abs(lengths[0] - lengths[1]) < 1e-3
