@@ -37,8 +37,9 @@ def tokenizer_path() -> str:
 
 
 class Encoder:
-    """Token ids of texts as the tokenizer file defines them. The file's vocabulary (byte-level, ids in the order of the
-    merges) is handed to tiktoken's core, which gives the same ids at several times the speed; tests hold it to `tokenizers`."""
+    """Token ids of texts as the tokenizer file defines them, its special tokens included where a text spells them. The file's
+    vocabulary (byte-level, ids in the order of the merges) is handed to tiktoken's core, which gives the same ids at several
+    times the speed; tests hold it to `tokenizers`."""
 
     def __init__(self, path: str) -> None:
         import public_tokenizers
@@ -46,14 +47,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        special = {x.content for x in t.get_added_tokens_decoder().values()}
+        special = {x.content: i for i, x in t.get_added_tokens_decoder().items()}
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the file
         byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
         ranks = {bytes(byte[c] for c in word): i for word, i in t.get_vocab().items() if word not in special}
-        self.core = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.core = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def __call__(self, text: str) -> np.ndarray:
-        return self.core.encode_to_numpy(text, disallowed_special=())
+        return self.core.encode_to_numpy(text, allowed_special="all")
 
 
 @lru_cache(maxsize=1)
@@ -82,10 +83,11 @@ def cut_pieces(path: str, capacity: int) -> Callable[[Iterator[pa.RecordBatch]],
 
 
 def reduce_by_dominance(count: np.ndarray, capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
-    """Fix every set that dominates all others with the same item; count is lowered in place.
+    """Fix every set that dominates all others with the same item, for all its copies at once; count is lowered in place.
 
-    For an item a with room c = capacity - a: alone if nothing fits beside it; with the largest partner b <= c if b
-    fills c exactly, or if no two items that fit together in c exceed b (Martello and Toth's rule for up to three items).
+    For an item a with room c = capacity - a and b the largest item that fits there: {a} if there is none; {a, b} if b fills c,
+    as whatever else shares a's sequence fits in b's place; likewise if no two items that fit together in c exceed b and no
+    three fit at all (Martello and Toth). Fixing a set lowers counts only, so the rule holds until a or b has run out.
     """
     fixed: list[tuple[list[tuple[int, int]], int]] = []
     for a in range(capacity, 0, -1):
@@ -94,34 +96,37 @@ def reduce_by_dominance(count: np.ndarray, capacity: int) -> list[tuple[list[tup
             count[a] -= 1  # the item itself is no partner
             sizes = np.flatnonzero(count[: c + 1])
             b = int(sizes[-1]) if len(sizes) else 0
-            best = 0
-            if b and b < c:  # largest sum of two partners that fit
-                i, j = 0, len(sizes) - 1
-                while i <= j:
-                    s = int(sizes[i] + sizes[j])
-                    if s > c:
-                        j -= 1
-                    elif i == j and count[sizes[i]] < 2:
-                        i += 1
-                    else:
-                        best = max(best, s)
-                        i += 1
+            dominates = not b or b == c or (not _three_fit(sizes, count, c) and _best_pair(sizes, count, c) <= b)
             count[a] += 1
-            if not b:
-                fixed.append(([(a, 1)], int(count[a])))
-                count[a] = 0
-            elif b == c or best <= b:
-                m = int(count[a]) // 2 if a == b else int(min(count[a], count[b]))
-                if best:  # a pair of partners may appear or go as counts fall: one at a time unless the fit is exact
-                    m = m if b == c else 1
-                fixed.append(([(a, 2)] if a == b else [(a, 1), (b, 1)], m))
-                count[a] -= m
-                count[b] -= m
-            else:
+            if not dominates:
                 break
+            items, m = ([(a, 1)], int(count[a])) if not b else ([(a, 2)], int(count[a]) // 2) if a == b else ([(a, 1), (b, 1)], int(min(count[a], count[b])))
+            fixed.append((items, m))
+            for size, k in items:
+                count[size] -= k * m
     return fixed
 
 
+def _three_fit(sizes: np.ndarray, count: np.ndarray, room: int) -> bool:
+    """Whether the three smallest items fit in the room together."""
+    least = np.repeat(sizes[:3], np.minimum(count[sizes[:3]], 3))[:3]
+    return len(least) == 3 and int(least.sum()) <= room
+
+
+def _best_pair(sizes: np.ndarray, count: np.ndarray, room: int) -> int:
+    """The largest sum of two items that fit in the room, 0 if there are none."""
+    i, j, best = 0, len(sizes) - 1, 0
+    while i <= j:
+        s = int(sizes[i] + sizes[j])
+        if s > room:
+            j -= 1
+        else:
+            if i < j or count[sizes[i]] > 1:
+                best = max(best, s)
+            i += 1
+    return best
+
+
 def best_fit(count: np.ndarray, capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
     """Best-fit decreasing over the histogram: bins of equal contents are one group."""
     groups: dict[int, list[tuple[tuple, int]]] = {}  # room -> (items, bins)
