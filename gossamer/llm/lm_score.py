@@ -3,15 +3,20 @@
 Every word has a class, and with it a vector as context and as target. The end of a text and the
 most frequent words are classes of their own; the others share classes, bands of equal frequency
 for those of the head and hash classes for the rest, within which a smoothed unigram decides.
-The number of classes grows with the corpus. The model predicts a class from the
-two before it: score(w | a, b) = (c1 * r_b + c2 * r_a) . q_w + bias_w. It is trained in
-numpy by noise-contrastive estimation on all class trigrams of the training fold, weighted by
-their counts and streamed to the driver in random order, then normalised exactly: matrix products give
-the sum over all classes after every pair of them.
+The number of classes grows with the corpus. About the root of as many neighbouring classes are a group.
+The model predicts from the two classes before, (a, b): with h = c1 * r_b + c2 * r_a, first the group by
+h . u_g + a_g, then the class within it by h . q_w + bias_w. Both levels are normalised exactly, by matrix
+products over the groups and over the classes of a group, so time and memory grow with the root of the classes.
+
+It is trained in numpy by noise-contrastive estimation on all class trigrams of the training fold, in rounds:
+the class sequences are dealt to shards of some `SHARD` tokens, each task trains the round's model on its
+shard, and the shards' weights are averaged, each row by how often the shard met its class. The sums
+are formed in Spark; the driver gets one model a round.
 
 Word counts cover all training texts. The most frequent words (at most `HEAD`, found by a
 histogram of counts) are sent to the tasks; the rest meet their counts in a join, by
-(text, word), so nothing that grows with the corpus is sent or gathered on the driver.
+(text, word), so nothing that grows with the corpus but the classes (3 x the cube root of
+its tokens, about 200 bytes each) is sent or gathered on the driver.
 
 Nulls are empty texts: one end token. Repeated rows are scored (and learnt) each. With no
 training text all counts are 0. Extra columns are ignored, texts of any length scored whole.
@@ -20,9 +25,10 @@ training text all counts are 0. Extra columns are ignored, texts of any length s
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -34,15 +40,18 @@ from .common import discard, durable, encoded, fold, read, segment_sums, slices
 HEAD = 1 << 17  # words at most whose counts are sent to every task
 CLASSES = 384  # at least
 END = 0
-EPOCHS = 2  # passes over all class trigrams
-GRAINS = 4_000_000  # a sample stands for at most the tokens' share of one in so many
-CHUNK = 1 << 20  # samples that are shuffled at once
+ROUNDS = 2  # passes over all class trigrams
+SHARD = 4_000_000  # tokens that a task trains on before weights are averaged,
+SHARDS = 4096  # more only beyond so many shards
+CHUNK = 1 << 20  # tokens that are shuffled at once
+ROW = 1 << 16  # tokens of a stored row
 DIMS = 24
-PIECE = 1 << 16  # tokens that are scored at once
+PIECE = 1 << 15  # tokens that are scored at once
+ROWS = 256  # weight rows that are averaged at once
 
 
 def class_count(tokens: int) -> int:
-    """Classes for a corpus: they grow with the cube root of the tokens, so the exact norms of all pairs take time in proportion to the tokens."""
+    """Classes for a corpus: they grow with the cube root of its tokens."""
     return max(CLASSES, round(3 * tokens ** (1 / 3)))
 
 
@@ -101,16 +110,11 @@ def with_ends(classes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return out, offsets + np.arange(n + 1)
 
 
-def trigrams(classes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The classes two and one before each token; END stands before a text."""
-    one = np.concatenate([[END], classes[:-1]]) if len(classes) else classes
-    two = np.concatenate([[END, END], classes[:-2]])[: len(classes)]
-    starts = offsets[:-1][offsets[:-1] < offsets[1:]]
-    one[starts] = END
-    two[starts] = END
-    second = starts + 1
-    two[second[second < len(classes)]] = END
-    return two, one
+def trigrams(sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The classes two and one before each token but the first two, and the token's; END stands before a text."""
+    two, one, target = sequence[:-2].astype(np.int64), sequence[1:-1].astype(np.int64), sequence[2:].astype(np.int64)
+    two[one == END] = END
+    return two, one, target
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,139 +123,184 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([distinct.cast(pa.string()), pa.array(np.bincount(indices, minlength=len(distinct)))], names=["word", "n"])
 
 
-def count_trigrams(head: Callable[[], Head]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def class_rows(head: Callable[[], Head]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The class sequences of the texts, each with the two classes before it, and a number that deals them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, size = head(), head().size
+        h, salt = head(), TaskContext.get().partitionId() << 32
+        kind = np.uint16 if h.size <= 1 << 16 else np.uint32
         for batch in slices(batches):
             indices, distinct, offsets = encoded(batch.column("text"))
-            classes, offsets = with_ends(h.classes(h.places(distinct), distinct)[indices], offsets)
-            two, one = trigrams(classes, offsets)
-            keys, n = np.unique((two * size + one) * size + classes, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], names=["key", "n"])
+            classes, _ = with_ends(h.classes(h.places(distinct), distinct)[indices], offsets)
+            sequence = np.concatenate([[END, END], classes]).astype(kind)
+            rows = [sequence[at : at + ROW + 2].tobytes() for at in range(0, len(classes), ROW)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(salt, salt + len(rows))), pa.array(rows, pa.binary())], names=["salt", "classes"])
+            salt += len(rows)
 
     return run
 
 
-def shuffled(blocks: Iterable[tuple[np.ndarray, np.ndarray]], grain: int, batch: int, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Batches of keys and weights: counts cut into samples of at most `grain` tokens, shuffled by `CHUNK` samples."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def batches() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        keys, weights = (np.concatenate(x) for x in zip(*held))
-        order = rng.permutation(len(keys))
-        for at in np.array_split(order, max(1, round(len(order) / batch))):
-            yield keys[at], weights[at]
-        held.clear()
-
-    for keys, n in blocks:
-        pieces = -(-n // grain)
-        held.append((np.repeat(keys, pieces), np.repeat((n / pieces).astype(np.float32), pieces)))
-        if sum(len(k) for k, _ in held) >= CHUNK:
-            yield from batches()
-    if sum(len(k) for k, _ in held):
-        yield from batches()
-
-
-def row_sums(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    """The sum of the values of each row number below `size`."""
+def row_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct row numbers and the sum of the values of each."""
     order = np.argsort(rows, kind="stable")
     begin = np.flatnonzero(np.diff(rows[order], prepend=-1))
-    out = np.zeros((size, values.shape[1]), np.float32)
-    out[rows[order[begin]]] = np.add.reduceat(values[order], begin, axis=0)
-    return out
+    return rows[order[begin]], np.add.reduceat(values[order], begin, axis=0)
 
 
 class LogBilinear:
-    """weights: class vectors r (context) and q (target), position weights c1 and c2, biases."""
+    """Weights, a row for each class (vector r as context, q as target, bias b), each group (vector u, bias a) and one for the positions (c1, c2)."""
 
-    def __init__(self, size: int, dims: int = DIMS, seed: int = 7) -> None:
+    def __init__(self, noise: np.ndarray, dims: int = DIMS, seed: int = 7) -> None:
+        """noise: how often each class occurs, all above 0."""
         rng = np.random.default_rng(seed)
-        self.size = size
-        self.w = {"r": rng.normal(0, 0.1, (size, dims)), "q": rng.normal(0, 0.1, (size, dims)), "c1": np.ones(dims), "c2": np.full(dims, 0.5), "b": np.zeros(size)}
-        self.w = {x: v.astype(np.float32) for x, v in self.w.items()}
-
-    def train(self, keys: np.ndarray, counts: np.ndarray, noise: np.ndarray, epochs: int = 3, **how: float) -> LogBilinear:
-        return self.learn(lambda: [(keys, counts)], int(counts.sum()), 1, noise, epochs, **how)
-
-    def learn(self, blocks: Callable[[], Iterable[tuple[np.ndarray, np.ndarray]]], samples: int, grain: int, noise: np.ndarray, epochs: int = EPOCHS, batch: int = 2048, k: int = 100, rate: float = 0.03, seed: int = 8) -> LogBilinear:
-        """Noise-contrastive estimation on all trigrams of the blocks (keys and counts, in random order): tell each token from
-        k tokens of the noise distribution, by Adam. A count n comes as ceil(n / grain) samples, `samples` in all, whose weights add up to n.
-        Samples of a batch share their noise tokens, so both sides are matrix products."""
-        if not samples:
-            return self
-        rng, w, size = np.random.default_rng(seed), self.w, self.size
-        noise = noise / noise.sum()
-        shift = np.log(k * noise).astype(np.float32)
-        edges = np.cumsum(noise) / noise.sum()
-        w["b"][:] = np.log(noise)
-        mean, square = ({x: np.zeros_like(v) for x, v in w.items()} for _ in range(2))
-        t, steps = 0, epochs * max(1, samples // batch)
-        for key, weight in (c for _ in range(epochs) for c in shuffled(blocks(), grain, batch, rng)):
-            two, one, target = key // size**2, key // size % size, key % size
-            other = np.minimum(np.searchsorted(edges, rng.random(k), "right"), size - 1)
-            ra, rb = w["r"][two], w["r"][one]
-            h = rb * w["c1"] + ra * w["c2"]
-            q_true, q_other = w["q"][target], w["q"][other]
-            s_true = (h * q_true).sum(1) + w["b"][target] - shift[target]
-            s_other = h @ q_other.T + (w["b"][other] - shift[other])
-            e_true = weight / (1 + np.exp(s_true))  # 1 - P(true is data)
-            e_other = -weight[:, None] / (1 + np.exp(-s_other))
-            dh = e_true[:, None] * q_true + e_other @ q_other
-            both = np.concatenate([target, other])
-            g = {
-                "r": row_sums(np.concatenate([one, two]), np.concatenate([dh * w["c1"], dh * w["c2"]]), size),
-                "q": row_sums(both, np.concatenate([e_true[:, None] * h, e_other.T @ h]), size),
-                "b": np.bincount(both, np.concatenate([e_true, e_other.sum(0)]), size).astype(np.float32),
-                "c1": (dh * rb).sum(0), "c2": (dh * ra).sum(0),
-            }
-            t += 1
-            slow, whole = rate * max(0.0, 1 - t / (steps + 1)), weight.sum()
-            for x in w:
-                grad = g[x] / whole
-                mean[x] += 0.1 * (grad - mean[x])
-                square[x] += 0.01 * (grad * grad - square[x])
-                w[x] += slow / (1 - 0.9**t) * mean[x] / (np.sqrt(square[x] / (1 - 0.99**t)) + 1e-6)
-        return self
-
-    def vectors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Vectors of the class before, of the one before it and of the target, and biases, so that scores come in log10."""
-        w, unit = self.w, np.float32(1 / np.log(10))
-        return w["r"] * w["c1"] * unit, w["r"] * w["c2"] * unit, w["q"], w["b"] * unit
-
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """What the class before, and the one before it, add to each class's score (bias with the first), and the log-sum
-        of each pair's scores (a row for the class two before, by a matrix product), all in log10."""
-        w = {x: v.astype(np.float64) for x, v in self.w.items()}
-        near, far = (w["r"] * w["c1"]) @ w["q"].T + w["b"], (w["r"] * w["c2"]) @ w["q"].T
-        return near / np.log(10), far / np.log(10), self.norms().astype(np.float64)
-
-    def norms(self) -> np.ndarray:
-        w = {x: v.astype(np.float64) for x, v in self.w.items()}
-        near = (w["r"] * w["c1"]) @ w["q"].T + w["b"]
-        top = near.max(1)
-        near = np.exp(near - top[:, None]).T
-        out = np.empty((self.size, self.size), np.float32)
-        for at in range(0, self.size, 256):
-            far = (w["r"][at : at + 256] * w["c2"]) @ w["q"].T
-            most = far.max(1)[:, None]
-            out[at : at + 256] = (np.log(np.exp(far - most) @ near) + top + most) / np.log(10)
+        self.size, self.dims = len(noise), dims
+        self.width = max(1, round(self.size**0.5))  # classes of a group
+        self.groups = -(-self.size // self.width)
+        self.noise = noise / noise.sum()
+        self.group_noise = np.add.reduceat(self.noise, np.arange(0, self.size, self.width))
+        self.edges, self.group_edges = np.cumsum(self.noise), np.cumsum(self.group_noise)
+        normal = lambda n: rng.normal(0, 0.1, (n, dims))
+        inner = self.noise / self.group_noise[np.arange(self.size) // self.width]
+        w = {"r": normal(self.size), "q": normal(self.size), "u": normal(self.groups), "c1": np.ones(dims), "c2": np.full(dims, 0.5), "b": np.log(inner), "a": np.log(self.group_noise)}
+        self.w = {x: v.astype(np.float32) for x, v in w.items()}
+        self.met = np.zeros(self.size + self.groups + 1)
+
+    def matrix(self) -> np.ndarray:
+        """All weights: rows of classes, of groups and of the positions."""
+        w, d = self.w, self.dims
+        out = np.zeros((self.size + self.groups + 1, 2 * d + 1), np.float32)
+        out[: self.size] = np.column_stack([w["r"], w["q"], w["b"]])
+        out[self.size : -1, :d], out[self.size : -1, -1] = w["u"], w["a"]
+        out[-1, :d], out[-1, d:-1] = w["c1"], w["c2"]
         return out
 
+    def set(self, rows: np.ndarray) -> LogBilinear:
+        n, d = self.size, self.dims
+        w = {"r": rows[:n, :d], "q": rows[:n, d:-1], "b": rows[:n, -1], "u": rows[n:-1, :d], "a": rows[n:-1, -1], "c1": rows[-1, :d], "c2": rows[-1, d:-1]}
+        self.w = {x: v.astype(np.float32) for x, v in w.items()}
+        return self
 
-def word_counts(train: DataFrame) -> DataFrame:
-    return durable(train.select("text").mapInArrow(count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-
+    def train(self, sequences: Iterator[np.ndarray], rate: float = 0.1, batch: int = 1024, k: int = 32, own: int = 8, seed: int = 8) -> LogBilinear:
+        """One pass of noise-contrastive estimation over the trigrams of class sequences: tell each group from k groups of the
+        noise distribution, which a batch shares, and each class from `own` classes of its group, by Adagrad on the rows met."""
+        rng, w = np.random.default_rng(seed), self.w
+        square = {x: np.full(v.shape if v.ndim == 1 else (len(v), 1), 1e-2, np.float32) for x, v in w.items()}
+        log_group = np.log(k * self.group_noise).astype(np.float32)
+        log_class = np.log(own * self.noise / self.group_noise[np.arange(self.size) // self.width]).astype(np.float32)
+        before = np.concatenate([[0.0], self.edges])
+        lo, hi = before[np.arange(self.groups) * self.width], before[np.minimum(self.size, np.arange(1, self.groups + 1) * self.width)]
+
+        def move(x: str, rows: np.ndarray, grad: np.ndarray) -> None:
+            rows, grad = row_sums(rows, grad)
+            square[x][rows] += grad * grad if grad.ndim == 1 else (grad * grad).mean(1, keepdims=True)
+            w[x][rows] += rate * grad / np.sqrt(square[x][rows])
+
+        held: list[np.ndarray] = []
+
+        def learn() -> None:
+            two_, one_, target_ = map(np.concatenate, zip(*held))
+            held.clear()
+            order = rng.permutation(len(target_))
+            self.met += np.concatenate([n := np.bincount(target_, minlength=self.size), np.add.reduceat(n, np.arange(0, self.size, self.width)), [len(order)]])
+            for at in np.array_split(order, max(1, round(len(order) / batch))):
+                two, one, target = two_[at], one_[at], target_[at]
+                group, m = target // self.width, len(at)
+                ra, rb = w["r"][two], w["r"][one]
+                h = rb * w["c1"] + ra * w["c2"]
+                # groups
+                other = np.minimum(np.searchsorted(self.group_edges, rng.random(k), "right"), self.groups - 1)
+                u, v = w["u"][group], w["u"][other]
+                e_true = 1 / (1 + np.exp(np.einsum("ij,ij->i", h, u) + (w["a"] - log_group)[group]))  # 1 - P(true is data)
+                e_other = -1 / (1 + np.exp(-(h @ v.T + (w["a"] - log_group)[other])))
+                # classes of the group
+                drawn = lo[group, None] + rng.random((m, own)) * (hi - lo)[group, None]
+                inner = np.clip(np.searchsorted(self.edges, drawn.ravel(), "right").reshape(m, own), group[:, None] * self.width, np.minimum(self.size, (group + 1) * self.width)[:, None] - 1)
+                q, p = w["q"][target], w["q"][inner]
+                f_true = 1 / (1 + np.exp(np.einsum("ij,ij->i", h, q) + (w["b"] - log_class)[target]))
+                f_other = -1 / (1 + np.exp(-(np.matmul(p, h[:, :, None])[:, :, 0] + (w["b"] - log_class)[inner])))
+                dh = e_true[:, None] * u + e_other @ v + f_true[:, None] * q + np.matmul(f_other[:, None, :], p)[:, 0]
+                groups, classes = np.concatenate([group, other]), np.concatenate([target, inner.ravel()])
+                e, f = np.concatenate([e_true, e_other.sum(0)]), np.concatenate([f_true, f_other.ravel()])
+                move("u", groups, np.concatenate([e_true[:, None] * h, e_other.T @ h]))
+                move("a", groups, e)
+                move("q", classes, f[:, None] * np.concatenate([h, np.repeat(h, own, 0)]))
+                move("b", classes, f)
+                move("r", np.concatenate([one, two]), np.concatenate([dh * w["c1"], dh * w["c2"]]))
+                for x, grad in (("c1", (dh * rb).sum(0)), ("c2", (dh * ra).sum(0))):
+                    square[x] += grad * grad
+                    w[x] += 0.2 * rate * grad / np.sqrt(square[x])
+
+        for sequence in sequences:
+            if len(sequence) > 2:
+                held.append(trigrams(sequence))
+            if sum(len(t) for t, _, _ in held) >= CHUNK:
+                learn()
+        if held:
+            learn()
+        return self
 
-def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([batch.column(c).to_numpy().tobytes()], pa.binary()) for c in ("key", "n")], names=["key", "n"])
+    def log10(self, two: np.ndarray, one: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """The log10 probability of each target after its two classes, normalised over the groups and over the group's classes."""
+        w, out = self.w, np.empty(len(target))
+        near, far, group = w["r"] * w["c1"], w["r"] * w["c2"], target // self.width
+
+        def log_sums(scores: np.ndarray) -> np.ndarray:
+            top = scores.max(1)
+            return top + np.log(np.exp(scores - top[:, None]).sum(1))
+
+        for at in range(0, len(target), PIECE):
+            by = at + np.argsort(group[at : at + PIECE], kind="stable")
+            h, g, t = near[one[by]] + far[two[by]], group[by], target[by]
+            s = h @ w["u"].T + w["a"]
+            p = s[np.arange(len(by)), g] - log_sums(s)
+            edge = np.flatnonzero(np.diff(g, prepend=-1, append=-1))
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                first = int(g[a]) * self.width
+                s = h[a:b] @ w["q"][first : first + self.width].T + w["b"][first : first + self.width]
+                p[a:b] += s[np.arange(b - a), t[a:b] - first] - log_sums(s)
+            out[by] = p
+        return out / np.log(10)
+
+
+def sums(group: pd.DataFrame) -> np.ndarray:
+    return np.sum([np.frombuffer(x, np.float64) for x in group["rows"]], axis=0)
+
+
+def trained(rows: DataFrame, tokens: int, noise: np.ndarray, rounds: int = ROUNDS, shard: int = SHARD) -> LogBilinear:
+    """The model after `rounds` passes over the class sequences of rows (salt, classes)."""
+    context, model = rows.sparkSession.sparkContext, LogBilinear(noise)
+    kind = np.uint16 if model.size <= 1 << 16 else np.uint32
+    shards = min(SHARDS, max(1, -(-tokens // shard)))
+    dealt = rows.repartition(shards, F.xxhash64("salt"))
+
+    def partial(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"piece": group["piece"].iloc[:1], "rows": [sums(group).tobytes()]})
+
+    for turn in range(rounds):
+        sent = context.broadcast((model.matrix(), noise))
+
+        def run(batches: Iterator[pa.RecordBatch], turn: int = turn, sent=sent) -> Iterator[pa.RecordBatch]:
+            part, (start, noise) = TaskContext.get().partitionId(), sent.value
+            mine = LogBilinear(noise).set(start)
+            mine.train((np.frombuffer(x.as_buffer(), kind) for b in batches for x in b.column("classes")), 0.1 / (1 + turn), seed=1000 * part + turn)
+            met = mine.met + 1e-9  # what no shard met stays as it was
+            table = np.column_stack([met, met[:, None] * mine.matrix()])
+            pieces = [table[at : at + ROWS].tobytes() for at in range(0, len(table), ROWS)]
+            if mine.met[-1]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pieces), part % 64, np.int32)), pa.array(np.arange(len(pieces), dtype=np.int32)), pa.array(pieces, pa.binary())], names=["some", "piece", "rows"])
+
+        got = dealt.select("classes").mapInArrow(run, "some int, piece int, rows binary")
+        got = got.groupBy("piece", "some").applyInPandas(partial, "piece int, rows binary").groupBy("piece").applyInPandas(partial, "piece int, rows binary")
+        found = sorted((r.piece, r.rows) for r in got.collect())
+        if not found:
+            break
+        table = np.concatenate([np.frombuffer(x, np.float64) for _, x in found]).reshape(-1, 2 * model.dims + 2)
+        model.set(table[:, 1:] / table[:, :1])
+    return model
 
 
-def streamed(grams: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All keys and counts in the order of a hash, a partition at a time."""
-    rows = grams.orderBy(F.xxhash64("key", F.lit(4)), "key").select("key", "n").mapInArrow(packed, "key binary, n binary")
-    for r in rows.toLocalIterator():
-        yield np.frombuffer(r.key, np.int64), np.frombuffer(r.n, np.int64)
+def word_counts(train: DataFrame) -> DataFrame:
+    return durable(train.select("text").mapInArrow(count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
 
 
 def head_of(counts: DataFrame, most: int = HEAD, classes: int = CLASSES) -> tuple[Head, dict[int, tuple[int, int]]]:
@@ -286,16 +335,14 @@ def score(docs: DataFrame, train: Column, most: int = HEAD, classes: int | None
     head, beyond = head_of(counts, most, classes or class_count(tokens))
     sent = spark.sparkContext.broadcast(head)
 
-    grams = durable(learnt.mapInArrow(count_trigrams(lambda: sent.value), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "trigrams")
-    grain = max(1, tokens // GRAINS)
-    samples = grams.agg(F.coalesce(F.sum(F.ceil(F.col("n") / grain)), F.lit(0)).alias("n")).first().n
     noise, inner = head.totals(ends, beyond)
-    model = LogBilinear(head.size).learn(lambda: streamed(grams), int(samples), grain, np.maximum(noise, 0.5))
-    discard(grams)
-    tables = spark.sparkContext.broadcast((*model.vectors(), model.norms(), inner))
+    rows = durable(learnt.mapInArrow(class_rows(lambda: sent.value), "salt long, classes binary"), "classes")
+    model = trained(rows, tokens, np.maximum(noise, 0.5))
+    discard(rows)
+    tables = spark.sparkContext.broadcast((model, inner))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, (near, far, target, bias, norm, inner) = sent.value, tables.value
+        h, (model, inner) = sent.value, tables.value
         log = np.append(np.log10(h.counts + 0.5), 0.0)  # the last is for words beyond the head
         row = TaskContext.get().partitionId() << 36
         for batch in slices(batches):
@@ -304,11 +351,8 @@ def score(docs: DataFrame, train: Column, most: int = HEAD, classes: int | None
             kind, n = h.classes(places, words_), batch.num_rows
             lengths = np.diff(offsets)
             cls, begin = with_ends(kind[indices], offsets)
-            two, one = trigrams(cls, begin)
-            p = np.empty(len(cls))
-            for at in range(0, len(cls), PIECE):
-                c, a, b = cls[at : at + PIECE], one[at : at + PIECE], two[at : at + PIECE]
-                p[at : at + PIECE] = ((near[a] + far[b]) * target[c]).sum(1) + bias[c] - norm[b, a] - inner[c]
+            two, one, target = trigrams(np.concatenate([[END, END], cls]))
+            p = model.log10(two, one, target) - inner[target]
             doc = np.repeat(np.arange(n), lengths)
             rest = (kind > h.singles)[indices]
             head_log = segment_sums(log[places[indices]], offsets)

@@ -39,21 +39,32 @@ def test_base_against_brute_force(spark, most):
 
 def test_model_is_normalised_and_learns():
     rng = np.random.default_rng(0)
-    size = 6
+    size = 7
     follow = rng.dirichlet([0.3] * size, size)
-    seq = [0]
+    follow[:, 0] = 0
+    follow /= follow.sum(1, keepdims=True)
+    seq = [1]
     for _ in range(30_000):
         seq.append(int(rng.choice(size, p=follow[seq[-1]])))
-    s = np.array(seq)
-    keys, draws = np.unique((s[:-2] * size + s[1:-1]) * size + s[2:], return_counts=True)
-    noise = np.bincount(s, minlength=size).astype(float)
-    near, far, norm = L.LogBilinear(size, 12).train(keys, draws, noise, epochs=12).tables()
-    p = 10 ** (near[None] + far[:, None] - norm[:, :, None])
-    assert np.allclose(p.sum(2), 1)
-    truth = -np.mean(np.log(follow[s[1:-1], s[2:]]))
-    model = -np.mean(np.log(p[s[:-2], s[1:-1], s[2:]]))
-    unigram = -np.mean(np.log((noise / noise.sum())[s[2:]]))
-    assert model - truth < 0.15 * (unigram - truth)
+    s = np.array([0, 0, *seq])
+    model = L.LogBilinear(np.bincount(s, minlength=size) + 0.5, 12)
+    assert 1 < model.groups < size
+    for _ in range(6):
+        model.train([s])
+    every = np.indices((size, size, size)).reshape(3, -1)
+    assert np.allclose((10 ** model.log10(*every)).reshape(size, size, size).sum(2), 1)
+    noise = np.bincount(s, minlength=size) / len(s)
+    truth = -np.mean(np.log(follow[seq[:-1], seq[1:]]))
+    got = -np.mean(model.log10(*L.trigrams(s))[1:]) * math.log(10)
+    unigram = -np.mean(np.log(noise[seq[1:]]))
+    assert got - truth < 0.15 * (unigram - truth)
+
+
+def test_contexts_stop_at_the_end_of_a_text():
+    cls, _ = L.with_ends(np.array([5, 6, 7, 8, 9]), np.array([0, 3, 3, 5]))
+    assert cls.tolist() == [5, 6, 7, 0, 0, 8, 9, 0]
+    two, one, target = L.trigrams(np.concatenate([[0, 0], cls]))
+    assert target.tolist() == cls.tolist() and one.tolist() == [0, 5, 6, 7, 0, 0, 8, 9] and two.tolist() == [0, 0, 5, 6, 0, 0, 0, 8]
 
 
 def test_scores_sum_to_one_over_all_tokens(spark):
@@ -74,26 +85,40 @@ def test_edges(spark):
     assert len(L.score(docs, L.F.lit(True)).collect()) == 6
 
 
-def test_the_model_learns_from_every_trigram_of_a_corpus_of_any_size(spark, monkeypatch):
-    """The weights of the samples add up to all tokens, however coarse the samples are."""
-    seen = []
-    learn = L.LogBilinear.learn
-
-    def watched(self, blocks, samples, grain, *more, **how):
-        rng = np.random.default_rng(0)
-        batches = list(L.shuffled(blocks(), grain, 64, rng))
-        seen.append((sum(len(k) for k, _ in batches), samples, float(sum(w.sum(dtype=float) for _, w in batches)), len(np.unique(np.concatenate([k for k, _ in batches])))))
-        return learn(self, blocks, samples, grain, *more, **how)
-
-    monkeypatch.setattr(L.LogBilinear, "learn", watched)
-    monkeypatch.setattr(L, "GRAINS", 500)
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    total = {r.train_tokens for r in L.score(docs, L.F.lit(True)).collect()}.pop()
-    monkeypatch.setattr(L, "GRAINS", 10**9)
-    L.score(docs, L.F.lit(True)).count()
-    (rows, samples, weight, distinct), (fine_rows, fine, fine_weight, fine_distinct) = seen
-    assert rows == samples < total and fine_rows == fine == total
-    assert math.isclose(weight, total, rel_tol=1e-6) and math.isclose(fine_weight, total, rel_tol=1e-6) and distinct == fine_distinct
+def test_every_token_is_trained_on_whatever_the_shards(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(3)
+    counts = L.word_counts(docs)
+    ends = docs.count()
+    tokens = counts.agg({"n": "sum"}).first()[0] + ends
+    head, beyond = L.head_of(counts, L.HEAD, L.class_count(tokens))
+    monkeypatch.setattr(L, "ROW", 100)
+    rows = docs.mapInArrow(L.class_rows(lambda: head), "salt long, classes binary")
+    kept = [np.frombuffer(r.classes, np.uint16) for r in rows.collect()]
+    assert sum(len(x) - 2 for x in kept) == tokens and max(map(len, kept)) == 102
+    noise = np.maximum(head.totals(ends, beyond)[0], 0.5)
+    assert np.bincount(np.concatenate([x[2:] for x in kept]), minlength=head.size).sum() == round(head.totals(ends, beyond)[0].sum())
+
+    def held_out(model):
+        return np.mean(np.concatenate([model.log10(*L.trigrams(x)) for x in kept]))
+
+    start = held_out(L.LogBilinear(noise))
+    one, many = (held_out(L.trained(rows, tokens, noise, shard=shard)) for shard in (10**9, tokens // 7))
+    assert one > start + 0.05 and many > start + 0.02
+
+
+def test_long_texts_keep_their_contexts(monkeypatch):
+    """Rows of a text that is cut repeat the two classes before the cut."""
+    head = L.Head([f"w{i}" for i in range(50)], np.arange(50, 0, -1), 40)
+    monkeypatch.setattr(L, "ROW", 7)
+    monkeypatch.setattr(L, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("P", (), {"partitionId": staticmethod(lambda: 3)})())}))
+    text = " ".join(f"w{i % 50}" for i in range(30))
+    out = list(L.class_rows(lambda: head)(iter([L.pa.RecordBatch.from_arrays([L.pa.array([text, None, "w1"])], names=["text"])])))
+    rows = [np.frombuffer(x, np.uint16) for b in out for x in b.column("classes").to_pylist()]
+    whole = np.concatenate([rows[0][:2], *(r[2:] for r in rows)])
+    assert len(whole) == 2 + 30 + 1 + 1 + 1 + 1
+    for i, r in enumerate(rows):
+        assert r[:2].tolist() == whole[7 * i : 7 * i + 2].tolist()
+    assert len({x for b in out for x in b.column("salt").to_pylist()}) == len(rows)
 
 
 def test_classes_grow_and_every_word_has_one():
