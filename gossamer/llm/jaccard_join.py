@@ -12,14 +12,15 @@ shingles come last, so passages that many documents share hardly list anything.
    are cut into blocks by position; a block is skipped whole where size and position
    leave too little overlap. It searches at 2t - 1: as 1 - Jaccard is a metric, whatever
    links to a set within t of the leader is among these answers. Such a follower takes
-   the leader's overlaps and corrects them by the shingles in which the two differ.
-3. Clusters of more than `BLOCK` elements are cut into blocks, all with the cluster's first
-   class. Classes outside the largest component so far then meet all other blocks; pairs within
-   that component are joined already. So all components are exact at any size of cluster.
+   the leader's overlaps and corrects them by the shingles in which the two differ. Only
+   components are wanted: sets that are joined already are never compared again.
+3. Clusters of more than `ROWS` sets or `BLOCK` elements are cut into blocks, all with the cluster's
+   first class. Classes outside the largest component so far then meet all other classes, in blocks;
+   pairs within that component are joined already. So all components are exact at any size of cluster.
 
 Sets are compared by 64-bit hashes of shingles, and equal sets found by a 64-bit hash of the set.
 Null and empty texts have n_shingles 0 and their own doc_id as component; rows that repeat a
-doc_id are returned each, and null doc_ids are kept. Texts of any length are used whole;
+doc_id are returned each. Rows without a doc_id are kept and link like others; a component of such rows only has no id. Texts of any length are used whole;
 extra columns are ignored; an empty table gives no rows.
 """
 
@@ -40,11 +41,13 @@ from .components import connected_components
 WORDS = 5
 PERCENT = 80
 BLOCK = 1_000_000  # elements of the sets that one task joins
+ROWS = 256  # sets of a first block; later ones have up to 16 times as many
 FREQUENT = 1 << 20  # frequent shingles at most that are sent to every task
 GATHER = 1_000_000  # elements that a task packs at once
 BUCKET = 500_000  # postings of a bucket
 SPLIT = 200_000  # a list of more classes is dealt to several tasks
-SMALL = 500_000  # classes up to which the table of clusters is broadcast
+SMALL = 500_000  # classes (at most 60 bytes each) up to which the table of clusters is broadcast
+HOME = ("cluster", "pivot", "k", "least", "blocks", "block")
 
 
 def needed(a: np.ndarray | int, b: np.ndarray | int, percent: int = PERCENT) -> np.ndarray | int:
@@ -140,55 +143,64 @@ class Union:
         self.up[max(x, y)] = min(x, y)
 
 
-def join_sets(sets: list[np.ndarray], percent: int = PERCENT, across: int | None = None) -> list[tuple[int, int]]:
-    """All pairs (x, y), x < y, of the non-empty sets that link; with `across`, only pairs with x < across <= y."""
-    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+def link_sets(sets: list[np.ndarray], percent: int = PERCENT, start: np.ndarray | None = None, asked: np.ndarray | None = None) -> np.ndarray:
+    """A component label of each of the non-empty sets, by all links between them. Sets of equal labels in `start` are joined
+    already; with `asked` (a boolean a set) only links of these sets are looked for. No pair of one component is compared."""
+    n = len(sets)
+    order = np.array(sorted(range(n), key=lambda i: len(sets[i])), np.int64)
     sizes = np.array([len(sets[i]) for i in order], np.int64)
-    flat = np.concatenate([sets[i] for i in order]) if order else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(order)), sizes)
+    flat = np.concatenate([sets[i] for i in order]) if n else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(n), sizes)
     _, element, count = np.unique(flat, return_inverse=True, return_counts=True)
     rank = np.empty(len(count), np.int64)
     rank[np.argsort(count, kind="stable")] = np.arange(len(count))
     element = rank[element]
     by_set = np.lexsort((element, owner))
-    ranked = np.split(element[by_set], np.cumsum(sizes)[:-1]) if len(order) else []
+    ranked = np.split(element[by_set], np.cumsum(sizes)[:-1]) if n else []
     by_element = np.lexsort((owner, element))
     lists, begin = owner[by_element], np.searchsorted(element[by_element], np.arange(len(count) + 1))
+    label = np.arange(n) if start is None else np.unique(start, return_inverse=True)[1][order]
+    open_ = np.ones(n, bool) if asked is None else asked[order].copy()
 
     def overlap(elements: np.ndarray) -> np.ndarray:
         """How many of the elements each set has."""
-        n = begin[elements + 1] - begin[elements]
-        at = np.repeat(begin[elements] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, int)
-        return np.bincount(lists[at], minlength=len(order))
+        k = begin[elements + 1] - begin[elements]
+        at = np.repeat(begin[elements] - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum()) if len(k) else np.zeros(0, int)
+        return np.bincount(lists[at], minlength=n)
 
     wide = max(1, 2 * percent - 100)
     index = SkipIndex(ranked, sizes, wide)
-    place = np.array(order)
-    out, done = [], np.zeros(len(order), bool)
 
     def answer(x: int, rows: np.ndarray, common: np.ndarray) -> np.ndarray:
+        """Joins x to all it links to among the rows."""
         ok = rows[common >= needed(int(sizes[x]), sizes[rows], percent)]
-        done[x] = True
-        for y in ok[~done[ok]].tolist():  # each pair by whichever is answered first
-            a, b = sorted((int(place[x]), int(place[y])))
-            if across is None or a < across <= b:
-                out.append((a, b))
+        open_[x] = False
+        if len(ok):
+            label[np.isin(label, label[ok])] = label[x]
         return ok
 
-    for y in range(len(order)):
-        if done[y]:
+    for y in range(n):
+        if not open_[y]:
             continue
         rows = index.candidates(ranked[y], int(sizes[y]))
-        if len(rows) <= 1:
-            done[y] = True
+        rows = rows[label[rows] != label[y]]
+        if not len(rows):
+            open_[y] = False
             continue
         common = overlap(ranked[y])[rows]
         near = common >= needed(int(sizes[y]), sizes[rows], wide)
         rows, common = rows[near], common[near]
-        for x in answer(y, rows, common).tolist():
-            if not done[x]:
-                more, less = np.setdiff1d(ranked[x], ranked[y], assume_unique=True), np.setdiff1d(ranked[y], ranked[x], assume_unique=True)
-                answer(x, rows, common + overlap(more)[rows] - overlap(less)[rows])
+        followers = answer(y, rows, common)
+        for x in followers[open_[followers]].tolist():
+            apart = label[rows] != label[x]
+            rows, common = rows[apart], common[apart]
+            if not len(rows):
+                open_[followers] = False  # whatever they link to is in their component
+                break
+            more, less = np.setdiff1d(ranked[x], ranked[y], assume_unique=True), np.setdiff1d(ranked[y], ranked[x], assume_unique=True)
+            answer(x, rows, common + overlap(more)[rows] - overlap(less)[rows])
+    out = np.empty(n, np.int64)
+    out[order] = label
     return out
 
 
@@ -331,7 +343,16 @@ def clusters(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], elements:
         first = cls[np.flatnonzero(new)[np.cumsum(new) - 1]]
         keep = (first != cls) | dealt
         got = pd.DataFrame({"element": np.where(dealt, element.view(np.int64), 0)[keep], "dealt": dealt[keep], "a": first[keep], "b": cls[keep]}).drop_duplicates()
-        return got[(got["a"] != got["b"]) | got["dealt"]]
+        plain = got[~got["dealt"]]
+        if not len(plain):
+            return got
+        nodes, ends = np.unique(plain[["a", "b"]].to_numpy().ravel(), return_inverse=True)
+        tree = Union(len(nodes))  # the ties of a bucket as one tie a class
+        for x, y in ends.reshape(-1, 2).tolist():
+            tree.join(x, y)
+        root = nodes[[tree.find(i) for i in range(len(nodes))]]
+        tied = pd.DataFrame({"element": np.int64(0), "dealt": False, "a": root, "b": nodes})
+        return pd.concat([tied[root != nodes], got[got["dealt"]]])
 
     packed = docs.select("text").mapInArrow(post, "bucket long, element binary, cls binary, n binary, dealt binary")
     ties = durable(packed.groupBy("bucket").applyInPandas(lists, "element long, dealt boolean, a long, b long"), "ties")
@@ -345,7 +366,7 @@ def _unpack(frame: pd.DataFrame) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in frame["elements"]]
 
 
-def join(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, split: int = SPLIT, bucket: int = BUCKET) -> DataFrame:
+def join(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, split: int = SPLIT, bucket: int = BUCKET, rows_a_block: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bits = min(20, max(6, (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length()))
@@ -357,63 +378,76 @@ def join(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, split: int
     found = durable(clusters(docs, often, elements, bits, percent, split, bucket), "clusters")
     first = rows.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     members = found.join(first, "cls")
-    weight = members.groupBy("cluster").agg(F.sum("n").alias("total"), F.min("cls").alias("pivot"))
-    dealt = F.pmod(F.xxhash64("cls"), F.ceil(F.col("total") / block).cast("int")).cast("int")
-    members = durable(members.join(weight, "cluster").select("doc_id", "cls", "cluster", "pivot", F.ceil(F.col("total") / block).cast("int").alias("blocks"), dealt.alias("block")), "members")
-    table = members.withColumnRenamed("cls", "want")
+    weight = members.groupBy("cluster").agg(F.sum("n").alias("total"), F.count("*").alias("k"), F.min("cls").alias("pivot"))
+    least = F.greatest(F.ceil(F.col("total") / block), F.ceil(F.col("k") / (16 * rows_a_block))).cast("int")  # blocks that bound memory
+    weight = weight.select("cluster", "pivot", "k", least.alias("least"), F.greatest(least, F.ceil(F.col("k") / rows_a_block)).cast("int").alias("blocks"))
+    members = durable(members.join(weight, "cluster").select("doc_id", "cls", "cluster", "pivot", "k", "least", "blocks", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block")), "members")
+    table = members.withColumnRenamed("cls", "want").where("doc_id is not null")
     joined = docs.join(F.broadcast(table) if members.count() <= SMALL else table, "doc_id")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = shingle_sets(batch.column("text"))
             good = [class_of(s) == w for s, w in zip(sets, batch.column("want").to_pylist())]  # a repeated doc_id may have other texts
-            out = pa.RecordBatch.from_arrays([batch.column("cluster"), batch.column("block"), batch.column("blocks"), batch.column("pivot"), batch.column("want"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cluster", "block", "blocks", "pivot", "cls", "elements"])
+            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in HOME), batch.column("want"), pa.array([s.tobytes() for s in sets], pa.binary())], names=[*HOME, "cls", "elements"])
             yield out.filter(pa.array(good))
 
-    made = "cluster long, block int, blocks int, pivot long, cls long, elements binary"
-    sets = durable(joined.mapInArrow(sets_of, made), "sets")
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = shingle_sets(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "elements"])
+
+    made = "cluster long, pivot long, k long, least int, blocks int, block int, cls long, elements binary"
+    sets = joined.mapInArrow(sets_of, made)
+    nameless = members.where("doc_id is null")
+    if not nameless.isEmpty():  # classes whose documents all lack an id are met by the class
+        sets = sets.union(docs.where("doc_id is null").select("text").mapInArrow(classed, "cls long, elements binary").join(nameless, "cls").dropDuplicates(["cls"]).select(*HOME, "cls", "elements"))
+    sets = durable(sets, "sets")
     pivots = sets.where("blocks > 1 and cls = pivot").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
+    def tied(cls: np.ndarray, label: np.ndarray) -> pd.DataFrame:
+        """A tie of each class to the first one of its label."""
+        _, at, which = np.unique(label, return_index=True, return_inverse=True)
+        return pd.DataFrame({"a": cls, "b": cls[at[which]]}).astype("int64")
+
     def within(group: pd.DataFrame) -> pd.DataFrame:
+        trim()
         group = group.drop_duplicates("cls")
-        cls, tree = group["cls"].to_numpy(), Union(len(group))
-        for x, y in join_sets(_unpack(group), percent):
-            tree.join(x, y)
-        return pd.DataFrame({"a": cls, "b": cls[[tree.find(i) for i in range(len(cls))]]})
+        return tied(group["cls"].to_numpy(), link_sets(_unpack(group), percent))
 
     linked = durable(sets.union(pivots.select(sets.columns)).groupBy("cluster", "block").applyInPandas(within, "a long, b long"), "links")
     large = sets.where("blocks > 1")
     if not large.isEmpty():
-        roots = connected_components(linked)
-        part = large.select("cluster", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        sized = part.groupBy("cluster", "root").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
-        outside = part.join(sized, "cluster").where("root <> main").select("cls")
-        group = F.pmod(F.xxhash64("cls", F.lit(1)), F.lit(1 << 30))
-        asked = large.join(outside, "cls").select("cluster", F.col("block").alias("home"), "blocks", "cls", "elements", group.alias("g"))
-        bulk = asked.groupBy("cluster").agg(F.ceil(F.sum(F.length("elements")) / (8 * block)).cast("int").alias("groups"))
-        asked = asked.join(bulk, "cluster").withColumn("g", F.pmod("g", F.col("groups"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        asked = asked.select("cluster", "block", "g", F.col("cls").alias("asked"), F.col("elements").alias("asked_elements"))
-        there = large.join(bulk, "cluster").withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select("cluster", "block", "g", "cls", "elements")
-
-        def between(data: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-            queries = queries[~queries["asked"].isin(data["cls"])] if len(data) else queries[:0]
-            if not len(queries):
-                return pd.DataFrame({"a": [], "b": []}).astype("int64")
-            both = [np.frombuffer(x, np.uint64) for x in queries["asked_elements"]] + _unpack(data)
-            cls = np.concatenate([queries["asked"].to_numpy(), data["cls"].to_numpy()])
-            pairs = join_sets(both, percent, len(queries))
-            tree = Union(len(both))
-            for x, y in pairs:
-                tree.join(x, y)
-            return pd.DataFrame({"a": cls, "b": cls[[tree.find(i) for i in range(len(cls))]]}).astype("int64")
-
-        more = there.groupBy("cluster", "block", "g").cogroup(asked.toDF(*(f"q_{c}" if c in ("cluster", "block", "g") else c for c in asked.columns)).groupBy("q_cluster", "q_block", "q_g")).applyInPandas(between, "a long, b long")
+        part = large.join(connected_components(linked).withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        main = part.groupBy("cluster", "root").agg(F.count("*").alias("size")).groupBy("cluster").agg(F.max_by("root", F.struct("size", "root")).alias("main"))
+        part = durable(part.join(main, "cluster").withColumn("asks", F.col("root") != F.col("main")), "parts")
+        # few that ask meet all the small blocks; many meet as few blocks as memory allows
+        bulk = part.where("asks").groupBy("cluster").agg(F.sum(F.length("elements")).alias("bytes"), F.count("*").alias("asking"), F.first("k").alias("all"), F.first("least").alias("least"), F.first("blocks").alias("most"))
+        bulk = bulk.select(
+            "cluster", F.greatest(F.ceil(F.col("bytes") / (8 * block)), F.ceil(F.col("asking") / (16 * rows_a_block))).cast("int").alias("groups"),
+            F.greatest("least", F.least("most", F.ceil(F.col("all") / F.col("asking")))).cast("int").alias("parts"),
+        )
+        dealt = lambda seed, parts: F.pmod(F.xxhash64("cls", F.lit(seed)), F.col(parts)).cast("int")
+        every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+        meeting = part.join(F.broadcast(bulk) if bulk.count() <= SMALL else bulk, "cluster").select("cluster", "groups", "parts", "cls", "elements", "root", "asks")
+        asked = meeting.where("asks").withColumn("g", dealt(1, "groups")).withColumn("block", every("parts"))
+        there = meeting.withColumn("block", dealt(2, "parts")).withColumn("g", every("groups")).withColumn("asks", F.lit(False))
+
+        def between(group: pd.DataFrame) -> pd.DataFrame:
+            trim()
+            group = group.sort_values("asks", ascending=False).drop_duplicates("cls")
+            return tied(group["cls"].to_numpy(), link_sets(_unpack(group), percent, group["root"].to_numpy(), group["asks"].to_numpy()))
+
+        columns = ["cluster", "block", "g", "cls", "elements", "root", "asks"]
+        more = asked.select(columns).union(there.select(columns)).groupBy("cluster", "block", "g").applyInPandas(between, "a long, b long")
         linked = durable(linked.union(more), "links")
-    roots = connected_components(linked)
+    roots = durable(connected_components(linked), "roots")
     whole = roots.withColumnRenamed("node", "cls").join(first.select("cls", "doc_id"), "cls").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = roots.withColumnRenamed("node", "cls").join(whole, "root").select("cls", F.col("component_id").alias("shared"))
     # written, so that Spark can split the part of a class that very many documents share
     alone = durable(first.join(named, "cls", "left").select("cls", F.coalesce("shared", "doc_id").alias("component_id")), "components")
+    for table_ in (found, members, sets, linked, roots):
+        discard(table_)
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.join(alone, "cls").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
