@@ -1,11 +1,13 @@
 """Operator 8: licence scans by a generalised suffix automaton of licence wording.
 
-The templates' words make one automaton. Streaming a text through it gives matching
+The templates are whole public licence texts (the files of `licences`, named label.name.txt) and
+the usual notices. Their words make one automaton. Streaming a text through it gives matching
 statistics: at each word the longest run ending there that some template has. A word
 that no template has resets the automaton, so only runs of template words of at least
 `MIN_MATCH` are streamed; all shorter matches are dropped anyway. Long maximal matches
-are chained for each template (both places rising, gaps of at most `MAX_GAP` words); a
-chain that covers enough of a template makes its label and a covered span of words.
+are chained for each template (both places rising, gaps of at most `MAX_GAP` words) so that a
+chain covers as many words as any can; a chain that covers enough of a template makes its label
+and a span. The score is the share of a text's words that matches and base phrases cover, gaps left out.
 
 Base phrases are counted wherever their words stand consecutively, and their labels stay.
 Nulls are empty texts: no words, no label, score 0. Repeated rows are scanned alike, extra
@@ -14,8 +16,11 @@ columns ignored, texts of any length scanned whole.
 
 from __future__ import annotations
 
+import importlib.resources
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,21 +36,18 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-TEMPLATES = {
+NOTICES = {
     "apache": [
         "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
         "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
     ],
-    "mit": [
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
-        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    ],
     "gpl": [
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-        "this work is licensed under the gnu general public license version 3",
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
     ],
-    "lgpl": [
-        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "mit": [
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     ],
     "bsd": [
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
@@ -54,11 +56,21 @@ TEMPLATES = {
     "isc": [
         "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     ],
+    "agpl": [
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    ],
+    "lgpl": [
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    ],
     "mpl": [
         "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",
     ],
     "cc-by": [
         "this work is licensed under a creative commons attribution 4 0 international license",
+        "this work is licensed under the creative commons attribution 4 0 international license to view a copy of this license visit",
+    ],
+    "cc-by-sa": [
+        "this work is licensed under the creative commons attribution sharealike 4 0 international license to view a copy of this license visit",
     ],
     "cc0": [
         "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
@@ -73,6 +85,51 @@ LEAST = 8  # words that a chain must cover
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+def templates() -> dict[str, list[str]]:
+    """All templates by label: the files of `licences`, and the notices."""
+    out = {label: list(ts) for label, ts in NOTICES.items()}
+    for file in sorted(importlib.resources.files(__package__).joinpath("licences").iterdir(), key=lambda f: f.name):
+        if file.name.endswith(".txt"):
+            text = file.read_bytes().translate(_PLAIN).decode()
+            out.setdefault(file.name.split(".")[0], []).append(" ".join(text.split()))
+    return out
+
+
+Match = tuple[int, int, int, int]  # template, end there, end in the text, words
+
+
+def best_chains(found: list[Match], cover: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """For one template's matches: (words covered, pieces of the text) of the chains that cover at least `cover` words,
+    the best first and none over another. A chain goes on with the part of a match that lies beyond its end in both."""
+    found = sorted(found, key=lambda m: (m[2], m[1], m[3]))
+    best: list[tuple[int, int, int, int]] = []  # words, the match before or -1, words of the own piece, start
+    for j, (_, there, end, n) in enumerate(found):
+        top = (n, -1, n, end - n)
+        for i in range(j - 1, -1, -1):
+            _, there_i, end_i, _ = found[i]
+            if end_i < end - n - MAX_GAP:
+                break
+            new = min(n, there - there_i, end - end_i)
+            if new > 0 and end - new - end_i <= MAX_GAP and best[i][0] + new > top[0]:
+                top = (best[i][0] + new, i, new, best[i][3])
+        best.append(top)
+    out, taken = [], []
+    for j in sorted(range(len(found)), key=lambda j: (-best[j][0], found[j][2])):
+        if best[j][0] < cover:
+            break
+        a, b = best[j][3], found[j][2]
+        k = bisect_left(taken, (a, b))
+        if (k and taken[k - 1][1] > a) or (k < len(taken) and taken[k][0] < b):
+            continue
+        insort(taken, (a, b))
+        pieces, i = [], j
+        while i >= 0:
+            pieces.append((found[i][2] - best[i][2], found[i][2]))
+            i = best[i][1]
+        out.append((best[j][0], pieces[::-1]))
+    return out
+
+
 @dataclass
 class SuffixAutomaton:
     """Of several word sequences; ends[state]: (template, end) places where the state's strings end, found on demand."""
@@ -122,8 +179,8 @@ class SuffixAutomaton:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, str] = PHRASES) -> None:
-        self.templates = [(label, t.split()) for label, ts in sorted(templates.items()) for t in ts]
+    def __init__(self, texts: dict[str, list[str]] | None = None, phrases: dict[str, str] = PHRASES) -> None:
+        self.templates = [(label, t.split()) for label, ts in sorted((templates() if texts is None else texts).items()) for t in ts]
         vocabulary = sorted({w for _, t in self.templates for w in t} | {w for p in phrases for w in p.split()})
         self.ids = {w: i for i, w in enumerate(vocabulary)}
         self.words = pa.array(vocabulary, pa.large_string())
@@ -144,7 +201,7 @@ class Scanner:
                 self.ends[state].append((k, end))
                 state = self.automaton.link[state]
 
-    def matches(self, ids: list[int]) -> list[tuple[int, int, int, int]]:
+    def matches(self, ids: list[int]) -> list[Match]:
         """(template, end there, end in ids, words) of the maximal matches of MIN_MATCH words or more."""
         got, out = self.automaton.statistics(ids), []
         for i, (state, n) in enumerate(got):
@@ -152,22 +209,17 @@ class Scanner:
                 out += [(k, end, i + 1, n) for k, end in self.ends[state]]
         return out
 
-    def spans(self, found: list[tuple[int, int, int, int]]) -> list[tuple[str, int, int]]:
-        """(label, start, end) of the chains that cover their template; found: matches with places in the whole text."""
+    def spans(self, found: list[Match]) -> list[tuple[str, int, int, list[tuple[int, int]]]]:
+        """(label, start, end, pieces) of the chains that cover their template; found: matches with places in the whole text."""
+        by_template: dict[int, list[Match]] = {}
+        for m in found:
+            by_template.setdefault(m[0], []).append(m)
         out = []
-        for k in sorted({m[0] for m in found}):
+        for k, own in sorted(by_template.items()):
             label, template = self.templates[k]
-            chain: list[tuple[int, int, int, int]] = []
-            for m in [*sorted((m for m in found if m[0] == k), key=lambda m: (m[2], m[1])), None]:
-                if chain and (m is None or m[2] - m[3] > chain[-1][2] + MAX_GAP or m[1] - m[3] < chain[-1][1] - MIN_MATCH or m[1] <= chain[-1][1]):
-                    if m is not None and m[2] <= chain[-1][2] + MAX_GAP and m[3] <= chain[-1][3] and m[1] <= chain[-1][1]:
-                        continue  # the same words at another place of the template
-                    covered = {j for _, end, _, n in chain for j in range(end - n, end)}
-                    if len(covered) >= LEAST and len(covered) >= COVER * len(template):
-                        out.append((label, chain[0][2] - chain[0][3], chain[-1][2]))
-                    chain = []
-                if m is not None:
-                    chain.append(m)
+            cover = max(LEAST, -int(-COVER * len(template) // 1))
+            if sum(m[3] for m in own) >= cover:
+                out += [(label, pieces[0][0], pieces[-1][1], pieces) for _, pieces in best_chains(own, cover)]
         return out
 
     def scan(self, texts: pa.Array) -> list[tuple]:
@@ -189,7 +241,7 @@ class Scanner:
                 hit = np.logical_and.reduce([ids[j : len(ids) - k + 1 + j] == w for j, w in enumerate(phrase)]) & (doc[: len(ids) - k + 1] == doc[k - 1 :])
                 for at in np.flatnonzero(hit).tolist():
                     base.setdefault(int(doc[at]), []).append((at - int(begin[doc[at]]), k, label))
-        found: dict[int, list[tuple[int, int, int, int]]] = {}
+        found: dict[int, list[Match]] = {}
         inside = ids >= 0
         edge = np.flatnonzero(np.concatenate([[True], (inside[1:] != inside[:-1]) | (doc[1:] != doc[:-1]), [True]])) if len(ids) else np.zeros(1, int)
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
@@ -201,7 +253,7 @@ class Scanner:
             places, spans = base.get(i, []), self.spans(found[i]) if i in found else []
             labels = {p[2] for p in places}
             starts = [p[0] for p in places]
-            covered = sorted([(a, a + k) for a, k, _ in places] + [(a, b) for _, a, b in spans])
+            covered = sorted([(a, a + k) for a, k, _ in places] + [p for s in spans for p in s[3]])
             total, reach = 0, 0
             for a, b in covered:
                 total, reach = total + max(0, b - max(a, reach)), max(reach, b)
@@ -209,14 +261,21 @@ class Scanner:
         return out
 
 
+@lru_cache(maxsize=1)
+def scanner(texts: tuple[tuple[str, tuple[str, ...]], ...]) -> Scanner:
+    """One for all tasks of a Python worker."""
+    return Scanner({label: list(ts) for label, ts in texts})
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with the counts, labels and the covered spans (label, first word, end)."""
+    sent = docs.sparkSession.sparkContext.broadcast(tuple((label, tuple(ts)) for label, ts in sorted(templates().items())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner()
+        scans = scanner(sent.value)
         for batch in slices(batches):
-            columns = [list(c) for c in zip(*scanner.scan(batch.column("text")))]
-            spans = ["; ".join(f"{label} {a}-{b}" for label, a, b in s) for s in columns.pop()]
+            columns = [list(c) for c in zip(*scans.scan(batch.column("text")))]
+            spans = ["; ".join(f"{label} {a}-{b}" for label, a, b, _ in s) for s in columns.pop()]
             types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types)), pa.array(spans)], names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
 

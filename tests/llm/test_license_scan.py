@@ -45,11 +45,54 @@ def test_templates_and_clean_texts():
         ("MIT\x00License Apache-license CC BY cc  by é", "apache,cc-by,mit"),
         (None, ""), ("", ""), ("word " * 200_000 + "apache license", "apache"),
     ]
+    cases += [(file, label) for label, texts in L.templates().items() for file in texts]
     for (text, labels), got in zip(cases, L.Scanner().scan(pa.array([c[0] for c in cases]))):
-        assert got[:5] == brute(text) and got[5] == labels
+        assert got[:5] == brute(text) and (got[5] == labels or text in L.templates().get(labels, ()) and labels in got[5].split(","))
 
 
 def test_empty_table_and_extra_columns(spark):
     docs = spark.createDataFrame([(1, "mit license", 9, "a"), (1, "mit license", 9, "a")], "doc_id long, text string, n_words int, labels string")
     assert [r.labels for r in L.scan(docs).collect()] == ["mit", "mit"]
     assert L.scan(docs.limit(0)).count() == 0
+
+
+def test_chains_against_all_chains():
+    rng = random.Random(5)
+    for _ in range(400):
+        found = []
+        for _ in range(rng.randrange(1, 8)):
+            n = rng.randrange(5, 12)
+            found.append((0, n + rng.randrange(25), n + rng.randrange(40), n))
+        best = 0
+
+        def go(there, end, covered, found=found):
+            nonlocal best
+            best = max(best, covered)
+            for _, t, e, n in found:
+                new = n if covered == 0 else min(n, t - there, e - end)
+                if new > 0 and (covered == 0 or e - new - end <= L.MAX_GAP):
+                    go(t, e, covered + new)
+
+        go(0, 0, 0)
+        got = L.best_chains(found, 1)
+        assert got[0][0] == best
+        for words, pieces in got:
+            assert words == sum(b - a for a, b in pieces) and all(a[1] <= b[0] <= a[1] + L.MAX_GAP for a, b in zip(pieces, pieces[1:]))
+        spans = sorted((p[0][0], p[-1][1]) for _, p in got)
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_a_match_between_costs_no_template():
+    template = [f"t{i}" for i in range(67)]
+    s = L.Scanner({"x": [" ".join(template)]}, {})
+    text = [*template[:22], "z", *template[61:67], "z", *template[22:45]]
+    (row,) = s.scan(pa.array([" ".join(text)]))
+    assert row[5] == "x" and abs(row[6] - 45 / len(text)) < 1e-9
+    (row,) = s.scan(pa.array([" ".join([*template[:30], "foreign", *template[31:], "foreign"])]))
+    assert row[5] == "x" and abs(row[6] - 66 / 68) < 1e-9
+
+
+def test_many_copies_of_a_licence():
+    text = L.templates()["mit"][0]
+    (row,) = L.Scanner().scan(pa.array([" ".join([text] * 500)]))
+    assert row[5] == "mit" and len(row[7]) == 500 and row[6] == 1
