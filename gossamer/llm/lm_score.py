@@ -8,10 +8,10 @@ The model predicts from the two classes before, (a, b): with h = c1 * r_b + c2 *
 h . u_g + a_g, then the class within it by h . q_w + bias_w. Both levels are normalised exactly, by matrix
 products over the groups and over the classes of a group, so time and memory grow with the root of the classes.
 
-It is trained in numpy by noise-contrastive estimation on all class trigrams of the training fold, in rounds:
-the class sequences are dealt to shards of some `SHARD` tokens, each task trains the round's model on its
-shard, and the shards' weights are averaged, each row by how often the shard met its class. The sums
-are formed in Spark; the driver gets one model a round.
+It is trained in numpy by noise-contrastive estimation on all class trigrams of the training fold: the class
+sequences are dealt to shards of some `SHARD` tokens. From a start that one task learns on as many tokens, each
+task passes over its shard, and the shards' weights are averaged, each row by how often the shard met its
+class. The sums are formed in Spark; the driver gets one model.
 
 Word counts cover all training texts. The most frequent words (at most `HEAD`, found by a
 histogram of counts) are sent to the tasks; the rest meet their counts in a join, by
@@ -40,7 +40,8 @@ from .common import discard, durable, encoded, fold, read, segment_sums, slices
 HEAD = 1 << 17  # words at most whose counts are sent to every task
 CLASSES = 384  # at least
 END = 0
-ROUNDS = 2  # passes over all class trigrams
+RATE = 0.1
+BATCH = 4096
 SHARD = 4_000_000  # tokens that a task trains on before weights are averaged,
 SHARDS = 4096  # more only beyond so many shards
 CHUNK = 1 << 20  # tokens that are shuffled at once
@@ -112,7 +113,7 @@ def with_ends(classes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 def trigrams(sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The classes two and one before each token but the first two, and the token's; END stands before a text."""
-    two, one, target = sequence[:-2].astype(np.int64), sequence[1:-1].astype(np.int64), sequence[2:].astype(np.int64)
+    two, one, target = sequence[:-2].copy(), sequence[1:-1], sequence[2:]
     two[one == END] = END
     return two, one, target
 
@@ -140,13 +141,6 @@ def class_rows(head: Callable[[], Head]) -> Callable[[Iterator[pa.RecordBatch]],
     return run
 
 
-def row_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct row numbers and the sum of the values of each."""
-    order = np.argsort(rows, kind="stable")
-    begin = np.flatnonzero(np.diff(rows[order], prepend=-1))
-    return rows[order[begin]], np.add.reduceat(values[order], begin, axis=0)
-
-
 class LogBilinear:
     """Weights, a row for each class (vector r as context, q as target, bias b), each group (vector u, bias a) and one for the positions (c1, c2)."""
 
@@ -158,7 +152,6 @@ class LogBilinear:
         self.groups = -(-self.size // self.width)
         self.noise = noise / noise.sum()
         self.group_noise = np.add.reduceat(self.noise, np.arange(0, self.size, self.width))
-        self.edges, self.group_edges = np.cumsum(self.noise), np.cumsum(self.group_noise)
         normal = lambda n: rng.normal(0, 0.1, (n, dims))
         inner = self.noise / self.group_noise[np.arange(self.size) // self.width]
         w = {"r": normal(self.size), "q": normal(self.size), "u": normal(self.groups), "c1": np.ones(dims), "c2": np.full(dims, 0.5), "b": np.log(inner), "a": np.log(self.group_noise)}
@@ -180,55 +173,63 @@ class LogBilinear:
         self.w = {x: v.astype(np.float32) for x, v in w.items()}
         return self
 
-    def train(self, sequences: Iterator[np.ndarray], rate: float = 0.1, batch: int = 1024, k: int = 32, own: int = 8, seed: int = 8) -> LogBilinear:
-        """One pass of noise-contrastive estimation over the trigrams of class sequences: tell each group from k groups of the
-        noise distribution, which a batch shares, and each class from `own` classes of its group, by Adagrad on the rows met."""
-        rng, w = np.random.default_rng(seed), self.w
+    def train(self, sequences: Iterator[np.ndarray], rate: float = RATE, batch: int = BATCH, k: int = 32, seed: int = 8) -> LogBilinear:
+        """One pass of noise-contrastive estimation over the trigrams of class sequences: tell each group from k groups of the noise
+        distribution, and each class from k classes of its group, by Adagrad. The noise's part of the gradient is taken as its
+        expectation over all groups, or all classes of a group, so each step is a few matrix products."""
+        rng, w, start = np.random.default_rng(seed), self.w, self.matrix()
         square = {x: np.full(v.shape if v.ndim == 1 else (len(v), 1), 1e-2, np.float32) for x, v in w.items()}
-        log_group = np.log(k * self.group_noise).astype(np.float32)
-        log_class = np.log(own * self.noise / self.group_noise[np.arange(self.size) // self.width]).astype(np.float32)
-        before = np.concatenate([[0.0], self.edges])
-        lo, hi = before[np.arange(self.groups) * self.width], before[np.minimum(self.size, np.arange(1, self.groups + 1) * self.width)]
-
-        def move(x: str, rows: np.ndarray, grad: np.ndarray) -> None:
-            rows, grad = row_sums(rows, grad)
-            square[x][rows] += grad * grad if grad.ndim == 1 else (grad * grad).mean(1, keepdims=True)
-            w[x][rows] += rate * grad / np.sqrt(square[x][rows])
+        group_noise = (k * self.group_noise).astype(np.float32)
+        class_noise = (k * self.noise / self.group_noise[np.arange(self.size) // self.width]).astype(np.float32)
+
+        def move(x: str, at: slice, grad: np.ndarray) -> None:
+            square[x][at] += grad * grad if grad.ndim == 1 else np.einsum("ij,ij->i", grad, grad)[:, None] / np.float32(grad.shape[1])
+            w[x][at] += np.float32(rate) * grad / np.sqrt(square[x][at])
+
+        def told(h: np.ndarray, target: np.ndarray, vectors: str, biases: str, at: slice, noise: np.ndarray) -> np.ndarray:
+            """Moves the rows `at` of the groups or of one group's classes, of which target are places; the gradient of h."""
+            v, rows = w[vectors][at], np.arange(len(target))
+            e = h @ v.T
+            e += w[biases][at] - np.log(noise)
+            np.negative(e, out=e)
+            np.exp(e, out=e)
+            e += 1
+            np.divide(-noise, e, out=e)  # the noise's share: -k P(noise) P(it is taken for data)
+            e[rows, target] += 1 + e[rows, target] / noise[target]  # and 1 - P(the true one is taken for data)
+            dh = e @ v
+            move(vectors, at, e.T @ h)
+            move(biases, at, e.sum(0))
+            return dh
+
+        def step(two: np.ndarray, one: np.ndarray, target: np.ndarray, group: np.ndarray) -> None:
+            """A batch in the order of its groups."""
+            ra, rb = w["r"][two], w["r"][one]
+            h = rb * w["c1"] + ra * w["c2"]
+            dh = told(h, group, "u", "a", slice(0, self.groups), group_noise)
+            edge = np.flatnonzero(np.diff(group.astype(np.int64), prepend=-1, append=-1)).tolist()
+            for a, b in zip(edge[:-1], edge[1:]):
+                first = int(group[a]) * self.width
+                own = slice(first, min(self.size, first + self.width))
+                dh[a:b] += told(h[a:b], target[a:b] - np.uint32(first), "q", "b", own, class_noise[own])
+            both = np.concatenate([one, two])
+            order = np.argsort(both, kind="stable")
+            begin = np.flatnonzero(np.diff(both[order].astype(np.int64), prepend=-1))
+            move("r", both[order[begin]], np.add.reduceat(np.concatenate([dh * w["c1"], dh * w["c2"]])[order], begin, axis=0))
+            for x, grad in (("c1", np.einsum("ij,ij->j", dh, rb)), ("c2", np.einsum("ij,ij->j", dh, ra))):
+                square[x] += grad * grad
+                w[x] += np.float32(0.2 * rate) * grad / np.sqrt(square[x])
 
         held: list[np.ndarray] = []
 
         def learn() -> None:
-            two_, one_, target_ = map(np.concatenate, zip(*held))
+            two, one, target = (np.concatenate(x).astype(np.uint32) for x in zip(*held))
             held.clear()
-            order = rng.permutation(len(target_))
-            self.met += np.concatenate([n := np.bincount(target_, minlength=self.size), np.add.reduceat(n, np.arange(0, self.size, self.width)), [len(order)]])
+            group = target // np.uint32(self.width)
+            self.met += np.concatenate([n := np.bincount(target, minlength=self.size), np.add.reduceat(n, np.arange(0, self.size, self.width)), [len(target)]])
+            order = rng.permutation(len(target))
             for at in np.array_split(order, max(1, round(len(order) / batch))):
-                two, one, target = two_[at], one_[at], target_[at]
-                group, m = target // self.width, len(at)
-                ra, rb = w["r"][two], w["r"][one]
-                h = rb * w["c1"] + ra * w["c2"]
-                # groups
-                other = np.minimum(np.searchsorted(self.group_edges, rng.random(k), "right"), self.groups - 1)
-                u, v = w["u"][group], w["u"][other]
-                e_true = 1 / (1 + np.exp(np.einsum("ij,ij->i", h, u) + (w["a"] - log_group)[group]))  # 1 - P(true is data)
-                e_other = -1 / (1 + np.exp(-(h @ v.T + (w["a"] - log_group)[other])))
-                # classes of the group
-                drawn = lo[group, None] + rng.random((m, own)) * (hi - lo)[group, None]
-                inner = np.clip(np.searchsorted(self.edges, drawn.ravel(), "right").reshape(m, own), group[:, None] * self.width, np.minimum(self.size, (group + 1) * self.width)[:, None] - 1)
-                q, p = w["q"][target], w["q"][inner]
-                f_true = 1 / (1 + np.exp(np.einsum("ij,ij->i", h, q) + (w["b"] - log_class)[target]))
-                f_other = -1 / (1 + np.exp(-(np.matmul(p, h[:, :, None])[:, :, 0] + (w["b"] - log_class)[inner])))
-                dh = e_true[:, None] * u + e_other @ v + f_true[:, None] * q + np.matmul(f_other[:, None, :], p)[:, 0]
-                groups, classes = np.concatenate([group, other]), np.concatenate([target, inner.ravel()])
-                e, f = np.concatenate([e_true, e_other.sum(0)]), np.concatenate([f_true, f_other.ravel()])
-                move("u", groups, np.concatenate([e_true[:, None] * h, e_other.T @ h]))
-                move("a", groups, e)
-                move("q", classes, f[:, None] * np.concatenate([h, np.repeat(h, own, 0)]))
-                move("b", classes, f)
-                move("r", np.concatenate([one, two]), np.concatenate([dh * w["c1"], dh * w["c2"]]))
-                for x, grad in (("c1", (dh * rb).sum(0)), ("c2", (dh * ra).sum(0))):
-                    square[x] += grad * grad
-                    w[x] += 0.2 * rate * grad / np.sqrt(square[x])
+                at = at[np.argsort(group[at], kind="stable")]
+                step(two[at], one[at], target[at], group[at])
 
         for sequence in sequences:
             if len(sequence) > 2:
@@ -237,6 +238,9 @@ class LogBilinear:
                 learn()
         if held:
             learn()
+        never = self.met == 0  # classes that no text has keep their share
+        if self.met[-1] and never.any():
+            self.set(np.where(never[:, None], start, self.matrix()))
         return self
 
     def log10(self, two: np.ndarray, one: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -262,45 +266,46 @@ class LogBilinear:
         return out / np.log(10)
 
 
-def sums(group: pd.DataFrame) -> np.ndarray:
-    return np.sum([np.frombuffer(x, np.float64) for x in group["rows"]], axis=0)
+def word_counts(train: DataFrame) -> DataFrame:
+    return durable(train.select("text").mapInArrow(count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
 
 
-def trained(rows: DataFrame, tokens: int, noise: np.ndarray, rounds: int = ROUNDS, shard: int = SHARD) -> LogBilinear:
-    """The model after `rounds` passes over the class sequences of rows (salt, classes)."""
+def trained(rows: DataFrame, tokens: int, noise: np.ndarray, shard: int = SHARD) -> LogBilinear:
+    """The model after one task's pass over some `shard` tokens, from which all shards start, and one pass of them over all rows (salt, classes)."""
     context, model = rows.sparkSession.sparkContext, LogBilinear(noise)
     kind = np.uint16 if model.size <= 1 << 16 else np.uint32
-    shards = min(SHARDS, max(1, -(-tokens // shard)))
-    dealt = rows.repartition(shards, F.xxhash64("salt"))
-
-    def partial(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"piece": group["piece"].iloc[:1], "rows": [sums(group).tobytes()]})
+    parts = max(1, -(-tokens // shard))
+    shards = min(SHARDS, parts)
 
-    for turn in range(rounds):
+    def passed(table: DataFrame, seed: int) -> DataFrame:
         sent = context.broadcast((model.matrix(), noise))
 
-        def run(batches: Iterator[pa.RecordBatch], turn: int = turn, sent=sent) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part, (start, noise) = TaskContext.get().partitionId(), sent.value
             mine = LogBilinear(noise).set(start)
-            mine.train((np.frombuffer(x.as_buffer(), kind) for b in batches for x in b.column("classes")), 0.1 / (1 + turn), seed=1000 * part + turn)
+            mine.train((np.frombuffer(x.as_buffer(), kind) for b in batches for x in b.column("classes")), seed=1000 * part + seed)
             met = mine.met + 1e-9  # what no shard met stays as it was
             table = np.column_stack([met, met[:, None] * mine.matrix()])
             pieces = [table[at : at + ROWS].tobytes() for at in range(0, len(table), ROWS)]
             if mine.met[-1]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pieces), part % 64, np.int32)), pa.array(np.arange(len(pieces), dtype=np.int32)), pa.array(pieces, pa.binary())], names=["some", "piece", "rows"])
 
-        got = dealt.select("classes").mapInArrow(run, "some int, piece int, rows binary")
-        got = got.groupBy("piece", "some").applyInPandas(partial, "piece int, rows binary").groupBy("piece").applyInPandas(partial, "piece int, rows binary")
-        found = sorted((r.piece, r.rows) for r in got.collect())
-        if not found:
-            break
-        table = np.concatenate([np.frombuffer(x, np.float64) for _, x in found]).reshape(-1, 2 * model.dims + 2)
-        model.set(table[:, 1:] / table[:, :1])
-    return model
+        return table.select("classes").mapInArrow(run, "some int, piece int, rows binary")
 
+    def partial(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"piece": group["piece"].iloc[:1], "rows": [np.sum([np.frombuffer(x, np.float64) for x in group["rows"]], axis=0).tobytes()]})
 
-def word_counts(train: DataFrame) -> DataFrame:
-    return durable(train.select("text").mapInArrow(count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    def settle(got: DataFrame) -> None:
+        found = sorted((r.piece, r.rows) for r in got.collect())
+        if found:
+            table = np.concatenate([np.frombuffer(x, np.float64) for _, x in found]).reshape(-1, 2 * model.dims + 2)
+            model.set(table[:, 1:] / table[:, :1])
+
+    if parts > 1:
+        settle(passed(rows.where(F.pmod(F.xxhash64("salt", F.lit(1)), F.lit(parts)) == 0).repartition(1), 500).drop("some"))
+    got = passed(rows.repartition(shards, F.xxhash64("salt")), 1)
+    settle(got.groupBy("piece", "some").applyInPandas(partial, "piece int, rows binary").groupBy("piece").applyInPandas(partial, "piece int, rows binary"))
+    return model
 
 
 def head_of(counts: DataFrame, most: int = HEAD, classes: int = CLASSES) -> tuple[Head, dict[int, tuple[int, int]]]:

@@ -49,8 +49,8 @@ def test_model_is_normalised_and_learns():
     s = np.array([0, 0, *seq])
     model = L.LogBilinear(np.bincount(s, minlength=size) + 0.5, 12)
     assert 1 < model.groups < size
-    for _ in range(6):
-        model.train([s])
+    for _ in range(12):
+        model.train([s], batch=512)
     every = np.indices((size, size, size)).reshape(3, -1)
     assert np.allclose((10 ** model.log10(*every)).reshape(size, size, size).sum(2), 1)
     noise = np.bincount(s, minlength=size) / len(s)
