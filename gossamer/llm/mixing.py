@@ -1,29 +1,43 @@
 """Operator 10: mixing sources to target weights by entropy balancing.
 
-The rates r of documents minimise the relative entropy to one pass over the corpus,
-weighted by tokens, under one token constraint a source. The convex dual has one
-multiplier a source and r = exp(multiplier): Newton's iterations run for all sources in
-parallel inside one Catalyst expression over the table of source masses. Rates are
-rounded into whole copies: in each source, sizes from large to small take the floor of the
+The rates r of documents, at most `MOST`, minimise the relative entropy to one pass over the corpus, weighted by
+tokens, under two sets of token constraints: each source gives its target exactly, and documents of each size
+band give about the share that they have in the corpus, so that a mix of sources does not shift the lengths (a quadratic
+penalty, as the caps can make both impossible). The convex dual has a multiplier a source and one a band,
+r = min(MOST, exp(source + band)). Newton's iterations are distributed: each sums gradient and curvature over the
+table of source and band masses, the bands' system (sources eliminated) is solved on the driver, sources move by
+their own expression, and a line search on the dual bounds the step. They end when the Newton decrement, twice
+the dual gap to second order, is below `GAP` of all tokens.
+
+Rates are rounded into whole copies: in each source, sizes from large to small take the floor of the
 rate and as many further copies as keep the running total at its target, so what is left
 over at the end is about half of a small document. Only the histogram (source, size)
 takes part; documents find their copies by their hashed rank within (source, size, salt).
 
 Null sources form a source of their own, last. Null texts have size 0, target 0 if a
-source has no words. Repeated rows are mixed each. An empty table gives no rows.
+source has no words. Repeated rows are mixed each. Texts of any length count whole; extra columns are
+ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, read
+from .common import discard, durable, read
 
 SALTS = 64
 MOST = 3  # times its size that a source or document may give
+BANDS = 8  # of sizes: 1 to 3 words, 4 to 15 and so on
+LOOSE = 0.1  # weight of the bands' penalty; 0 would hold them exactly
+GAP = 1e-12
+STEPS = [0.5**i for i in range(8)]
 
 
 def n_words(text: Column) -> Column:
@@ -51,43 +65,113 @@ def targets(sources: DataFrame, share: float = 1.0, most: int = MOST) -> DataFra
     return sources.withColumn("target", held)
 
 
-def multiplier(mass: Column, target: Column, rounds: int = 64) -> Column:
-    """The dual's optimum by Newton's method: gradient mass * exp(x) - target, curvature mass * exp(x).
-    The first step is at most 2 above 0 and the function is convex, so iterations fall to the root from above."""
-    step = lambda x, _: x - (mass * F.exp(x) - target) / (mass * F.exp(x))
-    start = F.when(target > mass, F.lit(float(np.log(MOST)))).otherwise(F.lit(0.0))
-    return F.when((mass > 0) & (target > 0), F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step))
+def band(size: Column) -> Column:
+    return F.least(F.lit(BANDS - 1), F.floor(F.log2(F.greatest(size, F.lit(1))) / 2)).cast("int")
+
+
+def _rate(x: Column) -> Column:
+    return F.least(F.lit(float(MOST)), F.exp(F.least(x, F.lit(2.0))))
+
+
+def _area(x: Column) -> Column:
+    """The integral of the rate: exp up to the cap, straight beyond."""
+    top = math.log(MOST)
+    return F.when(x <= top, F.exp(F.least(x, F.lit(top)))).otherwise(F.lit(float(MOST)) * (1 + x - F.lit(top)))
+
+
+def _sum(columns: list[Column]) -> Column:
+    return reduce(add, columns)
+
+
+def balanced(sources: DataFrame, loose: float = LOOSE, gap: float = GAP, most_rounds: int = 100) -> tuple[DataFrame, np.ndarray]:
+    """sources (source, target, source_size, m0, m1, ... by band) with the multiplier `x` (null: the target is 0; a source whose target
+    is all it can give has an endless one), and the bands' multipliers, at the dual's optimum."""
+    full = F.col("target") >= F.col("source_size") * F.lit(MOST * (1 - 1e-9))
+    start = F.when(F.col("target") <= 0, F.lit(None)).when(full, F.lit(float("inf"))).otherwise(F.log(F.col("target") / F.col("source_size")))
+    now = durable(sources.withColumn("x", start.cast("double")), "dual")
+    masses = [F.col(f"m{k}").cast("double") for k in range(BANDS)]
+    open_ = now.where("x < double('inf')")
+    whole = now.agg(F.sum("target").alias("t"), *(F.sum(m).alias(f"m{k}") for k, m in enumerate(masses))).first()
+    shut = now.where("x = double('inf')").agg(*(F.sum(m).alias(f"m{k}") for k, m in enumerate(masses))).first()
+    held, total = np.array([whole[f"m{k}"] or 0.0 for k in range(BANDS)]), whole.t or 0.0
+    mu = np.zeros(BANDS)
+    live = np.flatnonzero(held)
+    if not total or not len(live) or open_.isEmpty():
+        return now, mu
+    aim = held / held.sum() * total
+    fixed = np.array([MOST * (shut[f"m{k}"] or 0.0) for k in range(BANDS)])
+    for _ in range(most_rounds):
+        lit = [F.lit(float(v)) for v in mu]
+        given = [m * _rate(F.col("x") + v) for m, v in zip(masses, lit)]
+        bend = [F.when(F.col("x") + v < math.log(MOST), g).otherwise(F.lit(0.0)) for g, v in zip(given, lit)]
+        g, h = F.col("target") - _sum(given), F.greatest(_sum(bend), _sum(given) * 1e-6)
+        table = open_.select("source", "target", "x", *(f"m{k}" for k in range(BANDS)), g.alias("g"), h.alias("h"), *(c.alias(f"r{k}") for k, c in enumerate(given)), *(c.alias(f"h{k}") for k, c in enumerate(bend)))
+        value = F.col("x") * F.col("target") - _sum([m * _area(F.col("x") + v) for m, v in zip(masses, lit)])
+        sums = table.agg(
+            F.sum(F.col("g") * F.col("g") / F.col("h")).alias("q"), F.sum(value).alias("value"),
+            *(F.sum(f"r{k}").alias(f"r{k}") for k in live), *(F.sum(f"h{k}").alias(f"h{k}") for k in live), *(F.sum(F.col(f"h{k}") * F.col("g") / F.col("h")).alias(f"v{k}") for k in live),
+            *(F.sum(F.col(f"h{k}") * F.col(f"h{j}") / F.col("h")).alias(f"s{k}_{j}") for k in live for j in live if k <= j),
+        ).first()
+        grad = np.array([aim[k] - fixed[k] - sums[f"r{k}"] - loose * aim[k] * mu[k] for k in live])
+        across = np.array([sums[f"v{k}"] for k in live])
+        curve = np.diag([sums[f"h{k}"] + loose * aim[k] for k in live]) - np.array([[sums[f"s{min(k, j)}_{max(k, j)}"] for j in live] for k in live])
+        move = np.zeros(BANDS)
+        move[live] = np.linalg.solve(curve + 1e-12 * total * np.eye(len(live)), grad - across)
+        decrement = float(sums.q + move[live] @ (grad - across))
+        if decrement <= gap * total:
+            break
+        step = (F.col("g") - _sum([F.col(f"h{k}") * F.lit(float(move[k])) for k in range(BANDS)])) / F.col("h")
+        step = F.greatest(F.lit(-2.0), F.least(F.lit(2.0), step))
+        table, t = table.withColumn("step", step), 1.0
+        if decrement > 1e-8 * total:  # below, the dual's own rounding hides its rise
+            tried = [F.sum((F.col("x") + F.lit(t) * F.col("step")) * F.col("target") - _sum([m * _area(F.col("x") + F.lit(t) * F.col("step") + F.lit(float(v + t * d))) for m, v, d in zip(masses, mu, move)])).alias(str(i)) for i, t in enumerate(STEPS)]
+            got = table.agg(*tried).first()
+            side = lambda u: float(u @ (aim - fixed) - loose / 2 * (aim * u * u).sum())
+            rise = [got[i] + side(mu + t * move) - sums.value - side(mu) for i, t in enumerate(STEPS)]
+            t = next((t for t, up in zip(STEPS, rise) if up >= 1e-4 * t * decrement), STEPS[-1])
+        mu = mu + t * move
+        before, moved = now, table.select("source", F.col("x").alias("_x"), (F.lit(t) * F.col("step")).alias("_step"))
+        now = durable(now.join(moved, "source", "left").withColumn("x", F.coalesce(F.col("_x") + F.col("_step"), "x")).select(before.columns), "dual")
+        discard(before)
+        open_ = now.where("x < double('inf')")
+    return now, mu
 
 
 def extra_copies(group: pd.DataFrame) -> pd.DataFrame:
-    """For one source's histogram: how many documents of each size get one copy above the floor of the rate."""
+    """For one source's histogram: how many documents of each size get one copy above the floor of their rate."""
     group = group.sort_values("size", ascending=False)
-    fraction, wanted, taken, out = float(group["fraction"].iloc[0]), 0.0, 0, []
-    for size, n in zip(group["size"].tolist(), group["n"].tolist()):
-        wanted += size * n * fraction
-        more = max(0, min(n, round((wanted - taken) / size))) if size else 0
+    wanted, taken, out = 0.0, 0, []
+    for size, n, rate, least in zip(group["size"].tolist(), group["n"].tolist(), group["rate"].tolist(), group["least"].tolist()):
+        wanted += size * n * rate
+        taken += size * n * least
+        more = max(0, min(n, round((wanted - taken) / size))) if size and least < MOST else 0
         taken += more * size
         out.append(more)
     return pd.DataFrame({"source": group["source"], "size": group["size"], "extra": out})
 
 
-def mix(docs: DataFrame, share: float = 1.0, keep: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.0) -> DataFrame:
     """One row a row of docs (doc_id, text, source) with size, source_size, target, rate, copies, taken."""
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))  # sources that are null or empty stay apart
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
     sized = durable(docs.select("doc_id", n_words(F.col("text")).alias("size"), key.alias("source"), salt.alias("salt")), "sizes")
-    strata = sized.groupBy("source", "size", "salt").agg(F.count("*").alias("n"))
-    masses = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    strata = durable(sized.groupBy("source", "size", "salt").agg(F.count("*").alias("n")), "strata")
+    histogram = strata.groupBy("source", "size").agg(F.sum("n").alias("n"))
+    words = F.col("size") * F.col("n")
+    masses = histogram.groupBy("source").agg(F.sum(words).alias("source_size"), *(F.sum(F.when(band(F.col("size")) == k, words).otherwise(0)).alias(f"m{k}") for k in range(BANDS)))
     order = F.row_number().over(Window.orderBy(F.col("source") == "", "source"))
     weighted = durable(masses.withColumn("weight", ((order - 1) % 3 + 1).cast("double")), "sources")
-    rated = targets(weighted, share).withColumn("rate", F.least(F.lit(float(MOST)), F.coalesce(F.exp(multiplier(F.col("source_size").cast("double"), F.col("target"))), F.lit(0.0))))
+    rated, mu = balanced(targets(weighted, share))
+    rated = rated.select("source", "source_size", "target", "x")
+    tilt = F.element_at(F.array(*(F.lit(float(v)) for v in mu)), band(F.col("size")) + 1)
+    rate = F.coalesce(_rate(F.col("x") + tilt), F.lit(0.0))
     # a rate within rounding error of a whole number is that number
-    rated = durable(rated.withColumn("rate", F.when(F.abs(F.col("rate") - F.round("rate")) < 1e-9, F.round("rate")).otherwise(F.col("rate"))).withColumn("least", F.floor("rate")).withColumn("fraction", F.col("rate") - F.col("least")), "rates")
-    histogram = strata.groupBy("source", "size").agg(F.sum("n").alias("n")).join(rated.select("source", "fraction"), "source")
-    extra = histogram.groupBy("source").applyInPandas(extra_copies, "source string, size long, extra long")
+    histogram = histogram.join(rated, "source").withColumn("rate", rate).withColumn("rate", F.when(F.abs(F.col("rate") - F.round("rate")) < 1e-9, F.round("rate")).otherwise(F.col("rate"))).withColumn("least", F.floor("rate"))
+    histogram = durable(histogram.drop("x"), "rates")
+    extra = histogram.select("source", "size", "n", "rate", "least").groupBy("source").applyInPandas(extra_copies, "source string, size long, extra long")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     share_out = (
-        strata.withColumn("before", before).join(extra, ["source", "size"]).join(rated.drop("fraction", "weight"), "source")
+        strata.withColumn("before", before).join(extra, ["source", "size"]).join(histogram.drop("n"), ["source", "size"])
         .withColumn("extra", F.greatest(F.lit(0), F.least(F.col("n"), F.col("extra") - F.col("before")))).drop("n", "before")
     )
     nth = F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy(F.xxhash64("doc_id", F.lit(10)), "doc_id"))

@@ -52,7 +52,32 @@ def test_edges(spark):
     assert {r.taken for r in mixing.mix(frame.where("text is null")).collect()} == {0}
 
 
-def test_multiplier_is_the_root(spark):
-    frame = spark.createDataFrame([(float(m), float(t)) for m in (1, 7, 1e9) for t in (1e-6 * m, 0.3 * m, m, 2.99 * m, 3 * m)], "mass double, target double")
-    for r in frame.withColumn("x", mixing.multiplier(frame.mass, frame.target)).collect():
-        assert np.isclose(r.mass * np.exp(r.x), r.target, rtol=1e-9)
+def test_rates_meet_the_conditions_of_the_optimum(spark):
+    """Sources exact, bands balanced against their penalty, rates exponential up to the cap: the one optimum of the convex dual."""
+    rng = np.random.default_rng(4)
+    for n in (1, 3, 40):
+        mass = rng.integers(0, 10**6, (n, mixing.BANDS)) * (rng.random((n, mixing.BANDS)) < 0.6)
+        mass[0, 2] += 5
+        size = mass.sum(1)
+        target = size * rng.choice([0.0, 0.01, 0.4, 1.0, 2.5, 2.95, 3.0], n)
+        target[0] = size[0] * 0.7
+        rows = [(f"s{i}", float(target[i]), int(size[i]), *map(int, mass[i])) for i in range(n)]
+        frame = spark.createDataFrame(rows, "source string, target double, source_size long, " + ", ".join(f"m{k} long" for k in range(mixing.BANDS)))
+        got, mu = mixing.balanced(frame)
+        x = {r.source: r.x for r in got.collect()}
+        x = np.array([-np.inf if x[f"s{i}"] is None else x[f"s{i}"] for i in range(n)])
+        rate = np.minimum(mixing.MOST, np.exp(np.minimum(x[:, None] + mu, 50)))
+        assert np.allclose((mass * rate).sum(1), target, rtol=1e-6, atol=1e-3)
+        aim = mass.sum(0) / size.sum() * target.sum()
+        assert np.allclose((mass * rate).sum(0) + mixing.LOOSE * aim * mu, aim, rtol=1e-5, atol=1e-5 * size.sum())
+
+
+def test_lengths_stay_near_the_corpus(spark):
+    """A source of short texts that gains leaves the share of long words higher than rates by source alone would."""
+    docs = [(i, "w " * 5, "a") for i in range(900)] + [(1000 + i, "w " * 400, "a") for i in range(30)] + [(2000 + i, "w " * 5, "b") for i in range(100)] + [(3000 + i, "w " * 400, "b") for i in range(40)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    check(docs, mixing.mix(frame).collect())
+    rates = {(r.doc_id // 1000, r.size): r.rate for r in mixing.mix(frame).collect()}
+    assert len(set(rates.values())) == 4
+    a = rates[0, 5] / rates[1, 400]
+    assert np.isclose(a, rates[2, 5] / rates[3, 400], rtol=1e-6)
