@@ -12,7 +12,8 @@ query code (equal ones once) and gives its best, which are merged. Queries are r
 id is divisible by `every`; a query's own row is no answer; ties go to smaller ids.
 
 Vectors that are null, empty, of other than 64 components or with null or non-finite
-components take no part. Repeated ids are one row. An empty table gives no rows.
+components take no part. Repeated rows of an id and code are one; an id with several codes has
+several, and each answers. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -102,15 +103,15 @@ def nearest(rows: DataFrame, every: int = EVERY, k: int = K, block: int = BLOCK)
     right = wanted.select("code", every_block(n).alias("b"), part(m, 2).alias("q"))
 
     def search(there: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(there):
-            codes, rank = there["code"].to_numpy(np.int64), there["first"].to_numpy(np.int64)
-            index = MultiIndex(codes.view(np.uint64))
-            for q in asked["code"].to_numpy(np.int64):
-                at, d = index.search(int(q.view(np.uint64)), k + 1, rank)
-                out.append(pd.DataFrame({"asked": q, "code": codes[at], "first": rank[at], "distance": d.astype(np.int32)}))
-        return pd.concat(out) if out else pd.DataFrame({"asked": [], "code": [], "first": [], "distance": []}).astype({"asked": "int64", "code": "int64", "first": "int64", "distance": "int32"})
-
+        codes, rank, wanted = there["code"].to_numpy(np.int64), there["first"].to_numpy(np.int64), asked["code"].to_numpy(np.int64)
+        index = MultiIndex(codes.view(np.uint64))
+        got = [index.search(int(q), k + 1, rank) for q in wanted.view(np.uint64)] if len(codes) else []
+        at, d = (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, np.int64),) * 2
+        return pd.DataFrame({"asked": np.repeat(wanted, [len(a) for a, _ in got] or 0), "code": codes[at], "first": rank[at], "distance": d.astype(np.int32)})
+
+    # a count of its own, so that small pairs of blocks stay apart
+    pairs = max(n * m, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    left, right = left.repartition(pairs, "b", "q"), right.repartition(pairs, "b", "q")
     found = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInPandas(search, "asked long, code long, first long, distance int")
     best = Window.partitionBy("asked").orderBy("distance", "first")
     found = found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1).join(classes.select("code", "ids"), "code")
