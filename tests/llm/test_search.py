@@ -105,3 +105,16 @@ def test_repeated_rows_take_no_places(spark):
     assert len(want) == 4 * 5
     near = want[0][2]
     assert asked(once + once[:1] * 6 + once[10:11] + once[near : near + 1] * 7) == want
+
+
+def test_other_lengths_are_searched_by_themselves(spark):
+    rng = np.random.default_rng(8)
+    v = {i: rng.normal(size=(64, 3, 5)[i % 3]).astype("float32") for i in range(90)}
+    frame = spark.createDataFrame([(i, x.tolist(), 1, "x") for i, x in v.items()], SCHEMA)
+    got = {}
+    for r in ann.nearest(frame, every=10, queries=2).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    for q in range(0, 90, 10):
+        ids = np.array([i for i in v if i % 3 == q % 3 and i != q])
+        s = ann.cosines(v[q].astype(float), np.stack([v[i] for i in ids]).astype(float))
+        assert [i for _, i in sorted(got[q])] == ids[np.lexsort((ids, -s))][:5].tolist()
