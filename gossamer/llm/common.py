@@ -23,11 +23,13 @@ SLICE_BYTES = 3 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode, where all is one machine, one of our own where unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
         if not found:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "gossamer-checkpoints"))
             found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
