@@ -110,10 +110,9 @@ class Page(HTMLParser):
     def only_string(self, i: int) -> str | None:
         """The string of an element whose content is one string, at whatever depth of single elements."""
         while True:
-            children = [j for j in range(i + 1, self.end[i]) if self.up[j] == i] if self.end[i] - i < 50 else []
-            if len(children) != 1:
+            if i + 1 >= self.end[i] or self.end[i + 1] != self.end[i]:  # no child, or more than the first
                 return None
-            i = children[0]
+            i += 1
             if self.tag[i] is None:
                 return self.text[i]
 
@@ -149,7 +148,7 @@ def metadata(page: Page, rules: ParseRules) -> dict[str, Any]:
     if not rules.extract_metadata:
         return {}
     keywords = page.meta("name", "keywords")
-    canonical = next((page.attrs[i]["href"].strip() for i in page.find_all("link") if "canonical" in page.attrs[i].get("rel", "").split()[:9] and page.attrs[i].get("href")), None)
+    canonical = next((page.attrs[i]["href"].strip() for i in page.find_all("link") if "canonical" in page.attrs[i].get("rel", "").split() and page.attrs[i].get("href")), None)
     root = page.first("html")
     lang = page.attrs[root].get("lang") if root is not None else None
     first = lambda *found: next((f for f in found if f is not None), None)

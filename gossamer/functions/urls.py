@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 MAX_LENGTH = 2048
 #: Scheme, host (names with a last label of 2 to 6 letters, localhost, or four groups of digits), port, rest.
+# What counts as an address of a page, and as one of an image.
 VALID = (
     r"(?iU)^https?://"
     r"(?:(?:[A-Z0-9](?:[A-Z0-9-]{0,61}[A-Z0-9])?\.)+[A-Z]{2,6}\.?|localhost|\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})"

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..config import StorageRules
 from ..functions import urls
-from .extract import image_table, link_table
+from ..plans.tables import materialized
+from .extract import anchor_texts, image_table, link_table
 
 PAGE_COLUMNS = ("url", "final_url", "title", "content_type", "status_code", "depth", "parent_url", "raw_html", "text_content", "word_count", "char_count", "crawled_at", "metadata")
 
@@ -34,7 +35,7 @@ def page_rows(pages: DataFrame, rules: StorageRules | None = None, at: Column |
 
 
 def compressed(pages: DataFrame) -> DataFrame:
-    """raw_html as gzip bytes, for stores that keep it so; Parquet compresses by itself."""
+    """raw_html as gzip bytes."""
 
     @F.pandas_udf("binary")
     def pack(s: pd.Series) -> pd.Series:
@@ -43,6 +44,16 @@ def compressed(pages: DataFrame) -> DataFrame:
     return pages.withColumn("raw_html", pack("raw_html"))
 
 
+def uncompressed(pages: DataFrame) -> DataFrame:
+    """raw_html of stored rows as text again."""
+
+    @F.pandas_udf("string")
+    def unpack(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else gzip.decompress(x).decode())
+
+    return pages.withColumn("raw_html", unpack("raw_html")) if dict(pages.dtypes)["raw_html"] == "binary" else pages
+
+
 def upserted(old: DataFrame, new: DataFrame, keys: list[str], order: list[str], on_conflict: str = "replace") -> DataFrame:
     """One row a key: the last by order (`replace`, `update`) or the first (`ignore`), old rows before all new ones."""
     if on_conflict not in ("replace", "update", "ignore"):
@@ -55,18 +66,24 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str], order: list[str],
 
 def store(pages: DataFrame, folder: str, rules: StorageRules | None = None, at: Column | None = None) -> None:
     """pages, links and images as Parquet under folder. Pages of earlier runs give way by the conflict rule: the merged table is
-    written beside the old one and takes its place. Links and images are appended each time."""
+    written beside the old one and takes its place; a break between leaves it as pages_before. Links and images are appended
+    each time. Html is kept as gzip bytes where the rules say so."""
     rules = rules or StorageRules()
-    if rules.storage_type == "postgresql":
-        raise NotImplementedError("no PostgreSQL store; write the tables by df.write.jdbc")
     spark = pages.sparkSession
     path = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
     disk = path("pages").getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    pages = anchor_texts(pages) if "links" in pages.columns else pages
     rows = page_rows(pages, rules, at)
+    rows = compressed(rows) if rules.compress_html and rules.store_html else rows
     if disk.exists(path("pages")):
-        upserted(spark.read.parquet(f"{folder}/pages"), rows, ["url"], ["crawled_at"], rules.on_conflict).write.mode("overwrite").parquet(f"{folder}/pages_next")
-        disk.delete(path("pages"), True)
+        old = spark.read.parquet(f"{folder}/pages")
+        if dict(old.dtypes)["raw_html"] != dict(rows.dtypes)["raw_html"]:  # the rules have changed since
+            old = uncompressed(old) if dict(old.dtypes)["raw_html"] == "binary" else compressed(old)
+        upserted(old, rows, ["url"], ["crawled_at"], rules.on_conflict).write.mode("overwrite").parquet(f"{folder}/pages_next")
+        disk.delete(path("pages_before"), True)
+        disk.rename(path("pages"), path("pages_before"))  # kept until the new table has its name
         disk.rename(path("pages_next"), path("pages"))
+        disk.delete(path("pages_before"), True)
     else:
         upserted(rows.limit(0), rows, ["url"], ["crawled_at"], rules.on_conflict).write.parquet(f"{folder}/pages")
     if rules.store_links:
@@ -91,10 +108,34 @@ def store_by_host(pages: DataFrame, folder: str, compat: bool = True) -> None:
     kept.withColumn("domain", F.substring_index("path", "/", 1)).write.mode("overwrite").partitionBy("domain").parquet(folder)
 
 
+def store_jdbc(pages: DataFrame, url: str, rules: StorageRules | None = None, at: Column | None = None, properties: dict[str, str] | None = None) -> None:
+    """pages, links and images as tables of a database. Rows of pages meet the stored ones by the conflict rule; the merged rows are
+    staged in Spark's shared folder, then the table is overwritten in one transaction a partition."""
+    rules, properties = rules or StorageRules(), properties or {}
+    spark = pages.sparkSession
+    pages = anchor_texts(pages) if "links" in pages.columns else pages
+    rows = page_rows(pages, rules, at)
+    try:
+        old = spark.read.jdbc(url, "pages", properties=properties)
+        old = old.toDF(*(c.lower() for c in old.columns))
+    except Exception as e:  # a first run finds no table
+        if "exist" not in str(e).lower():
+            raise
+        old = rows.limit(0)
+    merged = materialized(upserted(old, rows, ["url"], ["crawled_at"], rules.on_conflict), "merged")
+    merged.write.option("truncate", "true").jdbc(url, "pages", mode="overwrite", properties=properties)
+    if rules.store_links:
+        link_table(pages).drop("pos").write.jdbc(url, "links", mode="append", properties=properties)
+    image_table(pages).write.jdbc(url, "images", mode="append", properties=properties)
+
+
 def write(pages: DataFrame, rules: StorageRules | None = None, folder: str | None = None, at: Column | None = None) -> None:
-    """Store by the configured kind: `filesystem` by host, all others but PostgreSQL as tables."""
+    """Store by the configured kind: `filesystem` by host, `postgresql` in that database (its driver must be on the class path), all others as tables."""
     rules = rules or StorageRules()
-    if rules.storage_type == "filesystem":
+    if rules.storage_type == "postgresql":
+        url = f"jdbc:postgresql://{rules.postgres_host}:{rules.postgres_port}/{rules.postgres_database}"
+        store_jdbc(pages, url, rules, at, {"user": rules.postgres_user, "password": rules.postgres_password, "driver": "org.postgresql.Driver"})
+    elif rules.storage_type == "filesystem":
         store_by_host(page_rows(pages, rules, at), folder or rules.output_directory)
     else:
         store(pages, folder or rules.output_directory, rules, at)

@@ -90,8 +90,15 @@ class Crawl:
     def _robots(self, frontier: DataFrame) -> DataFrame:
         if not self.config.robots.respect_robots_txt or (self.robots_table is None and self.captures is not None):
             return frontier.withColumns({"allowed": F.lit(True), "crawl_delay": F.lit(None).cast("double")})
-        table = self.robots_table if self.robots_table is not None else materialized(fetch.robots_over_http(frontier.select(urls.host(F.col("url")).alias("domain")), self.config.robots), "robots")
-        return robots.with_robots(frontier, table, self.config.robots).drop("fetch_error")
+        now = self.at if self.at is not None else F.current_timestamp()
+        dated = self.robots_table is None or "fetched_at" in self.robots_table.columns  # rules given without a date do not age
+        if self.captures is None and dated:  # hosts without an answer that is still good are asked, once in the time to live
+            hosts = frontier.select(urls.host(F.col("url")).alias("domain")) if self.robots_table is None else robots.stale_hosts(frontier, self.robots_table, self.config.robots, now)
+            asked = materialized(fetch.robots_over_http(hosts, self.config.robots), "robots")
+            if self.robots_table is not None:
+                asked = materialized(self.robots_table.select(asked.columns).join(asked.select("domain"), "domain", "left_anti").unionByName(asked), "robots")
+            self.robots_table = asked
+        return robots.with_robots(frontier, self.robots_table, self.config.robots, now if dated else None).drop("fetch_error")
 
     def _round(self, frontier: DataFrame, seen: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
         c = self.config
@@ -128,7 +135,7 @@ class Crawl:
                 break
             fresh, pages, rejected = self._round(materialized(frontier, "frontier"), seen)
             known = fresh.select("url")
-            seen = materialized(known if seen is None else seen.union(known), "seen")
+            seen = known if seen is None else seen.union(known)  # a part a round, each written once
             pages = numbered(pages, ["depth", "parent_order", "link_pos", "url"], "page_order", self.pages_crawled)
             limit = c.link_reinjection.max_total_pages if c.link_reinjection.stop_on_max_pages else None
             if limit is not None:
@@ -170,14 +177,13 @@ class Crawl:
 
 def reachable(edges: DataFrame, starts: DataFrame, max_depth: int, max_nodes: int | None = None) -> DataFrame:
     """(node, depth) by breadth from starts (node) over edges (src, dst): the recursion of a crawl without its pages."""
-    known = materialized(starts.select("node").distinct().withColumn("depth", F.lit(0)), "reached")
-    level = known
+    known = level = materialized(starts.select("node").distinct().withColumn("depth", F.lit(0)), "reached")
     for d in range(1, max_depth + 1):
         step = edges.join(level.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
         level = materialized(step.join(known.select("node"), "node", "left_anti").withColumn("depth", F.lit(d)), "level")
         if level.isEmpty():
             break
-        known = materialized(known.union(level), "reached")
+        known = known.union(level)  # a part a level, each written once
     if max_nodes is not None:
         known = known.orderBy("depth", "node").limit(max_nodes)
     return known

@@ -286,7 +286,7 @@ def r3_sliding_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(SQL_SLIDING.format(key="host is not null", rows=f"select user_id as host, event_id as id, {SQL_MICROS} // 1000 as a, 0 as d from events", n=2, w=1_000_000))
 def r4_global_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _requests(spark, sf_dir).withColumn("arrival_us", F.floor(F.col("arrival_us") / 1000))
-    return schedule.global_limit(rows, 2, 10_000_000).select("host", "id", "release_us")
+    return schedule.global_limit(rows, 2).select("host", "id", "release_us")
 
 
 @query(f"""

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import functools
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,25 @@ def upper_case(df: DataFrame) -> DataFrame:
 register_stage("upper_case", upper_case)
 
 
+def row_stage(fn: Callable[[dict[str, Any]], dict[str, Any] | None], schema: str) -> StageFn:
+    """A stage of a function on records: None drops a row ("dropped"), a record replaces it, and one that raises is dropped as an
+    error with the message in `stage_error`; the job goes on. schema: columns of the records."""
+    names = [c.strip().split()[0] for c in schema.split(",")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for r in f.astype(object).where(f.notna(), None).to_dict("records"):
+                try:
+                    got = fn(r)
+                    rows.append((*((got or {}).get(n) for n in names), None if got is not None else "dropped", None))
+                except Exception as e:  # the row's, not the job's
+                    rows.append((*(None,) * len(names), "error", f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=[*names, "drop_reason", "stage_error"], dtype=object)
+
+    return lambda df: df.mapInPandas(run, f"{schema}, drop_reason string, stage_error string")
+
+
 @dataclass
 class Stage:
     name: str
@@ -108,7 +129,7 @@ class Pipeline:
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    return df.where("drop_reason is null").drop("drop_reason") if "drop_reason" in df.columns else df
+    return df.where("drop_reason is null").drop("drop_reason", "stage_error") if "drop_reason" in df.columns else df
 
 
 def throughput(stats: DataFrame) -> DataFrame:

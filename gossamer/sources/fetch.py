@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 import pandas as pd
@@ -14,10 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import FetchRules, RobotsRules
+from ..functions import urls
 
 ANSWER = "status_code int, final_url string, content_type string, raw_html string, fetch_method string, response_time double, headers map<string,string>, fetch_error string"
 
 
+# What a browser-like client sends.
 def headers(rules: FetchRules) -> dict[str, str]:
     return {
         "User-Agent": rules.user_agent,
@@ -100,10 +103,13 @@ def _browser_get(page: Any, url: str, rules: FetchRules) -> dict[str, Any]:
     return out | {"response_time": time.monotonic() - began}
 
 
-def over_http(df: DataFrame, rules: FetchRules | None = None) -> DataFrame:
-    """df (url, ...) fetched row by row, one session (or browser) a task, closed at its end."""
+def over_http(df: DataFrame, rules: FetchRules | None = None, workers: int = 10) -> DataFrame:
+    """df (url, ...) fetched by `workers` threads a task over one session (or one browser page after the other), closed at its end.
+    With `release_us` (microseconds from the start of the task) no request goes out before its time, in order of release."""
     rules = rules or FetchRules()
     names = [c.split()[0] for c in ANSWER.split(", ")]
+    if "release_us" in df.columns:  # a host's requests are one task's, so that its schedule holds
+        df = df.repartition(urls.host(F.col("url")))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if rules.use_headless_browser:
@@ -122,10 +128,18 @@ def over_http(df: DataFrame, rules: FetchRules | None = None) -> DataFrame:
                 finally:
                     browser.close()
             return
-        s = session(rules)
+        s, began = session(rules), time.monotonic()
+
+        def one(job: tuple[str, float]) -> dict[str, Any]:
+            time.sleep(max(0.0, job[1] / 1_000_000 - (time.monotonic() - began)))
+            return get(s, job[0], rules)
+
         try:
-            for f in frames:
-                yield pd.concat([f.reset_index(drop=True), pd.DataFrame([get(s, u, rules) for u in f["url"]], columns=names)], axis=1)
+            with ThreadPoolExecutor(workers) as pool:
+                for f in frames:
+                    f = f.sort_values("release_us", kind="stable") if "release_us" in f else f
+                    jobs = zip(f["url"], f["release_us"] if "release_us" in f else [0.0] * len(f))
+                    yield pd.concat([f.reset_index(drop=True), pd.DataFrame(list(pool.map(one, jobs)), columns=names)], axis=1)
         finally:
             s.close()
 
@@ -156,7 +170,7 @@ def robots_over_http(hosts: DataFrame, rules: RobotsRules | None = None) -> Data
 
 def fetch_stats(df: DataFrame) -> DataFrame:
     ok = F.col("fetch_error").isNull()
-    return df.agg(F.count("*").alias("fetched"), F.count_if(ok).alias("successful"), F.count_if(~ok).alias("failed"), F.count_if(F.col("fetch_error").contains("Timeout")).alias("timeouts"), F.sum(F.octet_length("raw_html")).alias("bytes"))
+    return df.agg(F.count("*").alias("fetched"), F.count_if(ok).alias("successful"), F.count_if(~ok).alias("failed"), F.count_if(F.col("fetch_error").contains("Timeout")).alias("timeouts"), F.sum(F.octet_length("raw_html")).alias("bytes"), F.avg("response_time").alias("mean_response_time") if "response_time" in df.columns else F.lit(None).cast("double").alias("mean_response_time"))
 
 
 def errors_by_status(df: DataFrame) -> DataFrame:

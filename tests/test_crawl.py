@@ -74,8 +74,12 @@ def test_store_twice(spark, tmp_path):
     assert {r.crawled_at.day for r in spark.read.parquet(f"{folder}/pages").collect()} == {2}
     sink.store(pages, folder, StorageRules(on_conflict="ignore", store_links=False), F.lit("2024-01-09 00:00:00").cast("timestamp"))
     assert {r.crawled_at.day for r in spark.read.parquet(f"{folder}/pages").collect()} == {2}
-    with pytest.raises(NotImplementedError):
-        sink.store(pages, folder, StorageRules(storage_type="postgresql"))
+    kept = spark.read.parquet(f"{folder}/pages")
+    assert {r.raw_html for r in sink.uncompressed(kept).collect()} == {"<p>"} and '"anchor_texts":{"http://h.com/0":"x"' in kept.orderBy("url").first().metadata
+    sink.store(pages, folder, StorageRules(compress_html=False, store_links=False), F.lit("2024-01-10 00:00:00").cast("timestamp"))
+    assert {r.raw_html for r in spark.read.parquet(f"{folder}/pages").collect()} == {"<p>"}
+    ok = pages.withColumn("ok", F.col("depth") == 0)
+    assert tuple(sink.storage_stats(ok).first()) == (1, 1, 3, 50.0)
     with pytest.raises(ValueError):
         sink.upserted(pages, pages, ["url"], ["depth"], "other")
     import gzip
@@ -152,3 +156,38 @@ def test_store_kinds_and_catalog(spark, tmp_path):
     sink.create_tables(spark, "store")
     assert {r.tableName for r in spark.sql("show tables in store").collect() if not r.isTemporary} == {"pages", "links", "images", "crawl_stats", "seen_urls"}
     assert "all: 0 processed" in stages.Pipeline().add_stage("upper_case").summary(spark)
+
+
+def test_database_store(spark):
+    link = [{"pos": 0, "kind": "anchor", "url": "http://h.com/x", "text": "t"}, {"pos": 1, "kind": "image", "url": "http://h.com/x.png", "text": ""}]
+    pages = spark.createDataFrame([("http://h.com/a", 0, "<p>", link)], "url string, depth int, raw_html string, links array<struct<pos:int,kind:string,url:string,text:string>>")
+    url = "jdbc:derby:memory:store;create=true"
+    for k in (1, 2):
+        sink.store_jdbc(pages.withColumn("depth", F.lit(k)), url, StorageRules(), F.lit(f"2024-01-0{k} 00:00:00").cast("timestamp"))
+    assert [(r.url, r.depth) for r in spark.read.jdbc(url, "pages").collect()] == [("http://h.com/a", 2)]
+    assert spark.read.jdbc(url, "links").count() == 2 and spark.read.jdbc(url, "images").count() == 2
+
+
+def test_rows_that_raise_are_dropped_and_counted(spark):
+    def halve(r):
+        if r["n"] == 3:
+            raise ValueError("three")
+        return None if r["n"] == 4 else {"url": r["url"], "half": r["n"] / 2}
+
+    rows = spark.createDataFrame([(f"u{i}", i) for i in range(6)], "url string, n int")
+    pipe = stages.Pipeline().add_stage("halve", stages.row_stage(halve, "url string, half double"))
+    assert sorted(r.half for r in pipe.run_counted(rows).collect()) == [0, 0.5, 1, 2.5]
+    s = pipe.stages[0]
+    assert (s.processed, s.rows_out, s.errors) == (6, 4, 1) and pipe.stage_stats(spark).first().dropped == 1
+    found = rows.transform(stages.row_stage(halve, "url string, half double")).where("drop_reason = 'error'").first()
+    assert found.stage_error == "ValueError: three"
+
+
+def test_small_functions(spark, tmp_path):
+    (tmp_path / "seeds.txt").write_text("http://h.com/a\n\n  http://h.com/b \n")
+    assert sorted(r.url for r in seeds.seeds_from_text(spark, str(tmp_path / "seeds.txt"), 2).collect()) == ["http://h.com/a", "http://h.com/b"]
+    links = spark.createDataFrame([("b", "x", None), ("a", "y", "t")], "source_url string, target_url string, anchor_text string")
+    assert [r.source_url for r in stored.link_rows(links, 1).collect()] == ["a"]
+    assert stored.titles(spark.createDataFrame([("u", "t", 1)], "url string, title string, depth int")).columns == ["url", "title"]
+    answers = spark.createDataFrame([("a", None, 200, "xy", 0.5), ("b", "ReadTimeout: x", None, None, 1.5)], "url string, fetch_error string, status_code int, raw_html string, response_time double")
+    assert tuple(fetch.fetch_stats(answers).first()) == (2, 1, 1, 1, 2, 1.0)

@@ -113,14 +113,15 @@ def simulate(rows, strategy, n, d):
 
 
 @pytest.mark.parametrize("strategy", ["fixed", "token_bucket", "sliding_window"])
-@pytest.mark.parametrize("bucket", [None, 7_000_000])
-def test_schedules_against_simulation(spark, strategy, bucket):
+@pytest.mark.parametrize("spread", [60, 1])
+def test_schedules_against_simulation(spark, strategy, spread):
+    """spread 1: all requests of a host come at one time, and still lie in several parts."""
     rng, data = random.Random(5), {}
-    for h in ("a", "b", "c"):
+    for h in ("a", "b", "hot"):
         d = rng.choice([1, 2, 3])
-        data[h] = sorted((rng.randrange(60) * 1_000_000, d if strategy == "token_bucket" else rng.choice([1, 2, 4])) for _ in range(40))
+        data[h] = sorted((rng.randrange(spread) * 1_000_000, d if strategy == "token_bucket" else rng.choice([1, 2, 4])) for _ in range(400 if h == "hot" else 40))
     rows = [(h, i, a, float(d)) for h, xs in data.items() for i, (a, d) in enumerate(xs)]
-    got = schedule.scheduled(spark.createDataFrame(rows, "host string, id long, arrival_us long, crawl_delay double"), RateRules(strategy=strategy, burst_size=3), bucket)
+    got = schedule.scheduled(spark.createDataFrame(rows, "host string, id long, arrival_us long, crawl_delay double"), RateRules(strategy=strategy, burst_size=3))
     made = {(r.host, r.id): r.release_us for r in got.collect()}
     for h, xs in data.items():
         want = simulate([(a, d * 1_000_000) for a, d in xs], strategy, 3, 1_000_000)
@@ -138,7 +139,7 @@ def test_two_hosts_at_once(spark, strategy, a, b):
 def test_limit_over_all_hosts(spark):
     rng = random.Random(2)
     rows = sorted((rng.randrange(3_000_000), i) for i in range(60))
-    got = schedule.global_limit(spark.createDataFrame([("h", i, a) for a, i in rows], "host string, id long, arrival_us long"), 7, 500_000).orderBy("arrival_us", "id").collect()
+    got = schedule.global_limit(spark.createDataFrame([("h", i, a) for a, i in rows], "host string, id long, arrival_us long"), 7).orderBy("arrival_us", "id").collect()
     out = []
     for a, _ in rows:
         out.append(a if len(out) < 7 else max(a, out[-7] + 1_000_000))
@@ -154,3 +155,11 @@ def test_bloom_is_sized_for_what_was_seen(spark):
     fresh = spark.range(10_000, 14_000).select(F.concat(F.lit("http://k/"), "id").alias("url"))
     assert dedup.new_urls(fresh, seen, rules).count() > 0.97 * 4000
     assert dedup.new_urls(seen, seen.union(seen), rules).count() == 0
+
+
+def test_a_hot_host_lies_in_several_parts(spark):
+    rows = spark.range(0, 20_000, 1, 4).selectExpr("'h' as host", "id", "0L as arrival_us")
+    parts, bucket = schedule._bucketed(rows, ["host"])
+    sizes = [r["count"] for r in parts.groupBy(bucket).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 10_000
+    assert schedule.scheduled(rows, RateRules(default_delay_seconds=1.0)).agg({"release_us": "max"}).first()[0] == 19_999 * 1_000_000
