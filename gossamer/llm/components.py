@@ -15,15 +15,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     gathered; the table is written after each round, which ends when a round changes nothing.
     """
     now = durable(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+    n = now.count()
     while True:
-        before = now
+        before, m = now, n
         both = before.select("u", "v").union(before.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         hooked = large.join(small, "u")
-        now = durable(hooked.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
-        same = now.count() == before.count() and now.exceptAll(before).isEmpty()
+        now = durable(hooked.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges", 2 * m)
+        n = now.count()
+        same = n == m and now.exceptAll(before).isEmpty()
         discard(before)
         if same:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -46,7 +46,7 @@ FREQUENT = 1 << 20  # frequent shingles at most that are sent to every task
 GATHER = 1_000_000  # elements that a task packs at once
 BUCKET = 500_000  # postings of a bucket
 SPLIT = 200_000  # a list of more classes is dealt to several tasks
-SMALL = 500_000  # classes (at most 60 bytes each) up to which the table of clusters is broadcast
+SMALL = 500_000
 HOME = ("cluster", "pivot", "k", "least", "blocks", "block")
 
 
@@ -366,6 +366,11 @@ def _unpack(frame: pd.DataFrame) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in frame["elements"]]
 
 
+def sized(table: DataFrame) -> DataFrame:
+    """Marked for broadcast while it has at most `SMALL` rows (of at most 60 bytes)."""
+    return F.broadcast(table) if table.count() <= SMALL else table
+
+
 def join(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, split: int = SPLIT, bucket: int = BUCKET, rows_a_block: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -374,16 +379,15 @@ def join(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, split: int
     rows = durable(scanned.where("cls is not null").select("doc_id", "cls", "n"), "rows")
     often = frequent_keys(scanned, FREQUENT)
     discard(scanned)
-    elements = rows.agg(F.sum("n")).first()[0] or 0
-    found = durable(clusters(docs, often, elements, bits, percent, split, bucket), "clusters")
+    elements, n_rows = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    found = durable(clusters(docs, often, elements, bits, percent, split, bucket), "clusters", n_rows)
     first = rows.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     members = found.join(first, "cls")
     weight = members.groupBy("cluster").agg(F.sum("n").alias("total"), F.count("*").alias("k"), F.min("cls").alias("pivot"))
     least = F.greatest(F.ceil(F.col("total") / block), F.ceil(F.col("k") / (16 * rows_a_block))).cast("int")  # blocks that bound memory
-    weight = weight.select("cluster", "pivot", "k", least.alias("least"), F.greatest(least, F.ceil(F.col("k") / rows_a_block)).cast("int").alias("blocks"))
-    members = durable(members.join(weight, "cluster").select("doc_id", "cls", "cluster", "pivot", "k", "least", "blocks", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block")), "members")
-    table = members.withColumnRenamed("cls", "want").where("doc_id is not null")
-    joined = docs.join(F.broadcast(table) if members.count() <= SMALL else table, "doc_id")
+    weight = sized(durable(weight, "weights", n_rows)).select("cluster", "pivot", "k", least.alias("least"), F.greatest(least, F.ceil(F.col("k") / rows_a_block)).cast("int").alias("blocks"))
+    members = durable(members.join(weight, "cluster").select("doc_id", "cls", "cluster", "pivot", "k", "least", "blocks", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block")), "members", n_rows)
+    joined = docs.join(sized(members.withColumnRenamed("cls", "want").where("doc_id is not null")), "doc_id")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -429,7 +433,7 @@ def join(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, split: int
         )
         dealt = lambda seed, parts: F.pmod(F.xxhash64("cls", F.lit(seed)), F.col(parts)).cast("int")
         every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-        meeting = part.join(F.broadcast(bulk) if bulk.count() <= SMALL else bulk, "cluster").select("cluster", "groups", "parts", "cls", "elements", "root", "asks")
+        meeting = part.join(sized(bulk), "cluster").select("cluster", "groups", "parts", "cls", "elements", "root", "asks")
         asked = meeting.where("asks").withColumn("g", dealt(1, "groups")).withColumn("block", every("parts"))
         there = meeting.withColumn("block", dealt(2, "parts")).withColumn("g", every("groups")).withColumn("asks", F.lit(False))
 
@@ -441,11 +445,11 @@ def join(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, split: int
         columns = ["cluster", "block", "g", "cls", "elements", "root", "asks"]
         more = asked.select(columns).union(there.select(columns)).groupBy("cluster", "block", "g").applyInPandas(between, "a long, b long")
         linked = durable(linked.union(more), "links")
-    roots = durable(connected_components(linked), "roots")
+    roots = durable(connected_components(linked), "roots", n_rows)
     whole = roots.withColumnRenamed("node", "cls").join(first.select("cls", "doc_id"), "cls").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = roots.withColumnRenamed("node", "cls").join(whole, "root").select("cls", F.col("component_id").alias("shared"))
     # written, so that Spark can split the part of a class that very many documents share
-    alone = durable(first.join(named, "cls", "left").select("cls", F.coalesce("shared", "doc_id").alias("component_id")), "components")
+    alone = durable(first.join(named, "cls", "left").select("cls", F.coalesce("shared", "doc_id").alias("component_id")), "components", n_rows)
     for table_ in (found, members, sets, linked, roots):
         discard(table_)
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))

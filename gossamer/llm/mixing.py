@@ -88,7 +88,8 @@ def balanced(sources: DataFrame, loose: float = LOOSE, gap: float = GAP, most_ro
     is all it can give has an endless one), and the bands' multipliers, at the dual's optimum."""
     full = F.col("target") >= F.col("source_size") * F.lit(MOST * (1 - 1e-9))
     start = F.when(F.col("target") <= 0, F.lit(None)).when(full, F.lit(float("inf"))).otherwise(F.log(F.col("target") / F.col("source_size")))
-    now = durable(sources.withColumn("x", start.cast("double")), "dual")
+    n = sources.count()
+    now = durable(sources.withColumn("x", start.cast("double")), "dual", n)
     masses = [F.col(f"m{k}").cast("double") for k in range(BANDS)]
     open_ = now.where("x < double('inf')")
     whole = now.agg(F.sum("target").alias("t"), *(F.sum(m).alias(f"m{k}") for k, m in enumerate(masses))).first()
@@ -131,7 +132,7 @@ def balanced(sources: DataFrame, loose: float = LOOSE, gap: float = GAP, most_ro
             t = next((t for t, up in zip(STEPS, rise) if up >= 1e-4 * t * decrement), STEPS[-1])
         mu = mu + t * move
         before, moved = now, table.select("source", F.col("x").alias("_x"), (F.lit(t) * F.col("step")).alias("_step"))
-        now = durable(now.join(moved, "source", "left").withColumn("x", F.coalesce(F.col("_x") + F.col("_step"), "x")).select(before.columns), "dual")
+        now = durable(now.join(moved, "source", "left").withColumn("x", F.coalesce(F.col("_x") + F.col("_step"), "x")).select(before.columns), "dual", n)
         discard(before)
         open_ = now.where("x < double('inf')")
     return now, mu
@@ -160,7 +161,7 @@ def mix(docs: DataFrame, share: float = 1.0) -> DataFrame:
     words = F.col("size") * F.col("n")
     masses = histogram.groupBy("source").agg(F.sum(words).alias("source_size"), *(F.sum(F.when(band(F.col("size")) == k, words).otherwise(0)).alias(f"m{k}") for k in range(BANDS)))
     order = F.row_number().over(Window.orderBy(F.col("source") == "", "source"))
-    weighted = durable(masses.withColumn("weight", ((order - 1) % 3 + 1).cast("double")), "sources")
+    weighted = durable(masses.withColumn("weight", ((order - 1) % 3 + 1).cast("double")), "sources")  # one part, as the numbering is
     rated, mu = balanced(targets(weighted, share))
     rated = rated.select("source", "source_size", "target", "x")
     tilt = F.element_at(F.array(*(F.lit(float(v)) for v in mu)), band(F.col("size")) + 1)
