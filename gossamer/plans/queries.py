@@ -349,17 +349,20 @@ def g2_depth_and_page_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.reachable(_graph(spark, sf_dir), spark.createDataFrame([(0,)], "node long"), 3, 30)
 
 
-@query()
-def g3_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole crawl loop over captured pages that link like the graph of g1 (see tests/test_crawl.py)."""
+def graph_crawl(spark: SparkSession, sf_dir: str) -> crawl.Crawl:
+    """A crawl over captured pages that link like the graph of g1."""
     from ..config import CrawlConfig
 
     edges = _graph(spark, sf_dir).groupBy("src").agg(F.sort_array(F.collect_set("dst")).alias("dst"))
     link = lambda x: F.concat(F.lit('<a href="/p'), x.cast("string"), F.lit('">x</a>'))
     body = F.concat(F.lit("<html><title>t</title><body>"), F.array_join(F.transform("dst", link), " "), F.lit("</body></html>"))
     captures = edges.select(F.concat(F.lit("http://graph.example.com/p"), F.col("src").cast("string")).alias("url"), F.lit(200).alias("status_code"), F.lit(None).cast("string").alias("final_url"), F.lit("text/html").alias("content_type"), body.alias("body"))
-    run = crawl.Crawl(spark, CrawlConfig(), captures=captures)
-    return run.run(["http://graph.example.com/p0"]).select("url", "depth", "parent_url", "page_order", "title")
+    return crawl.Crawl(spark, CrawlConfig(), captures=captures)
+
+
+@query()
+def g3_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_crawl(spark, sf_dir).run(["http://graph.example.com/p0"]).select("url", "depth", "parent_url", "page_order", "title")
 
 
 @query("""

@@ -3,7 +3,7 @@ import json
 import pytest
 
 from gossamer import cli, config
-from gossamer.plans import queries as Q
+from gossamer.plans import page_queries as Q
 from gossamer.streaming import streams
 
 
