@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker handles at once.
 SLICE_BYTES = 3 << 20
+SMALL = 500_000
 FILE_ROWS = 100_000  # of a durable table of short rows
 
 
@@ -49,6 +50,11 @@ def durable(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return out
 
 
+def sized(table: DataFrame) -> DataFrame:
+    """A table of rows of at most 60 bytes, marked for broadcast while it has at most `SMALL` of them (30 MB)."""
+    return F.broadcast(table) if table.count() <= SMALL else table
+
+
 def discard(df: DataFrame) -> None:
     """Delete a durable() table that nothing will read again."""
     path = getattr(df, "_gossamer_path", None)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, durable, encoded, read, slices, trim
+from .common import discard, durable, encoded, read, sized, slices, trim
 from .components import connected_components
 
 WORDS = 5
@@ -46,7 +46,6 @@ FREQUENT = 1 << 20  # frequent shingles at most that are sent to every task
 GATHER = 1_000_000  # elements that a task packs at once
 BUCKET = 500_000  # postings of a bucket
 SPLIT = 200_000  # a list of more classes is dealt to several tasks
-SMALL = 500_000
 HOME = ("cluster", "pivot", "k", "least", "blocks", "block")
 
 
@@ -366,11 +365,6 @@ def _unpack(frame: pd.DataFrame) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in frame["elements"]]
 
 
-def sized(table: DataFrame) -> DataFrame:
-    """Marked for broadcast while it has at most `SMALL` rows (of at most 60 bytes)."""
-    return F.broadcast(table) if table.count() <= SMALL else table
-
-
 def join(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, split: int = SPLIT, bucket: int = BUCKET, rows_a_block: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
