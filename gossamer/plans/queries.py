@@ -201,13 +201,6 @@ def p3_length_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.length(text.accepted(F.col("text"), 400, 3000)).alias("kept_chars"))
 
 
-@query()
-def p4_page_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text, structure and metadata of every page, as JSON; the DOM is beyond SQL (see tests/test_dom.py)."""
-    found = _parsed(spark, sf_dir, ContentRules(extract_tables=True))
-    return found.select("page_id", "text_content", F.to_json("content").alias("content"), F.to_json("page_metadata").alias("page_metadata"))
-
-
 SQL_ARTICLE = r"""
 select page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(
     regexp_replace(regexp_extract(html, '(?s)<article>(.*?)(</article>|$)', 1), '\s*<[^>]*>\s*', ' ', 'g'),
@@ -215,6 +208,11 @@ select page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(
 """
 
 
+@query(f"select page_id, case when length(t) >= 100 then t end as text_content from ({SQL_ARTICLE})")
+def p4_page_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(spark, sf_dir).select("page_id", "text_content")
+
+
 @query(rf"""
 select page_id, case when length(t) >= 100 then length(t)::int end as char_count,
     case when length(t) >= 100 then len(list_filter(regexp_split_to_array(t, '\s+'), lambda w: w <> ''))::int end as word_count from ({SQL_ARTICLE})
