@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, hash_search, html_extract, jaccard_join, language_id, license_scan, lm_score, mixing, packing, pii
+from . import ann, base_queries, hash_search, html_extract, jaccard_join, language_id, license_scan, lm_score, mixing, packing, pii
 
 QUERIES = {
     f.__name__: f
@@ -23,3 +23,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_ngram_jaccard_join": jaccard_join.ORACLE,
     "op9_multi_index_hashing": hash_search.ORACLE,
 }
+
+# beside the ten: the parts of five of them that SQL can express
+QUERIES |= base_queries.QUERIES
+ORACLE_SQL |= base_queries.ORACLE_SQL
