@@ -239,11 +239,17 @@ def content(page: Page, rules: ContentRules) -> tuple[str | None, dict[str, Any]
     return text, {"word_count": len(text.split()), "char_count": len(text), "headings": headings, "paragraphs": paragraphs, "lists": lists, "tables": tables}
 
 
-def extract(source: str, base: str, parse: ParseRules, link: LinkRules, rules: ContentRules) -> dict[str, Any]:
-    """Everything that the tables keep of a page."""
+FIELDS = frozenset(("title", "page_metadata", "links", "content"))
+
+
+def extract(source: str, base: str, parse: ParseRules, link: LinkRules, rules: ContentRules, fields: frozenset[str] = FIELDS) -> dict[str, Any]:
+    """What the tables keep of a page: all fields, or those asked for (content brings the text with it)."""
     try:
         page = Page(source)
-        text, found = content(page, rules)
-        return {"title": title(page), "page_metadata": metadata(page, parse), "links": links(page, base, link, parse.strip_javascript), "text_content": text, "content": found, "error": None}
+        text, found = content(page, rules) if "content" in fields else (None, None)
+        return {
+            "title": title(page) if "title" in fields else None, "page_metadata": metadata(page, parse) if "page_metadata" in fields else None,
+            "links": links(page, base, link, parse.strip_javascript) if "links" in fields else [], "text_content": text, "content": found, "error": None,
+        }
     except Exception as e:  # a page that can't be read is reported, not lost
         return {"title": None, "page_metadata": None, "links": [], "text_content": None, "content": None, "error": f"{type(e).__name__}: {e}"}

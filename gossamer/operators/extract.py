@@ -17,9 +17,10 @@ from ..schema import EXTRACTED
 BATCH_BYTES = 8 << 20
 
 
-def parsed(df: DataFrame, parse: ParseRules | None = None, link: LinkRules | None = None, content: ContentRules | None = None) -> DataFrame:
+def parsed(df: DataFrame, parse: ParseRules | None = None, link: LinkRules | None = None, content: ContentRules | None = None, fields: frozenset[str] = dom.FIELDS) -> DataFrame:
     """df (url, raw_html, final_url?, content_type?, ...) with title, page_metadata, links, text_content, content, error and
-    `drop_reason` (no html, not html, too large). What is dropped never reaches Python."""
+    `drop_reason` (no html, not html, too large). What is dropped never reaches Python. Of title, page_metadata, links and content only
+    the fields asked for are extracted; the others are null."""
     parse, link, content = parse or ParseRules(), link or LinkRules(), content or ContentRules()
     kind = F.lower("content_type") if "content_type" in df.columns else F.lit(None).cast("string")
     reason = (
@@ -37,7 +38,7 @@ def parsed(df: DataFrame, parse: ParseRules | None = None, link: LinkRules | Non
         for batch in batches:
             rows = []
             for b, h in zip(batch.column("_base").to_pylist(), batch.column("_html").to_pylist()):
-                row = None if h is None else dom.extract(h, b or "", parse, link, content)
+                row = None if h is None else dom.extract(h, b or "", parse, link, content, fields)
                 rows.append({"links": [], "title": None} if row is None else row)
             found = pa.array(rows, arrow)
             kept = [c for c in batch.schema.names if c not in ("_base", "_html")]

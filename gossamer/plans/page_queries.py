@@ -226,7 +226,7 @@ def u8_seen_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = dedup.SeenUrls(spark, f"{shared_folder(spark)}/seen-{uuid.uuid4().hex}")
     for _ in range(2):
         store.add(pages.where("page_id % 2 = 0"))
-    out = materialized(store.contains(pages).select("page_id", "seen", F.lit(store.count()).alias("stored")), "looked_up")
+    out = materialized(store.contains(pages).select("page_id", "seen", F.lit(store.count()).cast("long").alias("stored")), "looked_up")
     store.clear()
     return out if store.count() == 0 else out.limit(0)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import ContentRules, RateRules, RobotsRules, UrlRules
+from ..config import RateRules, RobotsRules, UrlRules
 from ..functions import text, urls
 from ..operators import dedup, extract, robots, schedule, sink, validate
 from ..sources import fetch, stored
@@ -136,9 +136,9 @@ def u6_drop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.groupBy(urls.host(F.col("url")).alias("host"), "drop_reason").agg(F.count("*").alias("pages"))
 
 
-def _parsed(spark: SparkSession, sf_dir: str, content: ContentRules | None = None) -> DataFrame:
+def _parsed(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("raw_html"))
-    return extract.parsed(pages, content=content)
+    return extract.parsed(pages, fields=frozenset(fields))
 
 
 @query(f"""
@@ -146,7 +146,7 @@ select page_id, source_url, (row_number() over (partition by page_id order by po
 from (select * from ({SQL_LINKS}) qualify row_number() over (partition by page_id, target_url order by pos) = 1)
 """)
 def l1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _parsed(spark, sf_dir).select("page_id", F.col("url").alias("source_url"), F.explode("links").alias("l"))
+    pages = _parsed(spark, sf_dir, "links").select("page_id", F.col("url").alias("source_url"), F.explode("links").alias("l"))
     return pages.select("page_id", "source_url", "l.pos", F.col("l.url").alias("target_url"))
 
 
@@ -158,7 +158,7 @@ def l2_links_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..config import LinkRules
 
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("raw_html"))
-    found = extract.parsed(pages, link=LinkRules(max_links_per_page=3))
+    found = extract.parsed(pages, link=LinkRules(max_links_per_page=3), fields=frozenset(("links",)))
     return found.select("page_id", F.explode("links.url").alias("target_url"))
 
 
@@ -168,14 +168,14 @@ with l as (select distinct page_id, source_url, target_url from ({SQL_LINKS})),
 select url, sum(o)::bigint as out_degree, sum(i)::bigint as in_degree from both_ends group by url
 """)
 def l3_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = extract.link_table(_parsed(spark, sf_dir).select("url", "links"))
+    links = extract.link_table(_parsed(spark, sf_dir, "links").select("url", "links"))
     both = links.select(F.col("source_url").alias("url"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(links.select(F.col("target_url").alias("url"), F.lit(0).alias("o"), F.lit(1).alias("i")))
     return both.groupBy("url").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
 @query(f"select distinct target_url from ({SQL_LINKS}) l where not exists (select 1 from pages p where p.url = l.target_url)")
 def l4_dangling_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = extract.link_table(_parsed(spark, sf_dir).select("url", "links")).select("target_url").distinct()
+    links = extract.link_table(_parsed(spark, sf_dir, "links").select("url", "links")).select("target_url").distinct()
     return links.join(table(spark, sf_dir, "pages").select(F.col("url").alias("target_url")), "target_url", "left_anti")
 
 
@@ -184,7 +184,7 @@ SQL_TITLE = "trim(replace(replace(regexp_extract(html, '<title>([^<]*)</title>',
 
 @query(f"select page_id, {SQL_TITLE} as title, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) as language from pages")
 def p1_title_and_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parsed(spark, sf_dir).select("page_id", "title", "page_metadata.language")
+    return _parsed(spark, sf_dir, "title", "page_metadata").select("page_id", "title", "page_metadata.language")
 
 
 @query(r"""
@@ -210,7 +210,7 @@ select page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(
 
 @query(f"select page_id, case when length(t) >= 100 then t end as text_content from ({SQL_ARTICLE})")
 def p4_page_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parsed(spark, sf_dir).select("page_id", "text_content")
+    return _parsed(spark, sf_dir, "content").select("page_id", "text_content")
 
 
 @query(rf"""
@@ -218,7 +218,7 @@ select page_id, case when length(t) >= 100 then length(t)::int end as char_count
     case when length(t) >= 100 then len(list_filter(regexp_split_to_array(t, '\s+'), lambda w: w <> ''))::int end as word_count from ({SQL_ARTICLE})
 """)
 def p4b_text_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parsed(spark, sf_dir).select("page_id", "content.char_count", "content.word_count")
+    return _parsed(spark, sf_dir, "content").select("page_id", "content.char_count", "content.word_count")
 
 
 @query(rf"""
@@ -226,12 +226,12 @@ select count(*)::bigint as processed, count(*) filter (length(t) >= 100)::bigint
     sum(case when length(t) >= 100 then length(t) end)::bigint as chars from ({SQL_ARTICLE})
 """)
 def p7_content_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.content_stats(_parsed(spark, sf_dir)).select("processed", "successful", "too_short", "chars")
+    return extract.content_stats(_parsed(spark, sf_dir, "content")).select("processed", "successful", "too_short", "chars")
 
 
 @query("select count(*)::bigint as total, count(*)::bigint as successful, 0::bigint as failed, 0::bigint as skipped_non_html, 100.0::double as success_rate from pages")
 def p5_parse_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.parse_stats(_parsed(spark, sf_dir))
+    return extract.parse_stats(_parsed(spark, sf_dir, "title"))
 
 
 @query(f"""
@@ -239,7 +239,7 @@ select count(distinct page_id)::bigint as pages, sum(n)::bigint as links, 0::big
 from (select p.page_id, coalesce(c.n, 0) as n from pages p left join (select page_id, count(distinct target_url) as n from ({SQL_LINKS}) group by page_id) c using (page_id))
 """)
 def p6_link_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.link_stats(_parsed(spark, sf_dir))
+    return extract.link_stats(_parsed(spark, sf_dir, "links"))
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -398,7 +398,7 @@ def s2b_page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select (select count(*) from pages)::bigint as pages, (select count(*) from (select distinct page_id, target_url from ({SQL_LINKS})))::bigint as links")
 def s2c_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored.counts(table(spark, sf_dir, "pages"), extract.link_table(_parsed(spark, sf_dir).select("url", "links")))
+    return stored.counts(table(spark, sf_dir, "pages"), extract.link_table(_parsed(spark, sf_dir, "links").select("url", "links")))
 
 
 @query("select event_id, (props->>'$.k')::bigint as k, event_type from events")
@@ -441,7 +441,7 @@ with l as (select distinct page_id, target_url from ({SQL_LINKS}))
 select count(*)::bigint as found, count(*) filter (page_id % 5 + 1 <= 3)::bigint as reinjected, count(*) filter (page_id % 5 + 1 > 3)::bigint as skipped_depth, 0::bigint as skipped_domain from l
 """)
 def j6_follow_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _parsed(spark, sf_dir).select("url", (F.col("page_id") % 5).cast("int").alias("depth"), "links")
+    pages = _parsed(spark, sf_dir, "links").select("url", (F.col("page_id") % 5).cast("int").alias("depth"), "links")
     return crawl.follow_stats(pages).drop("rate")
 
 
