@@ -21,7 +21,7 @@ from ..operators import dedup, extract, robots, schedule, sink, validate
 from ..schema import CRAWL_STATS
 from ..sources import fetch
 from ..sources.seeds import seeds as seed_rows
-from .tables import materialized
+from .tables import discard, materialized
 
 log = logging.getLogger(__name__)
 
@@ -101,6 +101,7 @@ class Crawl:
         return robots.with_robots(frontier, self.robots_table, self.config.robots, now if dated else None).drop("fetch_error")
 
     def _round(self, frontier: DataFrame, seen: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The addresses that are new, what was parsed of them, and what was lost on the way."""
         c = self.config
         checked = materialized(validate.validated(frontier, c.url_validation), "checked")
         fresh = materialized(dedup.new_urls(checked.where("drop_reason is null").drop("drop_reason"), seen, c.duplicate_detection), "fresh")
@@ -116,8 +117,10 @@ class Crawl:
             got.where("fetch_error is not null").select("url", "depth", F.lit("fetch").alias("stage"), F.col("fetch_error").alias("drop_reason")),
             parsed.where("drop_reason is not null or error is not null").select("url", "depth", F.lit("parse").alias("stage"), F.coalesce("drop_reason", "error").alias("drop_reason")),
         ]
-        rejected = lost[0].union(lost[1]).union(lost[2]).union(lost[3])
-        return fresh, parsed.where("drop_reason is null and error is null").drop("drop_reason", "error"), rejected
+        rejected = materialized(lost[0].union(lost[1]).union(lost[2]).union(lost[3]), "rejected")
+        known = materialized(fresh.select("url"), "known")
+        discard(checked, fresh, judged, got)
+        return known, parsed, rejected
 
     def run(self, seed_urls: list[str] | DataFrame, timeout: float | None = None) -> DataFrame:
         """All crawled pages: url, depth, parent_url, page_order, and what was fetched and extracted."""
@@ -133,14 +136,16 @@ class Crawl:
         while not self.stopped:
             if timeout is not None and time.monotonic() - self.began > timeout:
                 break
-            fresh, pages, rejected = self._round(materialized(frontier, "frontier"), seen)
-            known = fresh.select("url")
+            frontier = materialized(frontier, "frontier")
+            known, parsed, rejected = self._round(frontier, seen)
             seen = known if seen is None else seen.union(known)  # a part a round, each written once
+            pages = parsed.where("drop_reason is null and error is null").drop("drop_reason", "error")
             pages = numbered(pages, ["depth", "parent_order", "link_pos", "url"], "page_order", self.pages_crawled)
             limit = c.link_reinjection.max_total_pages if c.link_reinjection.stop_on_max_pages else None
             if limit is not None:
                 pages = pages.where(F.col("page_order") < limit)
             pages = materialized(pages, "pages")
+            discard(frontier, parsed)
             self.all_pages = pages if self.all_pages is None else self.all_pages.union(pages)
             self.rejected = rejected if self.rejected is None else self.rejected.union(rejected)
             n = pages.count()

@@ -23,4 +23,15 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     """df written there and read back, which cuts its lineage and outlives executors."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized() tables that nothing will read again."""
+    for df in tables:
+        if path := getattr(df, "_written", None):
+            spark = df.sparkSession
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
