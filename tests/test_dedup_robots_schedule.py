@@ -52,12 +52,12 @@ def test_seen_table_lasts(spark, tmp_path):
     assert seen.count() == 0
 
 
-BODY = "User-agent: otherbot\nDisallow: /\n\nUser-agent: *\nAllow: /private/ok\nDisallow: /private\nDisallow: /tmp*\nCrawl-delay: 2\n"
+BODY = "User-agent: otherbot\nDisallow: /\n\nUser-agent: *\nAllow: /private/ok\nDisallow: /private\nDisallow: /tmp*\nDisallow: /a%2F\nDisallow: /q?x\nDisallow: /%C3%BC\nDisallow: /s;p\nDisallow: /a%2\nAllow: /a+\nDisallow: /a b\nDisallow: ?x\nCrawl-delay: 2\n"
 
 
 @pytest.mark.parametrize("agent", ["mycrawler/1.0", "otherbot/2"])
 def test_robots_rules(spark, agent):
-    paths = ["/", "/private", "/private/ok/1", "/privateer", "/tmpx", "/tmp*"]
+    paths = ["", "/", "/private", "/private/ok/1", "/privateer", "/tmpx", "/tmp*", "/%70rivate", "/a%2", "/a%2Fb", "/a+b", "/q?x=1&y", "/q?", "/q#", "/s;", "/s;p", "/s;p?z", "/ü", "/%C3%BC", "?x", "/pri\tvate", "/%2e/x%zz", "/a%252F"]
     pages = spark.createDataFrame([(f"http://h.com:81{p}",) for p in paths], "url string")
     table = spark.createDataFrame([("h.com", 200, BODY)], "domain string, status int, body string")
     p = RobotFileParser()
