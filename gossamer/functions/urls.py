@@ -1,11 +1,9 @@
-"""URL expressions: validity, normal form, hosts and suffixes. All of them stay in Catalyst but for escapes that only
-Python's quoting rules define, which take a vectorised detour of their own."""
+"""URL expressions: validity, normal form, hosts and suffixes, all of them in Catalyst."""
 
 from __future__ import annotations
 
-from urllib.parse import parse_qs, urlencode, urljoin, urlparse, urlunparse
+from urllib.parse import urljoin, urlparse, urlunparse
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,10 +45,15 @@ def _quoted(text: Column) -> Column:
     return F.replace(F.replace(F.url_encode(text), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
 
 
+def decoded(text: Column) -> Column:
+    """Escapes as UTF-8, as Python's unquoting has them: a sign without two hex digits stays, each byte of an encoded surrogate is an error. "+" is a space."""
+    text = F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.url_decode(F.regexp_replace(text, "(?i)%ED%[AB][0-9A-F]", "%EF%BF%BD%EF%BF%BD"))
+
+
 def _pairs(query: Column) -> Column:
     split = F.filter(F.split(query, "&"), lambda x: x != "")
     cut = lambda x: F.instr(x, "=")
-    decoded = lambda x: F.call_function("try_url_decode", x)
     return F.transform(
         split,
         lambda x, i: F.struct(
@@ -60,7 +63,7 @@ def _pairs(query: Column) -> Column:
     )
 
 
-def normal_form(url: Column, compat_port_bug: bool = True) -> Column:
+def normalized(url: Column, compat_port_bug: bool = True) -> Column:
     """Lower-case scheme and host, no default port, no trailing slashes, query sorted by key, no fragment."""
     url = F.regexp_replace(url, r"\n\z", "")
     scheme = F.lower(part(url, 1))
@@ -75,36 +78,6 @@ def normal_form(url: Column, compat_port_bug: bool = True) -> Column:
     return F.concat(scheme, F.lit("://"), authority, rest, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 
-def needs_python(url: Column) -> Column:
-    """Escapes that are broken or no UTF-8 have their own meaning in Python's quoting rules."""
-    odd = F.exists(_pairs(part(url, 4)), lambda p: p.key.isNull() | p.value.isNull() | p.key.contains("�") | p.value.contains("�"))
-    return part(url, 4).contains("%") & (odd | part(url, 4).rlike("%(?![0-9A-Fa-f]{2})"))
-
-
-def python_normal_form(url: str, compat_port_bug: bool = True) -> str:
-    """The same form by the standard library."""
-    p = urlparse(url.strip())
-    scheme, authority = p.scheme.lower(), p.netloc.lower()
-    port = {"http": ":80", "https": ":443"}.get(scheme, "")
-    if port and compat_port_bug:
-        authority = authority.replace(port, "")
-    elif port:
-        authority = authority.removesuffix(port)
-    path = (p.path.rstrip("/") if len(p.path) > 1 else p.path) or ("/" if not p.path else "")
-    query = urlencode(sorted(parse_qs(p.query, keep_blank_values=True).items()), doseq=True) if p.query else ""
-    return urlunparse((scheme, authority, path, p.params, query, ""))
-
-
-def normalized(url: Column, compat_port_bug: bool = True) -> Column:
-    """normal_form(), with the few odd escapes decided in Python; other rows pass it as nulls."""
-
-    @F.pandas_udf("string")
-    def by_python(urls: pd.Series) -> pd.Series:
-        return urls.map(lambda u: None if u is None else python_normal_form(u, compat_port_bug))
-
-    return F.coalesce(by_python(F.when(needs_python(url), url)), normal_form(url, compat_port_bug))
-
-
 def in_domains(name: Column, domains: list[str]) -> Column:
     """Equal to one of the domains, or below one."""
     out = name.isin(domains) if domains else F.lit(False)

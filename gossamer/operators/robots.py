@@ -54,7 +54,7 @@ def host_rules(rules: RobotsRules, status: Column, body: Column) -> Column:
 
 def target(url: Column) -> Column:
     """What rules are held against: the decoded address behind its host, without empty parameters, query and fragment."""
-    whole = F.url_decode(F.regexp_replace(F.replace(F.coalesce(url, F.lit("")), F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25"))
+    whole = urls.decoded(F.replace(F.coalesce(url, F.lit("")), F.lit("+"), F.lit("%2B")))
     rest = F.regexp_replace(F.translate(whole, "\t\r\n", ""), r"(?s)^[A-Za-z][A-Za-z0-9+.-]*:(//[^/?#]*)?", "")
     rest = F.regexp_replace(F.regexp_replace(rest, r"^([^?#]*/[^/;?#]*|[^/;?#]*);(?=[?#]|$)", "$1"), r"^([^?#]*)\?(?=#|$)|#$", "$1")
     return F.when(rest == "", "/").otherwise(rest)
