@@ -37,12 +37,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def durable(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def durable(df: DataFrame, name: str, rows: int | None = None, parts: int | None = None) -> DataFrame:
     """df written as Parquet in the shared folder and read back: lineage is cut, lost executors lose nothing.
-    rows: a known bound of short rows, by which the table gets fewer files than the shuffle has parts."""
+    rows: a known bound of short rows, by which the table gets fewer files than the shuffle has parts.
+    parts: as many as the work of the last step needs; it gets no fewer than four a core, and no more than it has."""
     spark = df.sparkSession
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
+    elif parts is not None:
+        df = df.coalesce(max(parts, 4 * spark.sparkContext.defaultParallelism))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

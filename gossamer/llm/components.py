@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from .common import discard, durable, sized
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) of every node of an edge; root is the smallest node of its component.
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", n: int | None = None) -> DataFrame:
+    """(node, root) of every node of an edge; root is the smallest node of its component. n: how many edges there are, if known.
 
     Each step hooks neighbours to the least neighbour by a grouped minimum and a join, so no node's neighbours are ever
     gathered; the table is written after each round, which ends when a round changes nothing.
     """
-    now = durable(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+    now = durable(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges", n)
     n = now.count()
     while True:
         before, m = now, n

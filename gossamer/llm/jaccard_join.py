@@ -253,9 +253,9 @@ def count_keys(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key": (int(group["bucket"].iloc[0]) << 32) + low[first[often]].astype(np.int64), "times": times[often].astype(np.int64)})
 
 
-def frequent_keys(scanned: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+def frequent_keys(scanned: DataFrame, most: int, elements: int) -> tuple[np.ndarray, np.ndarray]:
     """Order keys (rising) with their counts, from the highest counts down while they are at most `most`."""
-    counts = durable(scanned.where("bucket is not null").select("bucket", "keys").groupBy("bucket").applyInPandas(count_keys, "key long, times long"), "frequent")
+    counts = durable(scanned.where("bucket is not null").select("bucket", "keys").groupBy("bucket").applyInPandas(count_keys, "key long, times long"), "frequent", parts=elements // (10 * GATHER))
     level, least, total = F.floor(F.log2("times") * 8).cast("int"), None, 0
     for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():
         total += r.n
@@ -289,7 +289,8 @@ def clusters(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], elements:
     """(cls, cluster) of the classes that share an element of their prefixes with another class."""
     spark = docs.sparkSession
     often = spark.sparkContext.broadcast(frequent)
-    buckets = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), elements * (100 - percent) // 100 // bucket + 1))
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(max(shuffles, elements * (100 - percent) // 100 // bucket + 1))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Postings packed by bucket. A list that is known to be long is dealt over several buckets."""
@@ -354,11 +355,11 @@ def clusters(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], elements:
         return pd.concat([tied[root != nodes], got[got["dealt"]]])
 
     packed = docs.select("text").mapInArrow(post, "bucket long, element binary, cls binary, n binary, dealt binary")
-    ties = durable(packed.groupBy("bucket").applyInPandas(lists, "element long, dealt boolean, a long, b long"), "ties")
+    ties = durable(packed.groupBy("bucket").applyInPandas(lists, "element long, dealt boolean, a long, b long"), "ties", parts=buckets if buckets > shuffles else 0)
     firsts = ties.where("dealt").groupBy("element", "a").agg(F.count("*").alias("k")).drop("k")
     heads = firsts.groupBy("element").agg(F.min("a").alias("b"))
     edges = ties.select("a", "b").union(firsts.join(heads, "element").select("a", "b"))
-    return connected_components(edges).select(F.col("node").alias("cls"), F.col("root").alias("cluster"))
+    return connected_components(edges, n=ties.count()).select(F.col("node").alias("cls"), F.col("root").alias("cluster"))
 
 
 def _unpack(frame: pd.DataFrame) -> list[np.ndarray]:
@@ -370,10 +371,11 @@ def join(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, split: int
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bits = min(20, max(6, (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length()))
     scanned = durable(docs.mapInArrow(scan(bits), "doc_id long, cls long, n long, bucket long, keys binary"), "classes")
-    rows = durable(scanned.where("cls is not null").select("doc_id", "cls", "n"), "rows")
-    often = frequent_keys(scanned, FREQUENT)
-    discard(scanned)
+    rows = scanned.where("cls is not null").select("doc_id", "cls", "n")
     elements, n_rows = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    rows = durable(rows, "rows", n_rows)
+    often = frequent_keys(scanned, FREQUENT, elements)
+    discard(scanned)
     found = durable(clusters(docs, often, elements, bits, percent, split, bucket), "clusters", n_rows)
     first = rows.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     members = found.join(first, "cls")
@@ -400,7 +402,7 @@ def join(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, split: int
     nameless = members.where("doc_id is null")
     if not nameless.isEmpty():  # classes whose documents all lack an id are met by the class
         sets = sets.union(docs.where("doc_id is null").select("text").mapInArrow(classed, "cls long, elements binary").join(nameless, "cls").dropDuplicates(["cls"]).select(*HOME, "cls", "elements"))
-    sets = durable(sets, "sets")
+    sets = durable(sets, "sets", parts=elements // (10 * GATHER))
     pivots = sets.where("blocks > 1 and cls = pivot").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
     def tied(cls: np.ndarray, label: np.ndarray) -> pd.DataFrame:
@@ -413,12 +415,12 @@ def join(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, split: int
         group = group.drop_duplicates("cls")
         return tied(group["cls"].to_numpy(), link_sets(_unpack(group), percent))
 
-    linked = durable(sets.union(pivots.select(sets.columns)).groupBy("cluster", "block").applyInPandas(within, "a long, b long"), "links")
+    linked = durable(sets.union(pivots.select(sets.columns)).groupBy("cluster", "block").applyInPandas(within, "a long, b long"), "links", parts=elements // (10 * GATHER))
     large = sets.where("blocks > 1")
     if not large.isEmpty():
-        part = large.join(connected_components(linked).withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        part = large.join(connected_components(linked, n=linked.count()).withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         main = part.groupBy("cluster", "root").agg(F.count("*").alias("size")).groupBy("cluster").agg(F.max_by("root", F.struct("size", "root")).alias("main"))
-        part = durable(part.join(main, "cluster").withColumn("asks", F.col("root") != F.col("main")), "parts")
+        part = durable(part.join(main, "cluster").withColumn("asks", F.col("root") != F.col("main")), "parts", parts=elements // (10 * GATHER))
         # few that ask meet all the small blocks; many meet as few blocks as memory allows
         bulk = part.where("asks").groupBy("cluster").agg(F.sum(F.length("elements")).alias("bytes"), F.count("*").alias("asking"), F.first("k").alias("all"), F.first("least").alias("least"), F.first("blocks").alias("most"))
         bulk = bulk.select(
@@ -438,8 +440,8 @@ def join(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, split: int
 
         columns = ["cluster", "block", "g", "cls", "elements", "root", "asks"]
         more = asked.select(columns).union(there.select(columns)).groupBy("cluster", "block", "g").applyInPandas(between, "a long, b long")
-        linked = durable(linked.union(more), "links")
-    roots = durable(connected_components(linked), "roots", n_rows)
+        linked = durable(linked.union(more), "links", parts=elements // (10 * GATHER))
+    roots = durable(connected_components(linked, n=linked.count()), "roots", n_rows)
     whole = roots.withColumnRenamed("node", "cls").join(first.select("cls", "doc_id"), "cls").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = roots.withColumnRenamed("node", "cls").join(whole, "root").select("cls", F.col("component_id").alias("shared"))
     # written, so that Spark can split the part of a class that very many documents share
