@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, durable, encoded, fold, read, segment_sums, slices
 
-HEAD = 1 << 17  # words at most whose counts are sent to every task
+HEAD = 1 << 18  # words at most whose counts are sent to every task
 CLASSES = 384  # at least
 END = 0
 RATE = 0.1
@@ -186,11 +186,13 @@ class LogBilinear:
             square[x][at] += grad * grad if grad.ndim == 1 else np.einsum("ij,ij->i", grad, grad)[:, None] / np.float32(grad.shape[1])
             w[x][at] += np.float32(rate) * grad / np.sqrt(square[x][at])
 
-        def told(h: np.ndarray, target: np.ndarray, vectors: str, biases: str, at: slice, noise: np.ndarray) -> np.ndarray:
+        group_log, class_log = np.log(group_noise), np.log(class_noise)
+
+        def told(h: np.ndarray, target: np.ndarray, vectors: str, biases: str, at: slice, noise: np.ndarray, log_noise: np.ndarray) -> np.ndarray:
             """Moves the rows `at` of the groups or of one group's classes, of which target are places; the gradient of h."""
             v, rows = w[vectors][at], np.arange(len(target))
             e = h @ v.T
-            e += w[biases][at] - np.log(noise)
+            e += w[biases][at] - log_noise
             np.negative(e, out=e)
             np.exp(e, out=e)
             e += 1
@@ -205,12 +207,12 @@ class LogBilinear:
             """A batch in the order of its groups."""
             ra, rb = w["r"][two], w["r"][one]
             h = rb * w["c1"] + ra * w["c2"]
-            dh = told(h, group, "u", "a", slice(0, self.groups), group_noise)
+            dh = told(h, group, "u", "a", slice(0, self.groups), group_noise, group_log)
             edge = np.flatnonzero(np.diff(group.astype(np.int64), prepend=-1, append=-1)).tolist()
             for a, b in zip(edge[:-1], edge[1:]):
                 first = int(group[a]) * self.width
                 own = slice(first, min(self.size, first + self.width))
-                dh[a:b] += told(h[a:b], target[a:b] - np.uint32(first), "q", "b", own, class_noise[own])
+                dh[a:b] += told(h[a:b], target[a:b] - target.dtype.type(first), "q", "b", own, class_noise[own], class_log[own])
             both = np.concatenate([one, two])
             order = np.argsort(both, kind="stable")
             begin = np.flatnonzero(np.diff(both[order].astype(np.int64), prepend=-1))
@@ -222,9 +224,10 @@ class LogBilinear:
         held: list[np.ndarray] = []
 
         def learn() -> None:
-            two, one, target = (np.concatenate(x).astype(np.uint32) for x in zip(*held))
+            kind = np.uint16 if self.size <= 1 << 16 else np.uint32  # numpy sorts short numbers by radix
+            two, one, target = (np.concatenate(x).astype(kind) for x in zip(*held))
             held.clear()
-            group = target // np.uint32(self.width)
+            group = (target // kind(self.width)).astype(np.uint16)
             self.met += np.concatenate([n := np.bincount(target, minlength=self.size), np.add.reduceat(n, np.arange(0, self.size, self.width)), [len(target)]])
             order = rng.permutation(len(target))
             for at in np.array_split(order, max(1, round(len(order) / batch))):
@@ -246,22 +249,29 @@ class LogBilinear:
     def log10(self, two: np.ndarray, one: np.ndarray, target: np.ndarray) -> np.ndarray:
         """The log10 probability of each target after its two classes, normalised over the groups and over the group's classes."""
         w, out = self.w, np.empty(len(target))
-        near, far, group = w["r"] * w["c1"], w["r"] * w["c2"], target // self.width
+        near, far, group = w["r"] * w["c1"], w["r"] * w["c2"], (target // self.width).astype(np.uint16)
 
         def log_sums(scores: np.ndarray) -> np.ndarray:
+            """Of each row; the scores are used up."""
             top = scores.max(1)
-            return top + np.log(np.exp(scores - top[:, None]).sum(1))
+            scores -= top[:, None]
+            np.exp(scores, out=scores)
+            return top + np.log(scores.sum(1))
 
         for at in range(0, len(target), PIECE):
             by = at + np.argsort(group[at : at + PIECE], kind="stable")
             h, g, t = near[one[by]] + far[two[by]], group[by], target[by]
-            s = h @ w["u"].T + w["a"]
-            p = s[np.arange(len(by)), g] - log_sums(s)
-            edge = np.flatnonzero(np.diff(g, prepend=-1, append=-1))
+            s = h @ w["u"].T
+            s += w["a"]
+            p = s[np.arange(len(by)), g]
+            p -= log_sums(s)
+            edge = np.flatnonzero(np.diff(g.astype(np.int64), prepend=-1, append=-1))
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
                 first = int(g[a]) * self.width
-                s = h[a:b] @ w["q"][first : first + self.width].T + w["b"][first : first + self.width]
-                p[a:b] += s[np.arange(b - a), t[a:b] - first] - log_sums(s)
+                s = h[a:b] @ w["q"][first : first + self.width].T
+                s += w["b"][first : first + self.width]
+                p[a:b] += s[np.arange(b - a), t[a:b] - first]
+                p[a:b] -= log_sums(s)
             out[by] = p
         return out / np.log(10)
 
