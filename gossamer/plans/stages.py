@@ -85,16 +85,22 @@ class Pipeline:
         step = lambda d, s: _kept(d.transform(s.fn))
         return functools.reduce(step, self.stages, df)
 
-    def run_counted(self, df: DataFrame) -> DataFrame:
-        from .tables import materialized
+    def run_counted(self, df: DataFrame, folder: str | None = None) -> DataFrame:
+        """The stages one by one. With a folder each writes there, and a run that was broken off takes up behind the last stage that
+        had finished; stages that are taken from there count nothing."""
+        from .tables import exists, materialized
 
-        for s in self.stages:
+        for k, s in enumerate(self.stages):
             while self.paused and not self.stopped:
                 time.sleep(0.1)
             if self.stopped:
                 break
+            path = folder and f"{folder}/{k}-{s.name}"
+            if path and exists(df.sparkSession, f"{path}/_SUCCESS"):
+                df = _kept(df.sparkSession.read.parquet(path))
+                continue
             began, seen = time.monotonic(), Observation()
-            out = materialized(s.fn(df.observe(seen, F.count("*").alias("n"))), "stage")
+            out = materialized(s.fn(df.observe(seen, F.count("*").alias("n"))), "stage", path)
             df = _kept(out)
             s.processed += seen.get["n"]
             s.rows_out += df.count()

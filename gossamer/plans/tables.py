@@ -19,10 +19,14 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialized(df: DataFrame, name: str) -> DataFrame:
-    """df written there and read back, which cuts its lineage and outlives executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
+
+
+def materialized(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """df written there (or at a path of one's own) and read back, which cuts its lineage and outlives executors."""
+    df.write.mode("overwrite").parquet(path := path or f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written = path
     return out

@@ -20,6 +20,9 @@ from ..functions import urls
 ANSWER = "status_code int, final_url string, content_type string, raw_html string, fetch_method string, response_time double, headers map<string,string>, fetch_error string"
 
 
+NAMES = [c.split()[0] for c in ANSWER.split(", ")]
+
+
 # What a browser-like client sends.
 def headers(rules: FetchRules) -> dict[str, str]:
     return {
@@ -103,69 +106,73 @@ def _browser_get(page: Any, url: str, rules: FetchRules) -> dict[str, Any]:
     return out | {"response_time": time.monotonic() - began}
 
 
+def browsed(frames: Iterator[pd.DataFrame], rules: FetchRules) -> Iterator[pd.DataFrame]:
+    """The frames' addresses read by one browser, a page each, in order; it is closed at the end whatever happens."""
+    from playwright.sync_api import sync_playwright
+
+    with sync_playwright() as p:
+        browser = getattr(p, rules.browser_type).launch(headless=True)
+        try:
+            for f in frames:
+                rows = []
+                for u in f["url"]:
+                    page = browser.new_page(user_agent=rules.user_agent, viewport={"width": 1920, "height": 1080})
+                    rows.append(_browser_get(page, u, rules))
+                    page.close()
+                yield pd.concat([f.reset_index(drop=True), pd.DataFrame(rows, columns=NAMES)], axis=1)
+        finally:
+            browser.close()
+
+
+def requested(frames: Iterator[pd.DataFrame], rules: FetchRules, workers: int) -> Iterator[pd.DataFrame]:
+    """The frames' addresses read by `workers` threads over one session, none before its release time where there is one."""
+    s, began = session(rules), time.monotonic()
+
+    def one(job: tuple[str, float]) -> dict[str, Any]:
+        time.sleep(max(0.0, job[1] / 1_000_000 - (time.monotonic() - began)))
+        return get(s, job[0], rules)
+
+    try:
+        with ThreadPoolExecutor(workers) as pool:
+            for f in frames:
+                f = f.sort_values("release_us", kind="stable") if "release_us" in f else f
+                jobs = zip(f["url"], f["release_us"] if "release_us" in f else [0.0] * len(f))
+                yield pd.concat([f.reset_index(drop=True), pd.DataFrame(list(pool.map(one, jobs)), columns=NAMES)], axis=1)
+    finally:
+        s.close()
+
+
 def over_http(df: DataFrame, rules: FetchRules | None = None, workers: int = 10) -> DataFrame:
     """df (url, ...) fetched by `workers` threads a task over one session (or one browser page after the other), closed at its end.
     With `release_us` (microseconds from the start of the task) no request goes out before its time, in order of release."""
     rules = rules or FetchRules()
-    names = [c.split()[0] for c in ANSWER.split(", ")]
     if "release_us" in df.columns:  # a host's requests are one task's, so that its schedule holds
         df = df.repartition(urls.host(F.col("url")))
+    run = (lambda frames: browsed(frames, rules)) if rules.use_headless_browser else (lambda frames: requested(frames, rules, workers))
+    kept = [f"`{x.name}` {x.dataType.simpleString()}" for x in df.schema]
+    return df.mapInPandas(run, ", ".join([*kept, ANSWER]))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if rules.use_headless_browser:
-            from playwright.sync_api import sync_playwright
-
-            with sync_playwright() as p:
-                browser = getattr(p, rules.browser_type).launch(headless=True)
-                try:
-                    for f in frames:
-                        rows = []
-                        for u in f["url"]:
-                            page = browser.new_page(user_agent=rules.user_agent, viewport={"width": 1920, "height": 1080})
-                            rows.append(_browser_get(page, u, rules))
-                            page.close()
-                        yield pd.concat([f.reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
-                finally:
-                    browser.close()
-            return
-        s, began = session(rules), time.monotonic()
-
-        def one(job: tuple[str, float]) -> dict[str, Any]:
-            time.sleep(max(0.0, job[1] / 1_000_000 - (time.monotonic() - began)))
-            return get(s, job[0], rules)
 
-        try:
-            with ThreadPoolExecutor(workers) as pool:
-                for f in frames:
-                    f = f.sort_values("release_us", kind="stable") if "release_us" in f else f
-                    jobs = zip(f["url"], f["release_us"] if "release_us" in f else [0.0] * len(f))
-                    yield pd.concat([f.reset_index(drop=True), pd.DataFrame(list(pool.map(one, jobs)), columns=names)], axis=1)
-        finally:
-            s.close()
+def robots_asked(frames: Iterator[pd.DataFrame], rules: RobotsRules) -> Iterator[pd.DataFrame]:
+    """Status and body of each domain's robots.txt; both null where no answer came, or none that is UTF-8."""
+    import requests
 
-    kept = [f"`{x.name}` {x.dataType.simpleString()}" for x in df.schema]
-    return df.mapInPandas(run, ", ".join([*kept, ANSWER]))
+    with requests.Session() as s:
+        for f in frames:
+            rows = []
+            for d in f["domain"]:
+                try:
+                    r = s.get(f"https://{d}/robots.txt", timeout=rules.timeout_seconds, headers={"User-Agent": rules.user_agent})
+                    rows.append((d, r.status_code, r.content.decode("utf-8")))
+                except Exception:  # the default decides
+                    rows.append((d, None, None))
+            yield pd.DataFrame(rows, columns=["domain", "status", "body"])
 
 
 def robots_over_http(hosts: DataFrame, rules: RobotsRules | None = None) -> DataFrame:
     """(domain, status, body, fetched_at) of https://<domain>/robots.txt; status is null where no answer came."""
     rules = rules or RobotsRules()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import requests
-
-        with requests.Session() as s:
-            for f in frames:
-                rows = []
-                for d in f["domain"]:
-                    try:
-                        r = s.get(f"https://{d}/robots.txt", timeout=rules.timeout_seconds, headers={"User-Agent": rules.user_agent})
-                        rows.append((d, r.status_code, r.content.decode("utf-8")))
-                    except Exception:  # no answer, or none that is UTF-8: the default decides
-                        rows.append((d, None, None))
-                yield pd.DataFrame(rows, columns=["domain", "status", "body"])
-
-    return hosts.select("domain").distinct().mapInPandas(run, "domain string, status int, body string").withColumn("fetched_at", F.current_timestamp())
+    return hosts.select("domain").distinct().mapInPandas(lambda frames: robots_asked(frames, rules), "domain string, status int, body string").withColumn("fetched_at", F.current_timestamp())
 
 
 def fetch_stats(df: DataFrame) -> DataFrame:

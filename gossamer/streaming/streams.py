@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,17 +20,18 @@ log = logging.getLogger(__name__)
 
 
 class Monitor(StreamingQueryListener):
-    """Logs the figures of each batch, and keeps the last of each query."""
+    """Logs the figures of each batch, and keeps the last of each query; one that takes rows more slowly than they come is behind."""
 
     def __init__(self) -> None:
-        self.last: dict[str, dict[str, float]] = {}
+        self.last: dict[str, dict[str, Any]] = {}
 
     def onQueryStarted(self, event) -> None:  # noqa: N802
         log.info("query %s started", event.id)
 
     def onQueryProgress(self, event) -> None:  # noqa: N802
         p = event.progress
-        self.last[str(p.id)] = {"batch": p.batchId, "rows": p.numInputRows, "rows_per_second": p.processedRowsPerSecond}
+        came, done = p.inputRowsPerSecond or 0.0, p.processedRowsPerSecond or 0.0
+        self.last[str(p.id)] = {"batch": p.batchId, "rows": p.numInputRows, "rows_per_second": done, "behind": bool(came > done > 0)}
         log.info("query %s: batch %d, %d rows", p.id, p.batchId, p.numInputRows)
 
     def onQueryTerminated(self, event) -> None:  # noqa: N802

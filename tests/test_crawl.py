@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gossamer.config import CrawlConfig, FollowRules, RobotsRules, StorageRules
+from gossamer.config import CrawlConfig, FetchRules, FollowRules, RobotsRules, StorageRules
 from gossamer.operators import dedup, sink
 from gossamer.plans import crawl, stages
 from gossamer.plans.queries import g3_crawl
@@ -191,3 +191,106 @@ def test_small_functions(spark, tmp_path):
     assert stored.titles(spark.createDataFrame([("u", "t", 1)], "url string, title string, depth int")).columns == ["url", "title"]
     answers = spark.createDataFrame([("a", None, 200, "xy", 0.5), ("b", "ReadTimeout: x", None, None, 1.5)], "url string, fetch_error string, status_code int, raw_html string, response_time double")
     assert tuple(fetch.fetch_stats(answers).first()) == (2, 1, 1, 1, 2, 1.0)
+
+
+def test_a_broken_run_takes_up_where_it_was(spark, tmp_path):
+    ran = []
+
+    def noted(name):
+        def stage(df):
+            ran.append(name)
+            if name == "c" and ran.count("c") == 1:
+                raise RuntimeError("broken off")
+            return df.withColumn(name, F.lit(1))
+
+        return stage
+
+    def pipe():
+        return stages.Pipeline().add_stage("a", noted("a")).add_stage("b", noted("b")).add_stage("c", noted("c"))
+
+    rows = seeds.seeds(spark, ["x", "y"])
+    with pytest.raises(RuntimeError):
+        pipe().run_counted(rows, str(tmp_path))
+    got = pipe().run_counted(rows, str(tmp_path))
+    assert ran == ["a", "b", "c", "c"] and got.count() == 2 and got.columns[-3:] == ["a", "b", "c"]
+
+
+def test_browser_reads_and_closes(monkeypatch):
+    import sys
+    import types
+
+    closed = []
+
+    class Page:
+        def __init__(self, **how):
+            self.how, self.url = how, None
+
+        def goto(self, url, **how):
+            if "bad" in url:
+                raise RuntimeError("no such host")
+            self.url = url + "#moved"
+            return types.SimpleNamespace(status=203, headers={"a": "b"})
+
+        def wait_for_load_state(self, *_, **__):
+            raise TimeoutError("never rests")
+
+        def content(self):
+            return "<p>made</p>"
+
+        def close(self):
+            closed.append("page")
+
+    browser = types.SimpleNamespace(new_page=lambda **how: Page(**how), close=lambda: closed.append("browser"))
+
+    class Playwright:
+        def __enter__(self):
+            return types.SimpleNamespace(chromium=types.SimpleNamespace(launch=lambda headless: browser))
+
+        def __exit__(self, *_):
+            closed.append("playwright")
+
+    monkeypatch.setitem(sys.modules, "playwright", types.ModuleType("playwright"))
+    monkeypatch.setitem(sys.modules, "playwright.sync_api", types.SimpleNamespace(sync_playwright=Playwright))
+    import pandas as pd
+
+    rules = FetchRules(use_headless_browser=True, page_load_delay=0.0)
+    got = pd.concat(fetch.browsed(iter([pd.DataFrame({"url": ["http://h.com/", "http://bad/"]})]), rules))
+    assert got["status_code"].tolist()[0] == 203 and got["final_url"].tolist() == ["http://h.com/#moved", "http://bad/"]
+    assert got["raw_html"].tolist() == ["<p>made</p>", None] and got["fetch_error"].tolist() == [None, "RuntimeError: no such host"]
+    assert closed == ["page", "page", "browser", "playwright"]
+
+
+def test_robots_are_asked_once_a_domain(monkeypatch):
+    import types
+
+    import pandas as pd
+    import requests
+
+    from gossamer.config import RobotsRules
+
+    asked = []
+
+    def answer(self, url, **how):
+        asked.append((url, how["headers"]["User-Agent"]))
+        if "down" in url:
+            raise requests.ConnectionError("no answer")
+        return types.SimpleNamespace(status_code=200, content=b"User-agent: *" if "ok" in url else b"\xff")
+
+    monkeypatch.setattr(requests.Session, "get", answer)
+    got = pd.concat(fetch.robots_asked(iter([pd.DataFrame({"domain": ["ok.com", "down.com", "odd.com"]})]), RobotsRules(user_agent="me")))
+    assert asked == [(f"https://{d}/robots.txt", "me") for d in ("ok.com", "down.com", "odd.com")]
+    assert got["body"].tolist() == ["User-agent: *", None, None] and got["status"].tolist()[0] == 200 and got["status"].isna().tolist() == [False, True, True]
+
+
+def test_requests_wait_for_their_release(monkeypatch):
+    import time
+
+    import pandas as pd
+
+    sent = []
+    monkeypatch.setattr(fetch, "get", lambda s, url, rules: sent.append((url, time.monotonic())) or {n: None for n in fetch.NAMES})
+    frame = pd.DataFrame({"url": ["b", "a", "c"], "release_us": [300_000, 0, 600_000]})
+    began = time.monotonic()
+    list(fetch.requested(iter([frame]), FetchRules(), 4))
+    at = {u: t - began for u, t in sent}
+    assert sorted(at, key=at.get) == ["a", "b", "c"] and at["b"] >= 0.3 and at["c"] >= 0.6
