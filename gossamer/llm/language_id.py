@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, read, slices
+from .common import fold, read, slices, trim
 
 ORDER = 3
 SAMPLE_BYTES = 2 << 20
@@ -167,7 +167,11 @@ def learn(docs: DataFrame, train: F.Column, sample_bytes: int = SAMPLE_BYTES, or
                 used[lang] += len(raw)
         # few long texts: more of the range, until the bytes are there or all texts were read
         wanted = {k: 4 * w for k, w in wanted.items() if read_bytes[k] < sample_bytes and w <= 1}
-    return fit(samples, order)
+        del rows
+    trees = fit(samples, order)
+    samples.clear()
+    trim()
+    return trees
 
 
 def judge(trees: ContextTrees | None, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

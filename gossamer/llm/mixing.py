@@ -5,8 +5,8 @@ tokens, under two sets of token constraints: each source gives its target exactl
 band give about the share that they have in the corpus, so that a mix of sources does not shift the lengths (a quadratic
 penalty, as the caps can make both impossible). The convex dual has a multiplier a source and one a band,
 r = min(MOST, exp(source + band)). Newton's iterations are distributed: each sums gradient and curvature over the
-table of source and band masses, the bands' system (sources eliminated) is solved on the driver, sources move by
-their own expression, and a line search on the dual bounds the step. They end when the Newton decrement, twice
+table of source and band masses, the bands' system (sources eliminated) is solved on the driver, sources move each
+by their own step, and a line search on the dual bounds it. They end when the Newton decrement, twice
 the dual gap to second order, is below `GAP` of all tokens.
 
 Rates are rounded into whole copies: in each source, sizes from large to small take the floor of the
@@ -22,11 +22,11 @@ ignored, whatever their names. An empty table gives no rows.
 from __future__ import annotations
 
 import math
-from functools import reduce
-from operator import add
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,14 +73,48 @@ def _rate(x: Column) -> Column:
     return F.least(F.lit(float(MOST)), F.exp(F.least(x, F.lit(2.0))))
 
 
-def _area(x: Column) -> Column:
-    """The integral of the rate: exp up to the cap, straight beyond."""
-    top = math.log(MOST)
-    return F.when(x <= top, F.exp(F.least(x, F.lit(top)))).otherwise(F.lit(float(MOST)) * (1 + x - F.lit(top)))
+def rates(x: np.ndarray) -> np.ndarray:
+    return np.minimum(MOST, np.exp(np.minimum(x, 2.0)))
 
 
-def _sum(columns: list[Column]) -> Column:
-    return reduce(add, columns)
+def dual(x: np.ndarray, mu: np.ndarray, mass: np.ndarray, target: np.ndarray) -> float:
+    """The sources' part of the dual: the rate's integral is exp up to the cap and straight beyond."""
+    y, top = x[:, None] + mu, math.log(MOST)
+    area = np.where(y <= top, np.exp(np.minimum(y, top)), MOST * (1 + y - top))
+    return float(x @ target - (mass * area).sum())
+
+
+def newton_terms(x: np.ndarray, mu: np.ndarray, mass: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What each source gives by band, its share of the curvature by band, its gradient, and its own curvature."""
+    given = mass * rates(x[:, None] + mu)
+    bend = np.where(x[:, None] + mu < math.log(MOST), given, 0.0)
+    return given, bend, target - given.sum(1), np.maximum(bend.sum(1), 1e-6 * given.sum(1))
+
+
+def source_step(x: np.ndarray, mu: np.ndarray, mass: np.ndarray, target: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """A source's own Newton step, given that of the bands."""
+    _, bend, g, h = newton_terms(x, mu, mass, target)
+    return np.clip((g - bend @ move) / h, -2.0, 2.0)
+
+
+MASSES = [f"m{k}" for k in range(BANDS)]
+
+
+def columns_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    number = lambda c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64)
+    return number("x"), np.stack([number(c) for c in MASSES], 1), number("target")
+
+
+def summed(table: DataFrame, of: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """The sum over all sources of `of` (x, masses, target), which gives a vector for a batch; a row a part of the table comes here."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            total += of(*columns_of(batch))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    return np.sum([np.frombuffer(r.sums) for r in table.select("x", "target", *MASSES).mapInArrow(run, "sums binary").collect()], axis=0)
 
 
 def balanced(sources: DataFrame, loose: float = LOOSE, gap: float = GAP, most_rounds: int = 100) -> tuple[DataFrame, np.ndarray]:
@@ -89,53 +123,51 @@ def balanced(sources: DataFrame, loose: float = LOOSE, gap: float = GAP, most_ro
     full = F.col("target") >= F.col("source_size") * F.lit(MOST * (1 - 1e-9))
     start = F.when(F.col("target") <= 0, F.lit(None)).when(full, F.lit(float("inf"))).otherwise(F.log(F.col("target") / F.col("source_size")))
     n = sources.count()
-    now = durable(sources.withColumn("x", start.cast("double")), "dual", n)
-    masses = [F.col(f"m{k}").cast("double") for k in range(BANDS)]
-    open_ = now.where("x < double('inf')")
-    whole = now.agg(F.sum("target").alias("t"), *(F.sum(m).alias(f"m{k}") for k, m in enumerate(masses))).first()
-    shut = now.where("x = double('inf')").agg(*(F.sum(m).alias(f"m{k}") for k, m in enumerate(masses))).first()
-    held, total = np.array([whole[f"m{k}"] or 0.0 for k in range(BANDS)]), whole.t or 0.0
-    mu = np.zeros(BANDS)
-    live = np.flatnonzero(held)
-    if not total or not len(live) or open_.isEmpty():
-        return now, mu
+    every = durable(sources.withColumn("x", start.cast("double")), "dual", n)
+    open_ = now = durable(every.where("x < double('inf')").select("source", "x", "target", *MASSES), "open", n)
+    whole = every.agg(F.sum("target").alias("t"), *(F.sum(c).alias(c) for c in MASSES), *(F.sum(F.when(F.col("x") == float("inf"), F.col(c))).alias(f"shut_{c}") for c in MASSES)).first()
+    held, total = np.array([float(whole[c] or 0) for c in MASSES]), whole.t or 0.0
+    mu, live = np.zeros(BANDS), np.flatnonzero(held)
+    if not total or open_.isEmpty():
+        return every, mu
     aim = held / held.sum() * total
-    fixed = np.array([MOST * (shut[f"m{k}"] or 0.0) for k in range(BANDS)])
+    fixed = MOST * np.array([float(whole[f"shut_{c}"] or 0) for c in MASSES])
+    side = lambda u: float(u @ (aim - fixed) - loose / 2 * (aim * u * u).sum())
     for _ in range(most_rounds):
-        lit = [F.lit(float(v)) for v in mu]
-        given = [m * _rate(F.col("x") + v) for m, v in zip(masses, lit)]
-        bend = [F.when(F.col("x") + v < math.log(MOST), g).otherwise(F.lit(0.0)) for g, v in zip(given, lit)]
-        g, h = F.col("target") - _sum(given), F.greatest(_sum(bend), _sum(given) * 1e-6)
-        table = open_.select("source", "target", "x", *(f"m{k}" for k in range(BANDS)), g.alias("g"), h.alias("h"), *(c.alias(f"r{k}") for k, c in enumerate(given)), *(c.alias(f"h{k}") for k, c in enumerate(bend)))
-        value = F.col("x") * F.col("target") - _sum([m * _area(F.col("x") + v) for m, v in zip(masses, lit)])
-        sums = table.agg(
-            F.sum(F.col("g") * F.col("g") / F.col("h")).alias("q"), F.sum(value).alias("value"),
-            *(F.sum(f"r{k}").alias(f"r{k}") for k in live), *(F.sum(f"h{k}").alias(f"h{k}") for k in live), *(F.sum(F.col(f"h{k}") * F.col("g") / F.col("h")).alias(f"v{k}") for k in live),
-            *(F.sum(F.col(f"h{k}") * F.col(f"h{j}") / F.col("h")).alias(f"s{k}_{j}") for k in live for j in live if k <= j),
-        ).first()
-        grad = np.array([aim[k] - fixed[k] - sums[f"r{k}"] - loose * aim[k] * mu[k] for k in live])
-        across = np.array([sums[f"v{k}"] for k in live])
-        curve = np.diag([sums[f"h{k}"] + loose * aim[k] for k in live]) - np.array([[sums[f"s{min(k, j)}_{max(k, j)}"] for j in live] for k in live])
+
+        def terms(x: np.ndarray, mass: np.ndarray, target: np.ndarray, mu: np.ndarray = mu) -> np.ndarray:
+            given, bend, g, h = newton_terms(x, mu, mass, target)
+            return np.concatenate([[g @ (g / h), dual(x, mu, mass, target)], given.sum(0), bend.sum(0), bend.T @ (g / h), (bend.T @ (bend / h[:, None])).ravel()])
+
+        sums = summed(now, terms, 2 + 3 * BANDS + BANDS**2)
+        given, bend, across = sums[2:].reshape(-1, BANDS)[:3]
+        grad = aim - fixed - given - loose * aim * mu - across
+        curve = np.diag(bend + loose * aim) - sums[2 + 3 * BANDS :].reshape(BANDS, BANDS)
         move = np.zeros(BANDS)
-        move[live] = np.linalg.solve(curve + 1e-12 * total * np.eye(len(live)), grad - across)
-        decrement = float(sums.q + move[live] @ (grad - across))
+        move[live] = np.linalg.solve(curve[np.ix_(live, live)] + 1e-12 * total * np.eye(len(live)), grad[live])
+        decrement = float(sums[0] + move @ grad)
         if decrement <= gap * total:
             break
-        step = (F.col("g") - _sum([F.col(f"h{k}") * F.lit(float(move[k])) for k in range(BANDS)])) / F.col("h")
-        step = F.greatest(F.lit(-2.0), F.least(F.lit(2.0), step))
-        table, t = table.withColumn("step", step), 1.0
+        t = 1.0
         if decrement > 1e-8 * total:  # below, the dual's own rounding hides its rise
-            tried = [F.sum((F.col("x") + F.lit(t) * F.col("step")) * F.col("target") - _sum([m * _area(F.col("x") + F.lit(t) * F.col("step") + F.lit(float(v + t * d))) for m, v, d in zip(masses, mu, move)])).alias(str(i)) for i, t in enumerate(STEPS)]
-            got = table.agg(*tried).first()
-            side = lambda u: float(u @ (aim - fixed) - loose / 2 * (aim * u * u).sum())
-            rise = [got[i] + side(mu + t * move) - sums.value - side(mu) for i, t in enumerate(STEPS)]
+
+            def tried(x: np.ndarray, mass: np.ndarray, target: np.ndarray, mu: np.ndarray = mu, move: np.ndarray = move) -> np.ndarray:
+                step = source_step(x, mu, mass, target, move)
+                return np.array([dual(x + t * step, mu + t * move, mass, target) for t in STEPS])
+
+            rise = summed(now, tried, len(STEPS)) + np.array([side(mu + t * move) for t in STEPS]) - sums[1] - side(mu)
             t = next((t for t, up in zip(STEPS, rise) if up >= 1e-4 * t * decrement), STEPS[-1])
-        mu = mu + t * move
-        before, moved = now, table.select("source", F.col("x").alias("_x"), (F.lit(t) * F.col("step")).alias("_step"))
-        now = durable(now.join(moved, "source", "left").withColumn("x", F.coalesce(F.col("_x") + F.col("_step"), "x")).select(before.columns), "dual", n)
+
+        def moved(batches: Iterator[pa.RecordBatch], mu: np.ndarray = mu, move: np.ndarray = move, t: float = t) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, mass, target = columns_of(batch)
+                yield batch.set_column(batch.schema.get_field_index("x"), "x", pa.array(x + t * source_step(x, mu, mass, target, move)))
+
+        before, now = now, durable(now.mapInArrow(moved, now.schema), "open", n)
         discard(before)
-        open_ = now.where("x < double('inf')")
-    return now, mu
+        mu = mu + t * move
+    found = every.drop("x").join(now.select("source", "x"), "source", "left")
+    return found.withColumn("x", F.when(F.col("target") <= 0, F.lit(None)).when(full, F.lit(float("inf"))).otherwise(F.col("x"))), mu
 
 
 def extra_copies(group: pd.DataFrame) -> pd.DataFrame:
