@@ -2,7 +2,7 @@
 
 "First" is by (depth, parent_order, link_pos) where those columns are there, then by url. Methods: `set` and
 `database` are exact, `bloom` drops a new key with the configured probability, its filter is sized for the
-configured capacity, or for the seen keys where they are more.
+configured capacity, or for the seen keys where they are more. A filter beyond `SENT_BYTES` is cut into shards that rows meet by a shuffle.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from ..config import DedupRules
 
 ORDER = ("depth", "parent_order", "link_pos")
+SENT_BYTES = 32 << 20  # of a filter that every task gets; a larger one is cut into shards
+SHARD_KEYS = 1_000_000
 
 
 def key(url: Column, case_sensitive: bool = False) -> Column:
@@ -45,6 +47,8 @@ def new_urls(df: DataFrame, seen: DataFrame | None = None, rules: DedupRules | N
     if rules.method == "bloom":
         keys = seen.select(key(F.col("url"), rules.case_sensitive).alias("key")).distinct()
         rules = replace(rules, bloom_capacity=max(rules.bloom_capacity, keys.count()))
+        if bloom_shape(rules.bloom_capacity, rules.bloom_error_rate)[0] > 8 * SENT_BYTES:
+            return kept.join(sharded_hits(kept.select("_key"), keys, rules), "_key", "left_anti").drop("_key")
         bits = bloom_filter(keys, rules.bloom_capacity, rules.bloom_error_rate)
         return kept.where(~might_contain(F.col("_key"), bits, rules)).drop("_key")
     raise ValueError(f"unknown method {rules.method!r}")
@@ -96,6 +100,25 @@ def might_contain(column: Column, field: bytes, rules: DedupRules) -> Column:
     return test(F.xxhash64(column), F.xxhash64(column, F.lit(1)))
 
 
+def sharded_hits(asked: DataFrame, keys: DataFrame, rules: DedupRules, shard_keys: int = SHARD_KEYS) -> DataFrame:
+    """(_key) of those asked that a filter of all keys may contain. Keys are dealt to shards by a hash, each shard has a
+    filter of its own at the configured rate, and what is asked meets its shard's: no task sees more than a shard."""
+    shards = -(-rules.bloom_capacity // shard_keys)
+    bits, hashes = bloom_shape(shard_keys + 10 * math.isqrt(shard_keys), rules.bloom_error_rate)  # shards are only about equal
+    hashed = lambda c: [F.pmod(F.xxhash64(c, F.lit(2)), F.lit(shards)).alias("shard"), F.xxhash64(c).alias("a"), F.xxhash64(c, F.lit(1)).alias("b")]
+
+    def held(there: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        field, out = np.zeros((bits + 7) // 8, np.uint8), np.ones(len(wanted), bool)
+        for at in _places(there["a"].to_numpy(np.int64), there["b"].to_numpy(np.int64), bits, hashes):
+            np.bitwise_or.at(field, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        for at in _places(wanted["a"].to_numpy(np.int64), wanted["b"].to_numpy(np.int64), bits, hashes):
+            out &= (field[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        return wanted.loc[out, ["_key"]]
+
+    there, wanted = keys.select(*hashed("key")), asked.select("_key", *hashed("_key"))
+    return there.groupBy("shard").cogroup(wanted.groupBy("shard")).applyInPandas(held, "_key string")
+
+
 class SeenUrls:
     """Seen keys kept as a Parquet table (url, first_seen) from run to run."""
 

@@ -163,3 +163,14 @@ def test_a_hot_host_lies_in_several_parts(spark):
     sizes = [r["count"] for r in parts.groupBy(bucket).count().collect()]
     assert len(sizes) == 4 and max(sizes) < 10_000
     assert schedule.scheduled(rows, RateRules(default_delay_seconds=1.0)).agg({"release_us": "max"}).first()[0] == 19_999 * 1_000_000
+
+
+def test_a_large_filter_is_cut_into_shards(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "SENT_BYTES", 1000)
+    seen = spark.range(20_000).selectExpr("concat('http://h.com/', id) as url")
+    new = spark.range(15_000, 30_000).selectExpr("concat('http://H.com/', id) as url", "array(id) as more")
+    rules = DedupRules(method="bloom", bloom_capacity=100, bloom_error_rate=0.01)
+    kept = {r.url for r in dedup.new_urls(new, seen, rules).collect()}
+    assert all(int(u.rsplit("/")[-1]) >= 20_000 for u in kept) and 9_700 <= len(kept) <= 10_000
+    hits = dedup.sharded_hits(new.selectExpr("lower(url) as _key"), seen.selectExpr("url as key"), DedupRules(bloom_capacity=20_000, bloom_error_rate=0.01), 3_000)
+    assert 5_000 <= hits.count() <= 5_300
