@@ -147,3 +147,39 @@ def test_all_words_and_an_unknown_one_of_each_class_sum_to_one(spark):
         share[c] += 1 if 0 < c <= head.singles else (n[w] + 0.5) / 10 ** inner[c]
     share[head.beyond :] += 0.5 / 10 ** inner[head.beyond :]
     assert np.allclose(share, 1)
+
+
+@pytest.mark.parametrize("most", [L.HEAD, 8])
+def test_scores_against_brute_force(spark, monkeypatch, most):
+    """Each token by its group's, its class's and its word's share, one by one; some words are beyond the head, some unknown."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(30)]
+    docs = [(i, " ".join(rng.choice(words, rng.integers(0, 25), p=np.arange(30, 0, -1) / 465))) for i in range(40)] + [(100, "w1 new w2 other"), (101, None), (102, "w29")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = {}
+
+    def given(rows, tokens, noise):
+        kept["model"] = model = L.LogBilinear(noise, 5)
+        return model.set(rng.normal(0, 1, model.matrix().shape).astype(np.float32))
+
+    monkeypatch.setattr(L, "trained", given)
+    train = L.F.col("doc_id") < 100
+    got = {r.doc_id: r.score for r in L.score(frame, train, most, 16).collect()}
+    counts = L.word_counts(frame.where(train))
+    head, beyond = L.head_of(counts, most, 16)
+    inner, n, m = head.totals(40, beyond)[1], {r.word: r.n for r in counts.collect()}, kept["model"]
+    w = {x: v.astype(float) for x, v in m.w.items()}
+    for d, text in docs:
+        ws, two, one, want = tokens(text), 0, 0, 0.0
+        for word in [*ws, None]:
+            array = L.pa.array([word or ""], L.pa.large_string())
+            c = L.END if word is None else int(head.classes(head.places(array), array)[0])
+            h = w["r"][one] * w["c1"] + w["r"][two] * w["c2"]
+            group, own = c // m.width, slice(c // m.width * m.width, min(m.size, (c // m.width + 1) * m.width))
+            level = np.exp(w["u"] @ h + w["a"])
+            inside = np.exp(w["q"][own] @ h + w["b"][own])
+            want += math.log10(level[group] / level.sum() * inside[c - own.start] / inside.sum())
+            if c > head.singles:
+                want += math.log10(n.get(word, 0) + 0.5) - inner[c]
+            two, one = (0, 0) if c == L.END else (one if one != L.END else L.END, c)
+        assert math.isclose(got[d], want, rel_tol=1e-4), d
