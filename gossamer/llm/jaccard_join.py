@@ -266,9 +266,12 @@ def frequent_keys(scanned: DataFrame, most: int, elements: int) -> tuple[np.ndar
     discard(counts)
     if got is None:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    keys = got.column("key").to_numpy().astype(np.uint64)
+    keys, times = got.column("key").to_numpy().astype(np.uint64), got.column("times").to_numpy()
     order = np.argsort(keys)
-    return keys[order], got.column("times").to_numpy()[order]
+    keys, times = keys[order], times[order]
+    del got, order
+    trim()
+    return keys, times
 
 
 def prefix_of(s: np.ndarray, often: np.ndarray, times: np.ndarray, bits: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -377,6 +380,8 @@ def join(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, split: int
     often = frequent_keys(scanned, FREQUENT, elements)
     discard(scanned)
     found = durable(clusters(docs, often, elements, bits, percent, split, bucket), "clusters", n_rows)
+    del often
+    trim()
     first = rows.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     members = found.join(first, "cls")
     weight = members.groupBy("cluster").agg(F.sum("n").alias("total"), F.count("*").alias("k"), F.min("cls").alias("pivot"))
