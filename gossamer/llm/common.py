@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 #: Text bytes that a Python worker handles at once.
 SLICE_BYTES = 3 << 20
 SMALL = 500_000
+PART_BYTES = 16 << 20
 FILE_ROWS = 100_000  # of a durable table of short rows
 
 
@@ -37,6 +38,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """df, a table as read, in fewer parts where it has more than the work needs: one for each `PART_BYTES` of the planner's estimate,
+    but no fewer than four a core. So small tables aren't hundreds of tiny tasks and files. Parts are never split, and as
+    tasks are what the parts behind this point are, numbers that go by the task stay apart."""
+    parts = max(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // PART_BYTES, 4 * df.sparkSession.sparkContext.defaultParallelism)
+    return df.coalesce(parts) if parts < 1 << 20 else df
+
+
 def durable(df: DataFrame, name: str, rows: int | None = None, parts: int | None = None) -> DataFrame:
     """df written as Parquet in the shared folder and read back: lineage is cut, lost executors lose nothing.
     rows: a known bound of short rows, by which the table gets fewer files than the shuffle has parts.

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, durable, encoded, read, sized, slices, trim
+from .common import discard, durable, encoded, merged, read, sized, slices, trim
 from .components import connected_components
 
 WORDS = 5
@@ -371,7 +371,7 @@ def _unpack(frame: pd.DataFrame) -> list[np.ndarray]:
 
 def join(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, split: int = SPLIT, bucket: int = BUCKET, rows_a_block: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id of docs (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = merged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     bits = min(20, max(6, (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length()))
     scanned = durable(docs.mapInArrow(scan(bits), "doc_id long, cls long, n long, bucket long, keys binary"), "classes")
     rows = scanned.where("cls is not null").select("doc_id", "cls", "n")

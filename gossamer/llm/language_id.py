@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, read, slices, trim
+from .common import fold, merged, read, slices, trim
 
 ORDER = 3
 SAMPLE_BYTES = 2 << 20
@@ -199,7 +199,7 @@ def predict(docs: DataFrame, model: ContextTrees | None) -> DataFrame:
             best, score, rate = judge(sent.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([names[i] for i in best.tolist()], pa.string()), pa.array(score), pa.array(rate)], names=["doc_id", "lang_pred", "score", "bits_per_byte"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, bits_per_byte double")
+    return merged(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, lang_pred string, score double, bits_per_byte double")
 
 
 def keep_known(docs: DataFrame, model: ContextTrees | None, most_bits: float = MOST_BITS) -> DataFrame:
@@ -217,7 +217,7 @@ def keep_known(docs: DataFrame, model: ContextTrees | None, most_bits: float = M
             size = np.maximum(1, pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
             yield batch.filter(pa.array((best >= 0) & (rate * size <= most_bits * size + FREE_BITS)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return merged(docs).mapInArrow(run, docs.schema)
 
 
 def op2_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, durable, encoded, fold, read, segment_sums, slices
+from .common import discard, durable, encoded, fold, merged, read, segment_sums, slices
 
 HEAD = 1 << 17  # words at most whose counts are sent to every task
 CLASSES = 384  # at least
@@ -341,7 +341,7 @@ def head_of(counts: DataFrame, most: int = HEAD, classes: int = CLASSES) -> tupl
 def score(docs: DataFrame, train: Column, most: int = HEAD, classes: int | None = None) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of docs (doc_id, text), learning where `train` holds."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = merged(docs.select("doc_id", "text"))
     learnt = docs.where(train)
     counts = word_counts(learnt)
     ends = learnt.count()

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, durable, read
+from .common import discard, durable, merged, read
 
 SALTS = 64
 MOST = 3  # times its size that a source or document may give
@@ -187,7 +187,7 @@ def mix(docs: DataFrame, share: float = 1.0) -> DataFrame:
     """One row a row of docs (doc_id, text, source) with size, source_size, target, rate, copies, taken."""
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))  # sources that are null or empty stay apart
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
-    sized = durable(docs.select("doc_id", n_words(F.col("text")).alias("size"), key.alias("source"), salt.alias("salt")), "sizes")
+    sized = durable(merged(docs).select("doc_id", n_words(F.col("text")).alias("size"), key.alias("source"), salt.alias("salt")), "sizes")
     strata = durable(sized.groupBy("source", "size", "salt").agg(F.count("*").alias("n")), "strata")
     histogram = strata.groupBy("source", "size").agg(F.sum("n").alias("n"))
     words = F.col("size") * F.col("n")

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, read, slices
+from .common import durable, merged, read, slices
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
@@ -188,7 +188,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[dict[int,
 def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """Pieces of docs (doc_id, text) with their sequence_id and offset."""
     spark = docs.sparkSession
-    pieces = durable(docs.select("doc_id", "text").mapInArrow(cut_pieces(path or tokenizer_path(), capacity), PIECES), "pieces")
+    pieces = durable(merged(docs.select("doc_id", "text")).mapInArrow(cut_pieces(path or tokenizer_path(), capacity), PIECES), "pieces")
     by_task = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     earlier = by_task.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).drop("n")
     placed = spark.sparkContext.broadcast(plan({r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}, capacity)[0])

@@ -31,7 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read, slices
+from .common import merged, read, slices
 
 KINDS = ("email", "ip", "card", "phone", "ssn", "secret")
 ORDER = {k: i for i, k in enumerate(KINDS)}
@@ -413,7 +413,7 @@ def detect(docs: DataFrame) -> DataFrame:
             types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return merged(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def redacted(text: str, weights: dict[str, float]) -> str:
@@ -441,7 +441,7 @@ def redact(docs: DataFrame) -> DataFrame:
                 batch = batch.set_column(batch.schema.get_field_index("text"), batch.schema.field("text"), pa.array(new, batch.schema.field("text").type))
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return merged(docs).mapInArrow(run, docs.schema)
 
 
 def op1_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
