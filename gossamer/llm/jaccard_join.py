@@ -2,11 +2,12 @@
 
 A document's set holds the hashes of its distinct 5-word shingles; sets link when
 100 * |intersection| >= 80 * |union|. Equal sets are one class. Any two sets that link share
-one of the first n - ceil(0.8 n) + 1 elements of each in a common order, in which frequent
-shingles come last, so passages that many documents share hardly list anything.
+one of the first n - ceil(0.8 n) + 1 elements of each in a common order by count: shingles of
+one class alone come first, frequent ones last. The counts come from maps of the shingles that occur
+2, 3, 4, 6 and 10 times (a bit a cell, sized by the corpus) and a table of the most frequent ones.
 
-1. Lists: these prefixes are packed by hash bucket and meet in reduce tasks; each list
-   ties its classes to its first (apart where sizes leave a gap that no link can span).
+1. Lists: the repeated elements of these prefixes are packed by hash bucket and meet in reduce
+   tasks (what one class alone has ties nothing and is not listed); each list ties its classes to its first (apart where sizes leave a gap that no link can span).
    Connected components of the ties are clusters: no link leaves one.
 2. Join within a cluster, by relations between sets. A leader searches an index whose lists
    are cut into blocks by position; a block is skipped whole where size and position
@@ -42,10 +43,13 @@ WORDS = 5
 PERCENT = 80
 BLOCK = 1_000_000  # elements of the sets that one task joins
 ROWS = 256  # sets of a first block; later ones have up to 16 times as many
-FREQUENT = 1 << 20  # frequent shingles at most that are sent to every task
+FREQUENT = 1 << 20  # frequent shingles at most that are sent to every task with their counts
+MAP_BITS = 28  # the largest map of repeated shingles that is sent to every task has 2^28 bits
+TIMES = ((2, 0), (3, 2), (4, 3), (6, 4), (10, 5))  # maps of the shingles that occur so often, each by so many powers of two smaller
 GATHER = 1_000_000  # elements that a task packs at once
 BUCKET = 500_000  # postings of a bucket
 SPLIT = 200_000  # a list of more classes is dealt to several tasks
+Frequent = tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]
 HOME = ("cluster", "pivot", "k", "least", "blocks", "block")
 
 
@@ -243,52 +247,97 @@ def scan(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
     return run
 
 
-def count_keys(group: pd.DataFrame) -> pd.DataFrame:
-    """Order keys of one bucket that occur three times or more."""
-    trim()
-    low = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in group["keys"]]))
-    first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-    times = np.diff(np.append(first, len(low)))
-    often = times > 2
-    return pd.DataFrame({"key": (int(group["bucket"].iloc[0]) << 32) + low[first[often]].astype(np.int64), "times": times[often].astype(np.int64)})
-
-
-def frequent_keys(scanned: DataFrame, most: int, elements: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order keys (rising) with their counts, from the highest counts down while they are at most `most`."""
-    counts = durable(scanned.where("bucket is not null").select("bucket", "keys").groupBy("bucket").applyInPandas(count_keys, "key long, times long"), "frequent", parts=elements // (10 * GATHER))
-    level, least, total = F.floor(F.log2("times") * 8).cast("int"), None, 0
-    for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():
+def map_bits(elements: int, bits: int) -> list[int]:
+    """For each of `TIMES` how many leading bits of an element choose its cell in the map of the keys that occur so often."""
+    first = min(MAP_BITS, (elements // 8).bit_length())
+    return [max(bits + 3, first - less) for _, less in TIMES]
+
+
+def count_keys(bits: int, maps: list[int]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Order keys of one bucket that occur three times or more, a row for each eighth of a power of two of the count (`level`);
+    and, of level -1, -2 and so on, the bucket's part of the maps."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        trim()
+        bucket = int(group["bucket"].iloc[0])
+        low = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in group["keys"]]))
+        first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+        times = np.diff(np.append(first, len(low)))
+        low, times = low[first[times > 1]], times[times > 1]
+        rows = []
+        for i, ((least, _), wide) in enumerate(zip(TIMES, maps)):
+            cells = np.zeros(1 << (wide - bits), bool)
+            cells[low[times >= least] >> np.uint32(32 - wide + bits)] = True
+            rows.append((bucket, -1 - i, 0, np.packbits(cells, bitorder="little").tobytes(), b""))
+        low, times = low[times > 2].astype(np.int64) + (bucket << 32), times[times > 2].astype(np.int64)
+        level = np.floor(np.log2(times) * 8).astype(np.int64)
+        for x in np.unique(level).tolist():
+            rows.append((bucket, x, int((level == x).sum()), low[level == x].tobytes(), times[level == x].tobytes()))
+        return pd.DataFrame(rows, columns=["bucket", "level", "n", "keys", "times"])
+
+    return run
+
+
+def frequent_keys(scanned: DataFrame, most: int, elements: int, bits: int) -> Frequent:
+    """Order keys (rising) with their counts, from the highest counts down while they are at most `most`; and for each of
+    `TIMES` a map of the keys that occur so often, a bit a cell: of keys that share a cell the most frequent one tells."""
+    wide = map_bits(elements, bits)
+    counts = durable(
+        scanned.where("bucket is not null").select("bucket", "keys").groupBy("bucket").applyInPandas(count_keys(bits, wide), "bucket long, level int, n long, keys binary, times binary"),
+        "frequent", parts=elements // (10 * GATHER),
+    )
+    least, total = None, 0
+    for r in counts.where("level >= 0").groupBy("level").agg(F.sum("n").alias("n")).orderBy(F.desc("level")).collect():
         total += r.n
         if total > most:
             break
         least = r.level
-    got = None if least is None else counts.where(level >= least).toArrow()
+    maps = []
+    for i, w in enumerate(wide):
+        cells = np.zeros(1 << (w - 3), np.uint8)
+        part = counts.where(F.col("level") == -1 - i).select("bucket", "keys").toArrow()
+        for bucket, blob in zip(part.column("bucket").to_pylist(), part.column("keys")):
+            cells[bucket << (w - 3 - bits) : (bucket + 1) << (w - 3 - bits)] = np.frombuffer(blob.as_buffer(), np.uint8)
+        maps.append((w, cells))
+        del part
+    keys, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if least is not None:
+        got = counts.where(F.col("level") >= least).select("keys", "times").toArrow()
+        keys, times = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in got.column(c)]) for c, kind in (("keys", np.uint64), ("times", np.int64)))
+        order = np.argsort(keys)
+        keys, times = keys[order], times[order]
+        del got, order
     discard(counts)
-    if got is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    keys, times = got.column("key").to_numpy().astype(np.uint64), got.column("times").to_numpy()
-    order = np.argsort(keys)
-    keys, times = keys[order], times[order]
-    del got, order
     trim()
-    return keys, times
-
-
-def prefix_of(s: np.ndarray, often: np.ndarray, times: np.ndarray, bits: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first elements of a set in the common order (frequent ones last, by count), and their counts where frequent."""
-    size = len(s) - least_size(len(s), percent) + 1
-    if not len(often):
-        return s[:size], np.zeros(size, np.int64)
-    keys = order_key(s, bits)
-    at = np.minimum(np.searchsorted(often, keys), len(often) - 1)
-    count = np.where(often[at] == keys, times[at], 0)
-    if np.count_nonzero(count == 0) >= size:
-        return s[count == 0][:size], np.zeros(size, np.int64)
-    first = np.lexsort((s, count))[:size]
-    return s[first], count[first]
-
-
-def clusters(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], elements: int, bits: int, percent: int, split: int, bucket: int) -> DataFrame:
+    return keys, times, maps
+
+
+def prefix_of(s: np.ndarray, often: np.ndarray, times: np.ndarray, maps: list[tuple[int, np.ndarray]], bits: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the first elements of a set in the common order (rising by count, as far as maps and table tell it) those that may
+    occur in another class, and their counts where frequent. What no class shares comes first and ties nothing."""
+
+    def marked(elements: np.ndarray, i: int) -> np.ndarray:
+        cell = (elements >> np.uint64(64 - maps[i][0])).astype(np.int64)
+        return (maps[i][1][cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
+
+    shared = s[marked(s, 0)]
+    size = len(s) - least_size(len(s), percent) + 1 - (len(s) - len(shared))
+    if size <= 0:
+        return shared[:0], np.zeros(0, np.int64)
+    level = np.ones(len(shared), np.int64)
+    for i in range(1, len(maps)):
+        at = np.flatnonzero(level == i)
+        level[at[marked(shared[at], i)]] = i + 1
+    count = np.zeros(len(shared), np.int64)
+    if len(often):
+        keys = order_key(shared, bits)
+        at = np.minimum(np.searchsorted(often, keys), len(often) - 1)
+        count = np.where(often[at] == keys, times[at], 0)
+    first = np.lexsort((shared, level, count))[:size]
+    return shared[first], count[first]
+
+
+def clusters(docs: DataFrame, frequent: Frequent, elements: int, bits: int, percent: int, split: int, bucket: int) -> DataFrame:
     """(cls, cluster) of the classes that share an element of their prefixes with another class."""
     spark = docs.sparkSession
     often = spark.sparkContext.broadcast(frequent)
@@ -377,7 +426,7 @@ def join(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, split: int
     rows = scanned.where("cls is not null").select("doc_id", "cls", "n")
     elements, n_rows = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     rows = durable(rows, "rows", n_rows)
-    often = frequent_keys(scanned, FREQUENT, elements)
+    often = frequent_keys(scanned, FREQUENT, elements, bits)
     discard(scanned)
     found = durable(clusters(docs, often, elements, bits, percent, split, bucket), "clusters", n_rows)
     del often

@@ -98,6 +98,48 @@ def test_large_groups_in_blocks(spark, block, split, bucket, rows):
     assert rows_of(J.join(frame, block=block, split=split, bucket=bucket, rows_a_block=rows)) == brute(docs)
 
 
+def test_passages_shared_by_chance_tie_no_clusters(spark, monkeypatch):
+    """Documents that each share a few shingles with the next, beyond the table of frequent ones, are no cluster: a large corpus
+    would be one, and all its blocks would meet. Real links stay."""
+    rng = random.Random(4)
+    passages = [" ".join(f"p{rng.randrange(10**6)}" for _ in range(7)) for _ in range(150)]
+    docs = [(i, " ".join(f"u{rng.randrange(10**6)}" for _ in range(60)) + f" {passages[i]} {passages[(i + 1) % 150]}") for i in range(150)]
+    docs += [(200 + i, docs[i][1] + " tail") for i in range(0, 150, 10)]
+    sizes, durable = {}, J.durable
+
+    def counted(df, name, *args, **kwargs):
+        out = durable(df, name, *args, **kwargs)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(J, "durable", counted)
+    monkeypatch.setattr(J, "FREQUENT", 0)
+    assert rows_of(J.join(spark.createDataFrame(docs, "doc_id long, text string").repartition(5))) == brute(docs)
+    assert sizes["clusters"] <= 30 and sizes["weights"] <= 15
+
+
+def test_maps_tell_the_counts_of_keys():
+    import pandas as pd
+
+    bits, elements = 6, 1 << 20
+    rng = np.random.default_rng(5)
+    counts = {int(x): int(c) for x, c in zip(rng.integers(0, 1 << 62, 400).astype(np.uint64) * np.uint64(4), rng.integers(1, 15, 400))}
+    wide = J.map_bits(elements, bits)
+    parts = {}
+    for e, c in counts.items():
+        key = int(J.order_key(np.uint64(e), bits))
+        parts.setdefault(key >> 32, []).extend([key & 0xFFFFFFFF] * c)
+    made = [J.count_keys(bits, wide)(pd.DataFrame({"bucket": [b], "keys": [np.array(x, np.uint32).tobytes()]})) for b, x in parts.items()]
+    for i, (least, _) in enumerate(J.TIMES):
+        cells = np.zeros(1 << (wide[i] - 3), np.uint8)
+        for r in (r for m in made for r in m[m["level"] == -1 - i].itertuples()):
+            cells[r.bucket << (wide[i] - 3 - bits) : (r.bucket + 1) << (wide[i] - 3 - bits)] = np.frombuffer(r.keys, np.uint8)
+        want = {e >> (64 - wide[i]) for e, c in counts.items() if c >= least}
+        assert set(np.flatnonzero(np.unpackbits(cells, bitorder="little")).tolist()) == want
+    got = {int(k): int(t) for m in made for r in m[m["level"] >= 0].itertuples() for k, t in zip(np.frombuffer(r.keys, np.int64), np.frombuffer(r.times, np.int64))}
+    assert got == {int(J.order_key(np.uint64(e), bits)): c for e, c in counts.items() if c > 2}
+
+
 def test_edges(spark):
     docs = [(5, None), (4, ""), (9, "a b"), (8, "A  B"), (7, "a b c"), (3, " \t "), (2, "x " * 300_000), (1, "x " * 7), (6, "one two three four five six"), (6, "one two three four five six")]
     frame = spark.createDataFrame([(*d, 1, 2) for d in docs], "doc_id long, text string, n int, cls int")
