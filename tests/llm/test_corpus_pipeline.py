@@ -51,3 +51,24 @@ def test_edges(spark, sf_dir):
     assert [r.text for r in P.redact_personal_data(spark, docs, sf_dir).collect() if r.doc_id is None] == ["other words [EMAIL]"]
     model = language_id.learn(docs, language_id.F.lit(True))
     assert {r.lang for r in language_id.keep_known(docs, model).collect()} == {"en"}
+
+
+def test_chance_makes_no_cluster_of_near_duplicates(spark, sf_dir, monkeypatch):
+    """Rows that each share a few shingles with the next, beyond the table of frequent ones, don't meet in blocks; copies still go."""
+    from gossamer.llm import jaccard_join
+
+    words = lambda k, a, n: " ".join(f"{k}{a}x{i}" for i in range(n))
+    rows = [(i, f"{words('u', i, 60)} {words('p', i, 7)} {words('p', (i + 1) % 80, 7)}", "en", "s", 0) for i in range(80)]
+    rows += [(100 + i, rows[i][1] + " tail", "en", "s", 0) for i in range(0, 80, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    sizes, durable = {}, jaccard_join.durable
+
+    def counted(df, name, *args, **kwargs):
+        out = durable(df, name, *args, **kwargs)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "durable", counted)
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 0)
+    assert sorted(r.doc_id for r in P.drop_near_duplicates(spark, docs, sf_dir).collect()) == list(range(80))
+    assert sizes["clusters"] == 16
