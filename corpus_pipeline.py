@@ -25,9 +25,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of linked documents the one with the smallest doc_id stays, once where its row repeats.
     Rows that share a doc_id are one document, and stay where one of their texts may; rows without a doc_id can't be told apart
     and all stay. Texts that are null or have no words link with nothing and stay."""
-    found = durable(jaccard_join.join(docs), "near")
+    found = durable(jaccard_join.join(docs), "near", free=True)
     gone = found.groupBy("doc_id").agg(F.max((F.col("component_id") == F.col("doc_id")).cast("int")).alias("stays")).where("stays = 0")
-    again = durable(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    again = durable(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again", free=True)
     kept = docs.join(sized(gone.select("doc_id")), "doc_id", "left_anti")
     if again.isEmpty():
         return kept.select(docs.columns)

@@ -46,10 +46,11 @@ def merged(df: DataFrame) -> DataFrame:
     return df.coalesce(parts) if parts < 1 << 20 else df
 
 
-def durable(df: DataFrame, name: str, rows: int | None = None, parts: int | None = None) -> DataFrame:
+def durable(df: DataFrame, name: str, rows: int | None = None, parts: int | None = None, free: bool = False) -> DataFrame:
     """df written as Parquet in the shared folder and read back: lineage is cut, lost executors lose nothing.
     rows: a known bound of short rows, by which the table gets fewer files than the shuffle has parts.
-    parts: as many as the work of the last step needs; it gets no fewer than four a core, and no more than it has."""
+    parts: as many as the work of the last step needs; it gets no fewer than four a core, and no more than it has.
+    free: the driver collects its garbage after the write, by which the shuffle files of what is done leave the disk."""
     spark = df.sparkSession
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
@@ -59,6 +60,8 @@ def durable(df: DataFrame, name: str, rows: int | None = None, parts: int | None
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._gossamer_path = path
+    if free:
+        spark._jvm.System.gc()
     return out
 
 

@@ -18,7 +18,9 @@ one class alone come first, frequent ones last. The counts come from maps of the
 3. Clusters of more than `ROWS` sets or `BLOCK` elements are cut into blocks, all with the cluster's
    first class. Classes outside the largest component so far then meet all other classes, in blocks;
    pairs within that component are joined already. So all components are exact at any size of cluster.
+   The blocks meet in rounds, each of at most 4 bytes a shingle of the corpus, so that their copies don't add up on disk.
 
+Sets go to their tasks as texts, which compress, and are shingled there, unless their hashes are shorter.
 Sets are compared by 64-bit hashes of shingles, and equal sets found by a 64-bit hash of the set.
 Null and empty texts have n_shingles 0 and their own doc_id as component; rows that repeat a
 doc_id are returned each. Rows without a doc_id are kept and link like others; a component of such rows only has no id. Texts of any length are used whole;
@@ -32,6 +34,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,7 +53,8 @@ GATHER = 1_000_000  # elements that a task packs at once
 BUCKET = 500_000  # postings of a bucket
 SPLIT = 200_000  # a list of more classes is dealt to several tasks
 Frequent = tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]
-HOME = ("cluster", "pivot", "k", "least", "blocks", "block")
+ROUND = 1 << 28  # bytes of sets that blocks of large clusters deal at once; more where the corpus is larger
+HOME = ("cluster", "pivot", "block", "blocks")
 
 
 def needed(a: np.ndarray | int, b: np.ndarray | int, percent: int = PERCENT) -> np.ndarray | int:
@@ -284,7 +288,7 @@ def frequent_keys(scanned: DataFrame, most: int, elements: int, bits: int) -> Fr
     wide = map_bits(elements, bits)
     counts = durable(
         scanned.where("bucket is not null").select("bucket", "keys").groupBy("bucket").applyInPandas(count_keys(bits, wide), "bucket long, level int, n long, keys binary, times binary"),
-        "frequent", parts=elements // (10 * GATHER),
+        "frequent", parts=elements // (10 * GATHER), free=True,
     )
     least, total = None, 0
     for r in counts.where("level >= 0").groupBy("level").agg(F.sum("n").alias("n")).orderBy(F.desc("level")).collect():
@@ -407,15 +411,28 @@ def clusters(docs: DataFrame, frequent: Frequent, elements: int, bits: int, perc
         return pd.concat([tied[root != nodes], got[got["dealt"]]])
 
     packed = docs.select("text").mapInArrow(post, "bucket long, element binary, cls binary, n binary, dealt binary")
-    ties = durable(packed.groupBy("bucket").applyInPandas(lists, "element long, dealt boolean, a long, b long"), "ties", parts=buckets if buckets > shuffles else 0)
+    ties = durable(packed.groupBy("bucket").applyInPandas(lists, "element long, dealt boolean, a long, b long"), "ties", parts=buckets if buckets > shuffles else 0, free=True)
     firsts = ties.where("dealt").groupBy("element", "a").agg(F.count("*").alias("k")).drop("k")
     heads = firsts.groupBy("element").agg(F.min("a").alias("b"))
     edges = ties.select("a", "b").union(firsts.join(heads, "element").select("a", "b"))
     return connected_components(edges, n=ties.count()).select(F.col("node").alias("cls"), F.col("root").alias("cluster"))
 
 
+def _pack(texts: pa.Array, sets: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+    """Each set as its text, or as its hashes where these are shorter (true)."""
+    blobs = texts.cast(pa.binary())
+    hashed = pc.fill_null(pc.greater(pc.binary_length(blobs), pa.array([8 * len(s) for s in sets], pa.int64())), True)
+    return hashed, pc.if_else(hashed, pa.array([s.tobytes() if h else None for s, h in zip(sets, hashed.to_pylist())], pa.binary()), blobs)
+
+
 def _unpack(frame: pd.DataFrame) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint64) for x in frame["elements"]]
+    sets = [np.frombuffer(x, np.uint64) if h else None for x, h in zip(frame["elements"], frame["hashed"])]
+    plain = [i for i, s in enumerate(sets) if s is None]
+    texts = pa.array(frame["elements"].iloc[plain], pa.binary()).cast(pa.string())
+    got = (s for batch in slices(iter([pa.RecordBatch.from_arrays([texts], names=["text"])])) for s in shingle_sets(batch.column("text")))
+    for i, s in zip(plain, got):
+        sets[i] = s
+    return sets
 
 
 def join(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, split: int = SPLIT, bucket: int = BUCKET, rows_a_block: int = ROWS) -> DataFrame:
@@ -428,7 +445,7 @@ def join(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, split: int
     rows = durable(rows, "rows", n_rows)
     often = frequent_keys(scanned, FREQUENT, elements, bits)
     discard(scanned)
-    found = durable(clusters(docs, often, elements, bits, percent, split, bucket), "clusters", n_rows)
+    found = durable(clusters(docs, often, elements, bits, percent, split, bucket), "clusters", n_rows, free=True)
     del often
     trim()
     first = rows.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
@@ -436,27 +453,27 @@ def join(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, split: int
     weight = members.groupBy("cluster").agg(F.sum("n").alias("total"), F.count("*").alias("k"), F.min("cls").alias("pivot"))
     least = F.greatest(F.ceil(F.col("total") / block), F.ceil(F.col("k") / (16 * rows_a_block))).cast("int")  # blocks that bound memory
     weight = sized(durable(weight, "weights", n_rows)).select("cluster", "pivot", "k", least.alias("least"), F.greatest(least, F.ceil(F.col("k") / rows_a_block)).cast("int").alias("blocks"))
-    members = durable(members.join(weight, "cluster").select("doc_id", "cls", "cluster", "pivot", "k", "least", "blocks", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block")), "members", n_rows)
-    joined = docs.join(sized(members.withColumnRenamed("cls", "want").where("doc_id is not null")), "doc_id")
+    members = durable(members.join(weight, "cluster").select("doc_id", "cls", "n", "cluster", "pivot", "k", "least", "blocks", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block")), "members", n_rows)
+    joined = docs.join(sized(members.where("doc_id is not null").select("doc_id", F.col("cls").alias("want"), *HOME)), "doc_id")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = shingle_sets(batch.column("text"))
             good = [class_of(s) == w for s, w in zip(sets, batch.column("want").to_pylist())]  # a repeated doc_id may have other texts
-            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in HOME), batch.column("want"), pa.array([s.tobytes() for s in sets], pa.binary())], names=[*HOME, "cls", "elements"])
+            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in HOME), batch.column("want"), *_pack(batch.column("text"), sets)], names=[*HOME, "cls", "hashed", "elements"])
             yield out.filter(pa.array(good))
 
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = shingle_sets(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "elements"])
+            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), *_pack(batch.column("text"), sets)], names=["cls", "hashed", "elements"])
 
-    made = "cluster long, pivot long, k long, least int, blocks int, block int, cls long, elements binary"
+    made = "cluster long, pivot long, block int, blocks int, cls long, hashed boolean, elements binary"
     sets = joined.mapInArrow(sets_of, made)
     nameless = members.where("doc_id is null")
     if not nameless.isEmpty():  # classes whose documents all lack an id are met by the class
-        sets = sets.union(docs.where("doc_id is null").select("text").mapInArrow(classed, "cls long, elements binary").join(nameless, "cls").dropDuplicates(["cls"]).select(*HOME, "cls", "elements"))
-    sets = durable(sets, "sets", parts=elements // (10 * GATHER))
+        sets = sets.union(docs.where("doc_id is null").select("text").mapInArrow(classed, "cls long, hashed boolean, elements binary").join(nameless, "cls").dropDuplicates(["cls"]).select(*HOME, "cls", "hashed", "elements"))
+    sets = durable(sets, "sets", parts=elements // (10 * GATHER), free=True)
     pivots = sets.where("blocks > 1 and cls = pivot").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
     def tied(cls: np.ndarray, label: np.ndarray) -> pd.DataFrame:
@@ -469,38 +486,48 @@ def join(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, split: int
         group = group.drop_duplicates("cls")
         return tied(group["cls"].to_numpy(), link_sets(_unpack(group), percent))
 
-    linked = durable(sets.union(pivots.select(sets.columns)).groupBy("cluster", "block").applyInPandas(within, "a long, b long"), "links", parts=elements // (10 * GATHER))
-    large = sets.where("blocks > 1")
+    linked = durable(sets.union(pivots.select(sets.columns)).groupBy("cluster", "block").applyInPandas(within, "a long, b long"), "links", parts=elements // (10 * GATHER), free=True)
+    links, large = [linked], sets.where("blocks > 1")
     if not large.isEmpty():
-        part = large.join(connected_components(linked, n=linked.count()).withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        main = part.groupBy("cluster", "root").agg(F.count("*").alias("size")).groupBy("cluster").agg(F.max_by("root", F.struct("size", "root")).alias("main"))
-        part = durable(part.join(main, "cluster").withColumn("asks", F.col("root") != F.col("main")), "parts", parts=elements // (10 * GATHER))
+        # short rows tell who asks, so that sets move only where a cluster has classes that do
+        kin = members.where("blocks > 1").join(connected_components(linked, n=linked.count()).withColumnRenamed("node", "cls"), "cls", "left")
+        kin = durable(kin.select("cls", "n", "cluster", "k", "least", "blocks", F.coalesce("root", "cls").alias("root")), "kin", n_rows)
+        main = kin.groupBy("cluster", "root").agg(F.count("*").alias("size")).groupBy("cluster").agg(F.max_by("root", F.struct("size", "root")).alias("main"))
+        asking = durable(kin.join(sized(main), "cluster").withColumn("asks", F.col("root") != F.col("main")), "asking", n_rows)
         # few that ask meet all the small blocks; many meet as few blocks as memory allows
-        bulk = part.where("asks").groupBy("cluster").agg(F.sum(F.length("elements")).alias("bytes"), F.count("*").alias("asking"), F.first("k").alias("all"), F.first("least").alias("least"), F.first("blocks").alias("most"))
+        bulk = asking.where("asks").groupBy("cluster").agg(F.sum("n").alias("total"), F.count("*").alias("asking"), F.first("k").alias("all"), F.first("least").alias("least"), F.first("blocks").alias("most"))
         bulk = bulk.select(
-            "cluster", F.greatest(F.ceil(F.col("bytes") / (8 * block)), F.ceil(F.col("asking") / (16 * rows_a_block))).cast("int").alias("groups"),
+            "cluster", F.greatest(F.ceil(F.col("total") / block), F.ceil(F.col("asking") / (16 * rows_a_block))).cast("int").alias("groups"),
             F.greatest("least", F.least("most", F.ceil(F.col("all") / F.col("asking")))).cast("int").alias("parts"),
         )
+        plan = asking.join(sized(bulk), "cluster").select("cls", "root", "asks", "groups", "parts")
+        part = durable(large.join(sized(durable(plan, "plan", n_rows)), "cls").select("cluster", "groups", "parts", "cls", "hashed", "elements", "root", "asks"), "parts", parts=elements // (10 * GATHER), free=True)
+        discard(sets)
+        copied = part.agg(F.coalesce(F.sum(F.length("elements") * (F.col("groups") + F.when(F.col("asks"), F.col("parts")).otherwise(0))), F.lit(0))).first()[0]
+        rounds = -(-int(copied) // max(ROUND, 4 * elements))
         dealt = lambda seed, parts: F.pmod(F.xxhash64("cls", F.lit(seed)), F.col(parts)).cast("int")
-        every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-        meeting = part.join(sized(bulk), "cluster").select("cluster", "groups", "parts", "cls", "elements", "root", "asks")
-        asked = meeting.where("asks").withColumn("g", dealt(1, "groups")).withColumn("block", every("parts"))
-        there = meeting.withColumn("block", dealt(2, "parts")).withColumn("g", every("groups")).withColumn("asks", F.lit(False))
+        every = lambda parts, now: F.explode(F.filter(F.sequence(F.lit(0), F.col(parts) - 1), now))
 
         def between(group: pd.DataFrame) -> pd.DataFrame:
             trim()
             group = group.sort_values("asks", ascending=False).drop_duplicates("cls")
             return tied(group["cls"].to_numpy(), link_sets(_unpack(group), percent, group["root"].to_numpy(), group["asks"].to_numpy()))
 
-        columns = ["cluster", "block", "g", "cls", "elements", "root", "asks"]
-        more = asked.select(columns).union(there.select(columns)).groupBy("cluster", "block", "g").applyInPandas(between, "a long, b long")
-        linked = durable(linked.union(more), "links", parts=elements // (10 * GATHER))
+        columns = ["cluster", "block", "g", "cls", "hashed", "elements", "root", "asks"]
+        for r in range(rounds):
+            now = lambda g, b: F.pmod(F.pmod(F.xxhash64("cluster"), F.lit(rounds)) + g.cast("long") * F.col("parts") + b, F.lit(rounds)) == r  # noqa: B023, E731
+            asked = part.where("asks").withColumn("g", dealt(1, "groups")).withColumn("block", every("parts", lambda b: now(F.col("g"), b)))  # noqa: B023
+            there = part.withColumn("block", dealt(2, "parts")).withColumn("g", every("groups", lambda g: now(g, F.col("block")))).withColumn("asks", F.lit(False))  # noqa: B023
+            met = asked.select(columns).union(there.select(columns)).groupBy("cluster", "block", "g").applyInPandas(between, "a long, b long")
+            links.append(durable(met, "links", parts=elements // (10 * GATHER), free=True))
+            linked = linked.union(links[-1])
+        discard(part)
     roots = durable(connected_components(linked, n=linked.count()), "roots", n_rows)
     whole = roots.withColumnRenamed("node", "cls").join(first.select("cls", "doc_id"), "cls").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = roots.withColumnRenamed("node", "cls").join(whole, "root").select("cls", F.col("component_id").alias("shared"))
     # written, so that Spark can split the part of a class that very many documents share
     alone = durable(first.join(named, "cls", "left").select("cls", F.coalesce("shared", "doc_id").alias("component_id")), "components", n_rows)
-    for table_ in (found, members, sets, linked, roots):
+    for table_ in (found, members, sets, *links, roots):
         discard(table_)
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.join(alone, "cls").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))

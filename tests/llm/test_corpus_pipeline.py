@@ -72,3 +72,22 @@ def test_chance_makes_no_cluster_of_near_duplicates(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(jaccard_join, "FREQUENT", 0)
     assert sorted(r.doc_id for r in P.drop_near_duplicates(spark, docs, sf_dir).collect()) == list(range(80))
     assert sizes["clusters"] == 16
+
+
+def test_near_copies_take_no_more_disk_than_their_texts(spark, sf_dir, monkeypatch):
+    """Where all rows are near copies of others, the table of sets is no longer than the texts, not 8 bytes a shingle."""
+    from gossamer.llm import jaccard_join
+
+    rows = [(i * 4 + k, " ".join(f"w{i}x{j}" for j in range(60)) + f" tail{k}", "en", "s", 0) for i in range(50) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    held, durable = {}, jaccard_join.durable
+
+    def weighed(df, name, *args, **kwargs):
+        out = durable(df, name, *args, **kwargs)
+        if name == "sets":
+            held[name] = out.agg(P.F.sum(P.F.length("elements"))).first()[0]
+        return out
+
+    monkeypatch.setattr(jaccard_join, "durable", weighed)
+    assert sorted(r.doc_id for r in P.drop_near_duplicates(spark, docs, sf_dir).collect()) == list(range(0, 200, 4))
+    assert held["sets"] <= sum(len(r[1]) for r in rows)

@@ -98,6 +98,26 @@ def test_large_groups_in_blocks(spark, block, split, bucket, rows):
     assert rows_of(J.join(frame, block=block, split=split, bucket=bucket, rows_a_block=rows)) == brute(docs)
 
 
+def test_blocks_of_large_clusters_meet_in_rounds(spark, monkeypatch):
+    """Copies of sets that blocks deal are bounded at a time; texts longer than the hashes of their shingles go as hashes."""
+    rng = random.Random(9)
+    docs = family(120) + [(2000 + i, " ".join(f"u{rng.randrange(999)}" for _ in range(20)) + " the passage that all of these documents share is here") for i in range(60)]
+    docs += [(3000 + i if i % 3 else None, "one two three four five six seven " * 60 + f"end{i % 7}") for i in range(30)]
+    written, durable = [], J.durable
+
+    def noted(df, name, *args, **kwargs):
+        written.append(name)
+        out = durable(df, name, *args, **kwargs)
+        if name == "sets":
+            assert {r.hashed for r in out.select("hashed").distinct().collect()} == {True, False}
+        return out
+
+    monkeypatch.setattr(J, "durable", noted)
+    monkeypatch.setattr(J, "ROUND", 1)
+    assert rows_of(J.join(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), block=200, rows_a_block=1)) == brute(docs)
+    assert written.count("links") > 3
+
+
 def test_passages_shared_by_chance_tie_no_clusters(spark, monkeypatch):
     """Documents that each share a few shingles with the next, beyond the table of frequent ones, are no cluster: a large corpus
     would be one, and all its blocks would meet. Real links stay."""
