@@ -11,11 +11,13 @@ from ..functions import urls
 
 def validated(df: DataFrame, rules: UrlRules | None = None, compat_port_bug: bool = True) -> DataFrame:
     """df (url, depth, ...) with `drop_reason`: format, scheme, domain, depth, extension, or null. The url of rows that have
-    the right format is put in normal form first, as later checks and all keys go by that."""
+    the right format is put in normal form first, as later checks and all keys go by that. It is exploded from an array of one:
+    the planner would else put the whole normal form in each place of a later filter that names the url."""
     rules = rules or UrlRules()
     marked = df.withColumn("_ok", urls.is_valid(F.col("url")))
     if rules.normalize_urls:
-        marked = marked.withColumn("url", F.when(F.col("_ok"), urls.normalized(F.when(F.col("_ok"), F.col("url")), compat_port_bug)).otherwise(F.col("url")))
+        form = F.when(F.col("_ok"), urls.normalized(F.when(F.col("_ok"), F.col("url")), compat_port_bug)).otherwise(F.col("url"))
+        marked = marked.withColumn("url", F.explode(F.array(form)))
     url = F.col("url")
     path = F.regexp_extract(urls.part(url, 3), r"(?s)^((?:.*/)?[^/;]*)", 1)
     reason = (

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gossamer.config import DedupRules, RateRules, RobotsRules
-from gossamer.operators import dedup, robots, schedule
+from gossamer.operators import dedup, robots, schedule, validate
 
 PATHS = ["page1", "page2", "page1", "page3", "PAGE1", "page4", "page2"]
 
@@ -24,6 +24,17 @@ def test_first_sightings(spark, sensitive, kept):
     assert (stats.unique_urls, stats.duplicate_urls, stats.total_checked) == (len(kept), 7 - len(kept), 7)
 
 
+def test_a_filter_computes_the_normal_form_once(spark):
+    """A filter of many times the size took most of a stream's time; an address and its absence come through."""
+    made = spark.range(3).select(F.when(F.col("id") == 0, "HTTP://H.com:80/a/?b=1&a=2#x").when(F.col("id") == 1, "no url").alias("url"), F.lit(0).alias("depth"))
+    checked = validate.validated(made)
+    kept = checked.where("drop_reason is null")
+    forms = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("array_sort")
+    assert forms(kept) == forms(checked) > 0
+    assert [r.url for r in kept.collect()] == ["http://h.com/a?a=2&b=1"]
+    assert sorted((str(r.url), r.drop_reason) for r in checked.where("drop_reason is not null").collect()) == [("None", "format"), ("no url", "format")]
+
+
 @pytest.mark.parametrize("method", ["set", "database", "bloom"])
 def test_against_seen(spark, method):
     rules = DedupRules(method=method, bloom_capacity=1000)
