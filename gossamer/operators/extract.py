@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -14,7 +16,18 @@ from ..config import ContentRules, LinkRules, ParseRules
 from ..functions import dom, urls
 from ..schema import EXTRACTED
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 1 << 20  # of html whose extracts a worker holds at once
+
+
+def pieces(batches: Iterator[pa.RecordBatch], limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut by rows where their html reaches another `limit` bytes, so that a piece has fewer than that beside its first page."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column("_html")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        cut = np.flatnonzero(np.diff(np.cumsum(size) // limit)) + 1
+        edges = [0, *cut.tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            if b > a:
+                yield batch.slice(a, b - a)
 
 
 def parsed(df: DataFrame, parse: ParseRules | None = None, link: LinkRules | None = None, content: ContentRules | None = None, fields: frozenset[str] = dom.FIELDS) -> DataFrame:
@@ -35,7 +48,7 @@ def parsed(df: DataFrame, parse: ParseRules | None = None, link: LinkRules | Non
     marked = marked.withColumns({"_base": base, "_html": F.when(F.col("drop_reason").isNull(), F.col("raw_html"))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for b, h in zip(batch.column("_base").to_pylist(), batch.column("_html").to_pylist()):
                 row = None if h is None else dom.extract(h, b or "", parse, link, content, fields)

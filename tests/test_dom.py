@@ -1,3 +1,5 @@
+import pyarrow as pa
+
 from gossamer.config import ContentRules, LinkRules, ParseRules
 from gossamer.functions import dom
 from gossamer.operators import extract
@@ -80,3 +82,13 @@ def test_rows(spark):
     assert extract.anchor_texts(linked).first().anchor_texts["https://weer.example/tides"] == "Tides"
     stats = extract.link_stats(linked).first()
     assert (stats.links, stats.images) == (7, 2) and extract.content_stats(linked).first().processed == 1
+
+
+def test_a_worker_takes_few_pages_at_once():
+    """Batches of 10,000 pages are cut by the bytes of their html, whole and in order; the extracts of one piece are held at a time."""
+    html = ["x" * n for n in (400, 400, 400, 5000, 10)] + [None, ""] + ["y" * 300] * 10
+    batches = [pa.RecordBatch.from_pydict({"k": list(range(len(html))), "_html": html}), pa.RecordBatch.from_pydict({"k": pa.array([], pa.int64()), "_html": pa.array([], pa.string())})]
+    got = list(extract.pieces(iter(batches), 1000))
+    assert [k for b in got for k in b.column("k").to_pylist()] == list(range(len(html)))
+    assert max(sum(len(h or "") for h in b.column("_html").to_pylist()[1:]) for b in got) < 1000
+    assert len(got) > 5
