@@ -338,8 +338,9 @@ def head_of(counts: DataFrame, most: int = HEAD, classes: int = CLASSES) -> tupl
     return head, {r.place: (r.n, r.v) for r in beyond}
 
 
-def score(docs: DataFrame, train: Column, most: int = HEAD, classes: int | None = None) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score of docs (doc_id, text), learning where `train` holds."""
+def score(docs: DataFrame, train: Column, most: int = HEAD, classes: int | None = None, modelled: bool = True) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score of docs (doc_id, text), learning where `train` holds.
+    Without `modelled` no model is learnt, and score is null; all else is the same."""
     spark = docs.sparkSession
     docs = merged(docs.select("doc_id", "text"))
     learnt = docs.where(train)
@@ -351,9 +352,11 @@ def score(docs: DataFrame, train: Column, most: int = HEAD, classes: int | None
     sent = spark.sparkContext.broadcast(head)
 
     noise, inner = head.totals(ends, beyond)
-    rows = durable(learnt.mapInArrow(class_rows(lambda: sent.value), "salt long, classes binary"), "classes")
-    model = trained(rows, tokens, np.maximum(noise, 0.5))
-    discard(rows)
+    model = None
+    if modelled:
+        rows = durable(learnt.mapInArrow(class_rows(lambda: sent.value), "salt long, classes binary"), "classes")
+        model = trained(rows, tokens, np.maximum(noise, 0.5))
+        discard(rows)
     tables = spark.sparkContext.broadcast((model, inner))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,9 +368,11 @@ def score(docs: DataFrame, train: Column, most: int = HEAD, classes: int | None
             places = h.places(words_)
             kind, n = h.classes(places, words_), batch.num_rows
             lengths = np.diff(offsets)
-            cls, begin = with_ends(kind[indices], offsets)
-            two, one, target = trigrams(np.concatenate([[END, END], cls]))
-            p = model.log10(two, one, target) - inner[target]
+            class_log = np.full(n, np.nan)
+            if model is not None:
+                cls, begin = with_ends(kind[indices], offsets)
+                two, one, target = trigrams(np.concatenate([[END, END], cls]))
+                class_log = segment_sums(model.log10(two, one, target) - inner[target], begin)
             doc = np.repeat(np.arange(n), lengths)
             rest = (kind > h.singles)[indices]
             head_log = segment_sums(log[places[indices]], offsets)
@@ -384,7 +389,7 @@ def score(docs: DataFrame, train: Column, most: int = HEAD, classes: int | None
                 "in_head": np.concatenate([lengths - segment_sums(beyond.astype(np.int64), offsets), np.zeros(len(tail), np.int64)]),
                 "head_log": np.concatenate([head_log, np.zeros(len(tail))]),
                 "rest_log": np.concatenate([rest_log, np.zeros(len(tail))]),
-                "class_log": np.concatenate([segment_sums(p, begin), np.zeros(len(tail))]),
+                "class_log": np.concatenate([class_log, np.zeros(len(tail))]),
             }
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
 
@@ -397,10 +402,15 @@ def score(docs: DataFrame, train: Column, most: int = HEAD, classes: int | None
     return out.select(
         "doc_id", F.col("n").alias("n_tokens"), (F.col("in_head") + F.col("tail_known") + F.lit(int(ends > 0))).alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"),
         (F.col("head_log") + F.col("tail_log") + F.lit(end_log) - F.col("n") * F.lit(all_log)).alias("base_score"),
-        (F.col("class_log") + F.col("rest_log") + F.col("tail_log")).alias("score"),
+        (F.col("class_log") + F.col("rest_log") + F.col("tail_log") if modelled else F.lit(None).cast("double")).alias("score"),
     )
 
 
+def token_counts(docs: DataFrame, train: Column) -> DataFrame:
+    """The counts of score(), by the same steps but those of the model."""
+    return score(docs, train, modelled=False).select("doc_id", "n_tokens", "n_known", "train_tokens")
+
+
 def op4_log_bilinear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     out = score(docs, ~fold(1))

@@ -85,6 +85,16 @@ def test_edges(spark):
     assert len(L.score(docs, L.F.lit(True)).collect()) == 6
 
 
+def test_counts_are_those_of_the_scores_without_a_model(spark, monkeypatch):
+    rows = [(1, "a b a"), (2, "b c"), (3, None), (4, "a d d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    names = ["doc_id", "n_tokens", "n_known", "train_tokens"]
+    want = sorted(tuple(r) for r in L.score(docs, L.F.col("doc_id") < 4).select(names).collect())
+    monkeypatch.setattr(L, "trained", None)  # calling it would raise
+    assert sorted(tuple(r) for r in L.token_counts(docs, L.F.col("doc_id") < 4).select(names).collect()) == want
+    assert want[3] == (4, 4, 2, 8)
+
+
 def test_every_token_is_trained_on_whatever_the_shards(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(3)
     counts = L.word_counts(docs)
